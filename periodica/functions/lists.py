@@ -1,0 +1,109 @@
+"""Ordered lists per group, with a bound on how long one list may grow."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+# The most items put into one list.  A longer list comes as several rows.
+LIST_ROWS = 65_536
+# The most hot groups whose keys are sent to every task.
+HOT_KEYS = 10_000
+
+ITEMS = "items"
+_SHARED = [f"_k{i}" for i in range(8)]
+
+
+def _same(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Column:
+    pairs = [rows[key].eqNullSafe(hot[shared]) for key, shared in zip(keys, _SHARED)]
+    return reduce(and_, pairs)
+
+
+def hot_groups(
+    counts: DataFrame, keys: Sequence[str], size: str = "n", limit: int = LIST_ROWS
+) -> DataFrame | None:
+    """The groups over ``limit`` rows, or None when there are none.
+
+    Runs the counting job.  Up to ``HOT_KEYS`` keys come to the driver and are
+    broadcast from there; beyond that the keys stay a distributed table and the
+    joins with it are left to Spark.
+    """
+    hot = counts.where(F.col(size) > limit).select(
+        *[F.col(k).alias(s) for k, s in zip(keys, _SHARED)]
+    )
+    head = hot.limit(HOT_KEYS + 1).collect()
+    if not head:
+        return None
+    if len(head) > HOT_KEYS:
+        return hot
+    return F.broadcast(counts.sparkSession.createDataFrame(head, hot.schema))
+
+
+def ordered_lists(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Sequence[str],
+    hot: DataFrame | None,
+    hot_by: Sequence[str] | None = None,
+    spread: str | None = None,
+    limit: int = LIST_ROWS,
+) -> DataFrame:
+    """One row per group with ``items``, an array of structs sorted by ``order``.
+
+    ``hot`` lists every group that may exceed ``limit`` rows, by the columns
+    ``hot_by`` (the keys, or a digest of a long one).  Such a group is
+    range-partitioned by its sort order and delivered as consecutive runs of at
+    most ``limit`` items, so no task ever holds the whole group; putting the
+    runs in the order of their first items gives the complete list.
+
+    With ``spread``, only groups holding two different values of that column
+    are kept.
+    """
+    hot_by = hot_by or keys
+    picked = list(dict.fromkeys([*order, *values]))
+    item = F.struct(*[F.col(c) for c in picked])
+    if hot is None:
+        usual, large = rows, None
+    else:
+        usual = rows.join(hot, _same(rows, hot, hot_by), "left_anti")
+        large = rows.join(hot, _same(rows, hot, hot_by), "left_semi")
+
+    aggs = [F.array_sort(F.collect_list(item)).alias(ITEMS)]
+    if spread:
+        aggs += [F.min(spread).alias("_lo"), F.max(spread).alias("_hi")]
+    lists = usual.groupBy(*keys).agg(*aggs)
+    if spread:
+        lists = lists.where(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
+    if large is None:
+        return lists
+
+    if spread:
+        spans = (
+            large.groupBy(*keys)
+            .agg(F.min(spread).alias("_lo"), F.max(spread).alias("_hi"))
+            .where(F.col("_lo") != F.col("_hi"))
+            .select(*[F.col(k).alias(s) for k, s in zip(keys, _SHARED)])
+        )
+        large = large.join(spans, _same(large, spans, keys), "left_semi")
+    # Position inside a sorted range partition: high bits name the partition.
+    by = [*keys, *picked]
+    runs = (
+        large.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_at", 33))
+        .withColumn("_run", F.floor((F.col("_at") - F.shiftleft("_part", 33)) / F.lit(limit)))
+        .groupBy(*keys, "_part", "_run")
+        .agg(F.array_sort(F.collect_list(item)).alias(ITEMS))
+        .drop("_part", "_run")
+    )
+    return lists.unionByName(runs)
+
+
+def join_items(items: str | Column, field: str, separator: str) -> Column:
+    """One field of every item, joined in list order."""
+    return F.array_join(F.transform(items, lambda x: x[field]), separator)
