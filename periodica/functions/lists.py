@@ -42,35 +42,38 @@ def hot_groups(
     return F.broadcast(counts.sparkSession.createDataFrame(head, hot.schema))
 
 
+def _only(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.join(groups, _same(rows, groups, keys), "left_semi")
+
+
 def ordered_lists(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
     hot: DataFrame | None,
-    hot_by: Sequence[str] | None = None,
     spread: str | None = None,
     limit: int = LIST_ROWS,
+    sort: bool = False,
 ) -> DataFrame:
     """One row per group with ``items``, an array of structs sorted by ``order``.
 
-    ``hot`` lists every group that may exceed ``limit`` rows, by the columns
-    ``hot_by`` (the keys, or a digest of a long one).  Such a group is
+    ``hot`` lists the groups of more than ``limit`` rows.  Such a group is
     range-partitioned by its sort order and delivered as consecutive runs of at
     most ``limit`` items, so no task ever holds the whole group; putting the
     runs in the order of their first items gives the complete list.
 
     With ``spread``, only groups holding two different values of that column
-    are kept.
+    are kept.  With ``sort``, the rows come in the order of the keys and of the
+    first items; the range partitioning this takes then also serves the grouping.
     """
-    hot_by = hot_by or keys
     picked = list(dict.fromkeys([*order, *values]))
     item = F.struct(*[F.col(c) for c in picked])
-    if hot is None:
-        usual, large = rows, None
-    else:
-        usual = rows.join(hot, _same(rows, hot, hot_by), "left_anti")
-        large = rows.join(hot, _same(rows, hot, hot_by), "left_semi")
+    usual = rows
+    if hot is not None:
+        usual = rows.join(hot, _same(rows, hot, keys), "left_anti")
+    elif sort:
+        usual = rows.repartitionByRange(*keys)
 
     aggs = [F.array_sort(F.collect_list(item)).alias(ITEMS)]
     if spread:
@@ -78,32 +81,36 @@ def ordered_lists(
     lists = usual.groupBy(*keys).agg(*aggs)
     if spread:
         lists = lists.where(F.col("_lo") != F.col("_hi")).drop("_lo", "_hi")
-    if large is None:
-        return lists
+    if hot is None:
+        return lists.orderBy(*keys) if sort else lists
 
+    large = _only(rows, hot, keys)
     if spread:
         spans = (
-            large.groupBy(*keys)
+            large.groupBy(*[F.col(k).alias(s) for k, s in zip(keys, _SHARED)])
             .agg(F.min(spread).alias("_lo"), F.max(spread).alias("_hi"))
             .where(F.col("_lo") != F.col("_hi"))
-            .select(*[F.col(k).alias(s) for k, s in zip(keys, _SHARED)])
         )
-        large = large.join(spans, _same(large, spans, keys), "left_semi")
-    # Position inside a sorted range partition: high bits name the partition.
+        large = _only(large, spans, keys)
+    # Place inside a sorted range partition; the high bits name the partition.
     by = [*keys, *picked]
-    runs = (
+    placed = (
         large.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33))
-        .withColumn("_run", F.floor((F.col("_at") - F.shiftleft("_part", 33)) / F.lit(limit)))
+    )
+    part = F.shiftright("_at", 33)
+    runs = (
+        placed.withColumn("_part", part)
+        .withColumn("_run", F.floor((F.col("_at") - F.shiftleft(part, 33)) / F.lit(limit)))
         .groupBy(*keys, "_part", "_run")
         .agg(F.array_sort(F.collect_list(item)).alias(ITEMS))
         .drop("_part", "_run")
     )
-    return lists.unionByName(runs)
+    whole = lists.unionByName(runs)
+    return whole.orderBy(*keys, F.col(ITEMS)[0]) if sort else whole
 
 
-def join_items(items: str | Column, field: str, separator: str) -> Column:
+def join_items(items: str, field: str, separator: str) -> Column:
     """One field of every item, joined in list order."""
     return F.array_join(F.transform(items, lambda x: x[field]), separator)

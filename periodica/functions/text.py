@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -73,11 +74,31 @@ def _numbered_character(code: Column) -> Column:
 def html_unescape(text: Column) -> Column:
     """Replace character references in one pass, left to right.
 
-    The text is cut at each ampersand, so a reference that the replacement
-    itself produces is not replaced again.
+    Nearly all references are the five basic ones, which plain replacement
+    covers.  Four of them produce no ampersand and so cannot make up a new
+    reference; texts in which then only ``&amp;`` is left need one replacement
+    more, and the others are decoded piece by piece.
+    """
+    for name, sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("apos", "'")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return _once(
+        text,
+        lambda t: F.when(F.instr(t, "&") == 0, t)
+        .when(~t.rlike("&(?!amp;)"), F.replace(t, F.lit("&amp;"), F.lit("&")))
+        .otherwise(_unescape_pieces(t)),
+    )
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _unescape_pieces(text: Column) -> Column:
+    """Cut at each ampersand and decode the head of every piece.
+
+    A reference that the decoding itself produces is not decoded again.
     """
-    # The names that make up nearly all references are tried before the full list.
-    common = ("quot", "amp", "lt", "gt", "apos")
     closed = _json_map({n[:-1]: v for n, v in html5.items() if n.endswith(";")})
     open_names = {n: v for n, v in html5.items() if not n.endswith(";")}
     longest_first = "|".join(sorted(open_names, key=len, reverse=True))
@@ -85,25 +106,23 @@ def html_unescape(text: Column) -> Column:
 
     def piece(part: Column) -> Column:
         name = F.regexp_extract(part, r"\A([A-Za-z][A-Za-z0-9]*);", 1)
+        prefix = F.regexp_extract(part, rf"\A({longest_first})", 1)
+        after_name = F.regexp_replace(part, r"\A[A-Za-z][A-Za-z0-9]*;", "")
         decimal = F.regexp_extract(part, r"\A#([0-9]+)", 1)
         hexa = F.regexp_extract(part, r"\A#[xX]([0-9a-fA-F]+)", 1)
-        prefix = F.regexp_extract(part, rf"\A({longest_first})", 1)
         after_number = F.regexp_replace(part, r"\A#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
-        after_name = F.regexp_replace(part, r"\A[A-Za-z][A-Za-z0-9]*;", "")
-        named = closed[name]
-        for n in reversed(common):
-            named = F.when(name == n, html5[n + ";"]).otherwise(named)
         hex_code = F.when(F.length(F.ltrim(hexa, F.lit("0"))) <= 6, F.conv(hexa, 16, 10))
         return (
-            F.when(
-                decimal != "",
+            F.when(part.startswith("amp;"), F.concat(F.lit("&"), F.substr(part, F.lit(5))))
+            .when(
+                part.rlike(r"\A#[0-9]"),
                 F.concat(_numbered_character(decimal.try_cast("bigint")), after_number),
             )
             .when(
-                hexa != "",
+                part.rlike(r"\A#[xX][0-9a-fA-F]"),
                 F.concat(_numbered_character(hex_code.try_cast("bigint")), after_number),
             )
-            .when((name != "") & named.isNotNull(), F.concat(named, after_name))
+            .when((name != "") & closed[name].isNotNull(), F.concat(closed[name], after_name))
             .when(
                 prefix != "",
                 F.concat(open_map[prefix], F.substr(part, F.length(prefix) + 1)),
@@ -113,5 +132,4 @@ def html_unescape(text: Column) -> Column:
 
     parts = F.split(text, "&")
     tail = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    decoded = F.concat(parts[0], F.array_join(F.transform(tail, piece), ""))
-    return F.when(F.instr(text, "&") == 0, text).otherwise(decoded)
+    return F.concat(parts[0], F.array_join(F.transform(tail, piece), ""))

@@ -78,31 +78,36 @@ def _real_uses(
     return attach(uses, puzzles, [setter, kind, number], entry_key)
 
 
-def _hot_uses(
-    items: DataFrame, puzzles: DataFrame, shared: str, setter: str, entry_key: str, limit: int
-) -> DataFrame | None:
-    """Groups that may exceed ``limit``, by setter and a digest of the shared text.
+def _may_exceed(
+    entries: DataFrame,
+    puzzles: DataFrame,
+    digest: Column,
+    setter: str,
+    entry_key: str,
+    limit: int,
+) -> bool:
+    """Whether any group of one setter and digest could have over ``limit`` uses.
 
-    Counts before the distinct and by digest, so a group is never undercounted.
+    A cheap upper bound from two narrow columns: entries are counted before the
+    distinct, and entries without a digest might join any group of their setter.
     """
-    digests = items.select(entry_key, F.xxhash64(shared).alias("_digest"))
-    counts = (
-        attach(digests, puzzles, [setter], entry_key)
+    marked = entries.select(entry_key, digest.alias("_digest"))
+    sizes = (
+        attach(marked, puzzles, [setter], entry_key)
         .groupBy(setter, "_digest")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return hot_groups(counts, [setter, "_digest"], limit=limit)
-
-
-def _link(entry_key: str, number: str, base: str) -> Column:
-    return anchor(F.concat(F.lit(base), F.col(entry_key)), F.col(number))
+    known = F.col("_digest").isNotNull()
+    most = [F.coalesce(F.max(F.when(c, F.col("n"))), F.lit(0)) for c in (known, ~known)]
+    worst = sizes.groupBy(setter).agg((most[0] + most[1]).alias("worst"))
+    return not worst.where(F.col("worst") > limit).isEmpty()
 
 
 def _duplicates(
     resolved: DataFrame,
     puzzles: DataFrame,
     shared: str,
-    hot: DataFrame | None,
+    large: bool,
     setter: str,
     kind: str,
     number: str,
@@ -110,33 +115,31 @@ def _duplicates(
     entry_key: str,
     link_base: str,
     limit: int,
+    sort: bool,
 ) -> DataFrame:
     item_columns = list(dict.fromkeys([shared, clue]))
+    keys = [setter, shared]
     uses = _real_uses(resolved, puzzles, item_columns, setter, kind, number, clue, entry_key)
-    uses = uses.withColumns(
-        {
-            "_text": F.col(clue),
-            "_link": _link(entry_key, number, link_base),
-            "_digest": F.xxhash64(shared),
-        }
+    hot = None
+    if large:
+        sizes = uses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        hot = hot_groups(sizes, keys, limit=limit)
+    order = [number, entry_key] + [c for c in item_columns if c != shared]
+    lists = ordered_lists(
+        uses, keys, order=order, values=[kind], hot=hot, spread=entry_key, limit=limit, sort=sort
     )
-    return ordered_lists(
-        uses,
-        [setter, shared],
-        order=[number, entry_key, "_text"],
-        values=[kind, "_link"],
-        hot=hot,
-        hot_by=[setter, "_digest"],
-        spread=entry_key,
-        limit=limit,
-    ).select(
-        setter,
-        shared,
+    # Only what differs inside a group is carried in the lists.
+    if shared == clue:
+        clues = F.array_join(F.transform(ITEMS, lambda x: F.col(clue)), LINE_BREAK)
+    else:
+        clues = join_items(ITEMS, clue, LINE_BREAK)
+    href = lambda x: anchor(F.concat(F.lit(link_base), x[entry_key]), x[number])
+    return lists.select(
+        *keys,
         F.size(ITEMS).cast("bigint").alias("n"),
-        join_items(ITEMS, "_text", LINE_BREAK).alias("clues"),
+        clues.alias("clues"),
         join_items(ITEMS, kind, LINE_BREAK).alias("types"),
-        join_items(ITEMS, "_link", LINE_BREAK).alias("links"),
-        F.col(ITEMS)[0][number].alias("_first"),
+        F.array_join(F.transform(ITEMS, href), LINE_BREAK).alias("links"),
     )
 
 
@@ -158,21 +161,22 @@ def dup_answers(
 
     The three lists are joined texts in the order of the puzzle number, which
     compares as text.  ``resolved`` is the result of ``resolve_refs``; giving the
-    ``entries`` behind it makes the size check cheaper.  A group of more than
-    ``limit`` uses comes as several rows holding consecutive runs.
+    ``entries`` behind it makes the size check cheaper, which runs at once.  A
+    group of more than ``limit`` uses comes as several rows holding consecutive
+    runs, each of at most ``limit``.
     """
     sized = resolved if entries is None else entries
-    hot = _hot_uses(sized, puzzles, solution, setter, entry_key, limit)
-    table = _duplicates(
-        resolved.select(entry_key, solution, clue), puzzles, solution, hot,
-        setter, kind, number, clue, entry_key, link_base, limit,
+    large = _may_exceed(sized, puzzles, F.xxhash64(solution), setter, entry_key, limit)
+    return _duplicates(
+        resolved.select(entry_key, solution, clue), puzzles, solution, large,
+        setter, kind, number, clue, entry_key, link_base, limit, sort,
     )
-    return ordered(table, sort, setter, solution, "_first").drop("_first")
 
 
 def dup_clues(
     resolved: DataFrame,
     puzzles: DataFrame,
+    entries: DataFrame | None = None,
     setter: str = "creator_name",
     kind: str = "crossword_type",
     number: str = "number",
@@ -183,14 +187,14 @@ def dup_clues(
     sort: bool = True,
 ) -> DataFrame:
     """Clues one setter used in more than one puzzle; otherwise as dup_answers."""
-    hot = _hot_uses(
-        resolved.where(~is_placeholder(F.col(clue))), puzzles, clue, setter, entry_key, limit
-    )
-    table = _duplicates(
-        resolved.select(entry_key, clue), puzzles, clue, hot,
-        setter, kind, number, clue, entry_key, link_base, limit,
+    # Resolution turns a placeholder into some real clue, so those have no digest.
+    sized = resolved if entries is None else entries
+    digest = F.when(~is_placeholder(F.col(clue)), F.xxhash64(clue))
+    large = _may_exceed(sized, puzzles, digest, setter, entry_key, limit)
+    return _duplicates(
+        resolved.select(entry_key, clue), puzzles, clue, large,
+        setter, kind, number, clue, entry_key, link_base, limit, sort,
     )
-    return ordered(table, sort, setter, clue, "_first").drop("_first")
 
 
 def doc_links(

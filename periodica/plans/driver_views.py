@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 class Tables:
-    """The parquet tables of one folder, as attributes."""
+    """The parquet tables of one folder, as attributes.
+
+    A table's schema is read from its footer once and then declared, which
+    spares every later read the job that infers it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        path = f"{self._folder}/{name}.parquet"
+        known = _SCHEMAS.get((self._folder, name))
+        if known is not None:
+            return self._spark.read.schema(known).parquet(path)
+        table = self._spark.read.parquet(path)
+        _SCHEMAS[self._folder, name] = table.schema
+        return table
 
 
 def puzzles(t: Tables) -> DataFrame:

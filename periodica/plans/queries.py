@@ -283,7 +283,8 @@ def dup_answers(spark, t):
 
 @query
 def dup_clues(spark, t):
-    return words.dup_clues(resolve_refs(views.entries(t)), views.puzzles(t))
+    e = views.entries(t)
+    return words.dup_clues(resolve_refs(e), views.puzzles(t), e)
 
 
 @query

@@ -77,7 +77,7 @@ register(
 register("4", "bio_yearly", lambda a: counts.bio_yearly(a.puzzles))
 register("4", "yearly_by_type", lambda a: counts.yearly_by_type(a.puzzles))
 register("5", "dup_answers", lambda a: words.dup_answers(a.resolved, a.puzzles, a.entries))
-register("5a", "dup_clues", lambda a: words.dup_clues(a.resolved, a.puzzles))
+register("5a", "dup_clues", lambda a: words.dup_clues(a.resolved, a.puzzles, a.entries))
 register("6", "doc_links", lambda a: words.doc_links(a.puzzles))
 register("7", "top_answers", lambda a: words.top_answers(a.entries))
 register("8", "unique_ratio", lambda a: words.unique_ratio(a.entries, a.puzzles))

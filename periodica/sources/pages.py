@@ -56,15 +56,16 @@ def page_props(
     )
     found = pages.select(*keep, F.try_element_at(island, F.lit(1)).alias("_island"))
     raw = found.select(*keep, attribute(F.col("_island"), "props").alias("_raw"))
-    read = raw.select(*keep, html_unescape(html_unescape(F.col("_raw"))).alias("_props"))
-    data = F.get_json_object("_props", "$.data")
-    creator = F.get_json_object(data, "$.creator")
-    reason = (
+    once = raw.select(*keep, html_unescape(F.col("_raw")).alias("_once"))
+    read = once.select(*keep, html_unescape(F.col("_once")).alias("_props"))
+    opened = read.withColumn("_data", F.get_json_object("_props", "$.data"))
+    has_creator = F.array_contains(F.json_object_keys("_data"), "creator")
+    judged = opened.withColumn(
+        "_reason",
         F.when(F.col("_props").isNull(), "no props")
         .when(F.try_parse_json("_props").isNull(), "not JSON")
-        .when(data.isNull() | ~F.array_contains(F.json_object_keys(data), "creator"), "no creator")
+        .when(~F.coalesce(has_creator, F.lit(False)), "no creator"),
     )
-    judged = read.withColumn("_reason", reason).withColumn("_data", data)
     documents = parse_json(
         judged.where(F.col("_reason").isNull()).select(*keep, "_data"), "_data"
     )
