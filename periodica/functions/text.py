@@ -35,7 +35,7 @@ def full_match(text: Column, *patterns: str) -> Column:
 
 def is_placeholder(clue: Column) -> Column:
     """Blank clues, bare length hints, unresolved references and notices."""
-    return (clue == "") | full_match(clue, *PLACEHOLDERS)
+    return full_match(clue, "", *PLACEHOLDERS)
 
 
 def strip_hint(clue: Column) -> Column:

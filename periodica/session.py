@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,11 @@ def local_session(app: str = "periodica", cpus: str | int | None = None) -> Spar
     )
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="periodica-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables, below the cluster's shared folder.
 
@@ -35,6 +41,5 @@ def work_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="periodica-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

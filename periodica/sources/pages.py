@@ -57,7 +57,9 @@ def page_props(
     found = pages.select(*keep, F.try_element_at(island, F.lit(1)).alias("_island"))
     raw = found.select(*keep, attribute(F.col("_island"), "props").alias("_raw"))
     once = raw.select(*keep, html_unescape(F.col("_raw")).alias("_once"))
-    read = once.select(*keep, html_unescape(F.col("_once")).alias("_props"))
+    # Exploding a single element keeps the tests below on the finished text;
+    # plain filters would be pushed down and unescape the page once per test.
+    read = once.select(*keep, F.explode(F.array(html_unescape(F.col("_once")))).alias("_props"))
     opened = read.withColumn("_data", F.get_json_object("_props", "$.data"))
     has_creator = F.array_contains(F.json_object_keys("_data"), "creator")
     judged = opened.withColumn(

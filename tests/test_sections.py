@@ -1,0 +1,244 @@
+"""Analytic sections on small frames, one test per rule."""
+
+import datetime
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from periodica.functions.dates import epoch_ms_to_date, inclusive_duration
+from periodica.functions.text import is_placeholder, strip_hint
+from periodica.operators import counts, streaks, words
+from periodica.plans.sections import Archive, place, register, render, section, sections
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+D = datetime.date
+
+
+def some(puzzles_of, spec):
+    """Puzzles from {(setter, type): n}."""
+    out = []
+    for (setter, kind), n in spec.items():
+        out += [(f"{setter}-{kind}-{i}", setter, "2020-01-01", kind) for i in range(n)]
+    return puzzles_of(out)
+
+
+def test_type_counts_are_ordered_by_first_kind(puzzles_of):
+    p = some(
+        puzzles_of,
+        {("a", "cryptic"): 2, ("b", "prize"): 3, ("c", "cryptic"): 3, ("d", "quick"): 9,
+         ("a", "prize"): 7, ("e", "prize"): 2},
+    )
+    # Places: b and c tie on 3 and "cryptic" < "prize"; d has neither kind.
+    assert rows(counts.count_by_type(p)) == [
+        ("d", 0, 0), ("c", 3, 0), ("b", 0, 3), ("a", 2, 7), ("e", 0, 2),
+    ]
+
+
+def test_type_order_equals_global_numbering(puzzles_of):
+    rng = random.Random(5)
+    spec = {
+        (f"s{i:02d}", k): rng.randint(1, 4)
+        for i in range(30)
+        for k in ("cryptic", "prize", "quick")
+        if rng.random() < 0.6
+    }
+    groups = sorted(spec.items(), key=lambda g: (-g[1], g[0][1], g[0][0]))
+    place_of = defaultdict(dict)
+    for at, ((setter, kind), _) in enumerate(groups, 1):
+        place_of[setter][kind] = at
+    names = sorted(place_of, key=lambda s: (
+        place_of[s].get("cryptic", place_of[s].get("prize", 0)), s))
+    assert [r[0] for r in rows(counts.count_by_type(some(puzzles_of, spec)))] == names
+
+
+def test_yearly_matrix_is_dense_and_bounded(puzzles_of):
+    p = puzzles_of([("1", "b", "1997-05-01", "x"), ("2", "a", "1999-05-01", "x"),
+                    ("3", "a", "1999-06-01", "x"), ("4", "a", "2003-06-01", "x")])
+    assert rows(counts.yearly_matrix(p, 2000)) == [
+        ("a", 1998, 0), ("a", 1999, 2), ("a", 2000, 0),
+        ("b", 1998, 0), ("b", 1999, 0), ("b", 2000, 0),
+    ]
+
+
+@pytest.mark.parametrize(
+    "first, last, text",
+    [
+        ("2020-01-01", "2020-01-01", "0 years, 0 months, 1 days"),
+        ("2020-01-31", "2020-03-01", "0 years, 1 months, 0 days"),
+        ("2019-12-15", "2020-01-14", "0 years, 0 months, 31 days"),
+        ("2000-03-10", "2010-02-09", "9 years, 10 months, 31 days"),
+    ],
+)
+def test_duration(spark, first, last, text):
+    day = lambda s: F.lit(s).cast("date")
+    assert spark.range(1).select(inclusive_duration(day(first), day(last))).first()[0] == text
+
+
+def test_monthly_average_is_over_all_types(puzzles_of):
+    p = some(puzzles_of, {("a", "cryptic"): 7, ("a", "prize"): 8})
+    assert rows(counts.bio_yearly(p)) == [("a", 2020, 15, 2)]
+    assert rows(counts.yearly_by_type(p)) == [
+        ("a", 2020, "cryptic", 7, 1), ("a", 2020, "prize", 8, 1),
+    ]
+
+
+def test_bio_totals_without_self_references(puzzles_of, entries_of):
+    p = puzzles_of([("1", "Ann", "2020-01-01", "cryptic"), ("2", "Bob", "2020-01-01", "quick"),
+                    ("3", "", "2020-01-01", "prize")])
+    e = entries_of([("1", "1", "across", "Annual fee (3)", "A"), ("1", "2", "down", "ann (3)", "B"),
+                    ("3", "1", "down", "any", "C")])
+    # An empty name is part of every clue; case matters.
+    assert rows(counts.bio_totals(p, words.self_ref(e, p))) == [
+        ("", 1, 0, 1, 1), ("Ann", 1, 1, 0, 1), ("Bob", 1, 0, 0, 0),
+    ]
+
+
+def test_max_repeat_counts_blanks_and_omits_setters_without(puzzles_of, entries_of):
+    p = puzzles_of([("1", "a", "2020-01-01", "x"), ("2", "b", "2020-01-01", "x")])
+    e = entries_of([("1", str(i), "across", "c", s) for i, s in enumerate(["", "", "", "X", "X"])]
+                   + [("2", "1", "across", "c", "X")])
+    assert rows(words.max_repeat(e, p)) == [("a", 3)]
+
+
+def test_unique_ratio_and_top_answers_ignore_blanks(puzzles_of, entries_of):
+    p = puzzles_of([("1", "a", "2020-01-01", "x"), ("2", "b", "2020-01-01", "x")])
+    e = entries_of([("1", str(i), "across", "c", s) for i, s in enumerate(["X", "X", "Y", ""])]
+                   + [("2", "1", "across", "c", "")])
+    assert rows(words.unique_ratio(e, p)) == [("a", 2, 3, 66.7)]
+    assert rows(words.top_answers(e)) == [("X", 2), ("Y", 1)]
+    assert rows(words.top_answers(e, k=1)) == [("X", 2)]
+
+
+@pytest.mark.parametrize(
+    "clue, length",
+    [("abc (3,4)", 3), ("abc (3-4) ", 3), ("abc (3, 4)", 10), (" (6)", 0), ("See 5", 5),
+     ("é (2)\n", 1), ("(3) abc", 7)],
+)
+def test_hint_stripping(spark, clue, length):
+    assert spark.range(1).select(F.length(strip_hint(F.lit(clue)))).first()[0] == length
+
+
+@pytest.mark.parametrize(
+    "clue, dropped",
+    [("", True), (" (6)", True), ("See 5", True), ("See 5, 6 across", True),
+     ("See clues here", True), ("See special notes", True),
+     ("Follow the link below to see today's clues now", True),
+     ("See manager about it (10)", False), ("See 5\nand more", False), ("(6)", False),
+     (" (6) ", False), ("See 5\r", True), (" (6)\n", False)],
+)
+def test_placeholders(spark, clue, dropped):
+    assert spark.range(1).select(is_placeholder(F.lit(clue))).first()[0] is dropped
+
+
+def test_average_length_without_a_join_table(spark):
+    df = spark.createDataFrame([("s", "ab (2)"), ("s", ""), ("s", "abc"), ("t", None)], "k string, x string")
+    assert rows(words.avg_text_len(df, setter="k", clue="x")) == [("s", 2.5)]
+
+
+def test_direction_balance(puzzles_of, entries_of):
+    p = puzzles_of([("1", "a", "2020-01-01", "x"), ("2", "b", "2020-01-01", "x"),
+                    ("3", "b", "2020-01-01", "x"), ("4", "c", "2020-01-01", "x")])
+    e = entries_of([("1", "1", "across", "c", "X"), ("2", "1", "down", "c", "X"),
+                    ("3", "1", "down", "c", "X"), ("3", "2", "diagonal", "c", "X"),
+                    ("4", "2", "diagonal", "c", "X")])
+    assert rows(counts.direction_balance(e, p)) == [("b", 0, 2), ("a", 1, 0)]
+
+
+def test_debuts_fill_years_and_stop_at_the_last(puzzles_of):
+    p = puzzles_of([("1", "b", "2001-05-01", "x"), ("2", "a", "2001-06-01", "x"),
+                    ("3", "a", "2002-06-01", "x"), ("4", "c", "2003-06-01", "x"),
+                    ("5", "z", "2030-06-01", "x")])
+    assert rows(counts.debuts(p, 2004)) == [
+        (2001, 2, "a, b"), (2002, 0, ""), (2003, 1, "c"), (2004, 0, ""),
+    ]
+    assert rows(counts.debuts(p.limit(0), 2004)) == [(2004, 0, "")]
+
+
+def test_month_season_has_twelve_rows(puzzles_of):
+    got = rows(counts.month_season(puzzles_of([("1", "b", "2001-05-01", "x")])))
+    assert len(got) == 12 and got[4] == (5, "May", 1) and sum(r[2] for r in got) == 1
+
+
+def test_doc_links_keep_empty_but_not_missing(spark, puzzles_of):
+    p = puzzles_of([("x/10", "a", "2001-05-01", "prize"), ("x/9", "a", "2001-05-02", "prize"),
+                    ("3", "b", "2001-05-01", "cryptic")])
+    assert rows(words.doc_links(p)) == [
+        ("a", '<a href="pdf/x/10">10</a>', "2001-05-01"),
+        ("a", '<a href="pdf/x/9">9</a>', "2001-05-02"),
+    ]
+    empty = p.withColumn("pdf", F.lit(""))
+    assert words.doc_links(empty).count() == 3
+
+
+def dated(puzzles_of, dates, setter="a"):
+    return puzzles_of([(f"{setter}{i}", setter, d, "x") for i, d in enumerate(dates)])
+
+
+def test_week_units_at_the_turn_of_the_year(puzzles_of):
+    p = dated(puzzles_of, ["2004-12-20", "2004-12-27", "2005-01-03"])
+    assert rows(streaks.week_streak(p)) == [("a", 2, D(2004, 12, 20), D(2004, 12, 27), 2)]
+    assert rows(streaks.week_streak(p, unit="week")) == [
+        ("a", 3, D(2004, 12, 20), D(2005, 1, 3), 3)
+    ]
+
+
+def test_streak_ends_on_first_date_of_its_last_period_and_earliest_wins(puzzles_of):
+    p = dated(puzzles_of, ["2020-01-07", "2020-01-06", "2020-01-13", "2020-01-15", "2020-03-02",
+                           "2020-03-09"])
+    assert rows(streaks.week_streak(p)) == [("a", 2, D(2020, 1, 6), D(2020, 1, 13), 4)]
+
+
+def test_month_streak_crosses_years(puzzles_of):
+    p = dated(puzzles_of, ["2019-11-30", "2019-12-01", "2020-01-31", "2020-03-01"])
+    assert rows(streaks.month_streak(p)) == [("a", 3, "2019-11", "2020-01", 3)]
+
+
+@pytest.mark.parametrize("unit", ["isoweek_code", "week", "month"])
+def test_streaks_partition_the_puzzles(puzzles_of, unit):
+    rng = random.Random(3)
+    start = D(2018, 11, 1)
+    spec = [(f"{s}{i}", s, str(start + datetime.timedelta(days=rng.randint(0, 900))), "x")
+            for s in "ab" for i in range(120)]
+    runs = streaks.streaks(puzzles_of(spec), unit).collect()
+    total = Counter()
+    for r in runs:
+        total[r.creator_name] += r.streak_puzzles
+    assert total == {"a": 120, "b": 120}
+    for s in "ab":
+        spans = sorted((r.streak_start, r.streak_end) for r in runs if r.creator_name == s)
+        assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_epoch_days_do_not_follow_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        got = spark.createDataFrame(
+            [(0.0,), (1164326400000.0,), (-1.0,), (None,), (1164412799999.0,)], "ms double"
+        ).select(epoch_ms_to_date(F.col("ms")))
+        assert [r[0] for r in got.collect()] == [
+            D(1970, 1, 1), D(2006, 11, 24), D(1969, 12, 31), D(1970, 1, 1), D(2006, 11, 24),
+        ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_sections_are_ordered_and_extensible(puzzles_of, entries_of):
+    assert sorted(["10", "2", "5a", "5", "x"], key=place) == ["x", "2", "5", "5a", "10"]
+    names = [s.name for s in sections()]
+    assert names.index("dup_answers") < names.index("dup_clues") < names.index("direction_balance")
+    with pytest.raises(ValueError):
+        section("nothing")
+    with pytest.raises(ValueError):
+        register("1", "count_by_type", lambda a: a.puzzles)
+    p = puzzles_of([("1", "a", "2020-01-01", "cryptic"), ("2", "a", "2020-02-01", "prize")])
+    e = entries_of([("1", "1", "across", "Same (4)", "SAME"), ("2", "1", "down", "Same (4)", "SAME")])
+    built = render(Archive(p, e, 2021))
+    assert list(built) == names
+    assert all(df.count() >= 0 for df in built.values())
+    assert built["dup_answers"].count() == 1
