@@ -31,7 +31,7 @@ def resolve_refs(
     ``match="full"`` takes a clue for a reference only if nothing follows.
 
     Targets are reduced to the best one per number and direction before the
-    join, so a reference meets one row per direction however crowded a puzzle is.
+    join, so a reference meets one row at most however crowded a puzzle is.
     """
     text = F.col(clue)
     is_ref = F.coalesce(text.rlike(_REFERENCE[match]), F.lit(False))
@@ -40,42 +40,47 @@ def resolve_refs(
         text.rlike(rf"\ASee{WS}+[0-9]+{WS}+down{follow}"), "down"
     )
 
-    # min() over a struct: a real clue first, then direction, then entry.
-    weak = ~F.coalesce(~full_match(text, CROSS_REFERENCE), F.lit(False))
-    targets = (
-        entries.groupBy(
-            F.col(puzzle_id).alias("_puzzle"),
-            F.col(human_number).alias("_number"),
-            F.col(direction).alias("_direction"),
-        )
-        .agg(
-            F.min(F.struct(weak.alias("weak"), F.col(entry_id).alias("entry"), text.alias("clue")))
-            .alias("_best")
-        )
+    # min() over this struct: a real clue first, then direction, then entry.
+    target = F.struct(
+        (~F.coalesce(~full_match(text, CROSS_REFERENCE), F.lit(False))).alias("weak"),
+        F.col(direction).isNull().alias("no_direction"),
+        F.col(direction).alias("direction"),
+        F.col(entry_id).alias("entry"),
+        text.alias("clue"),
+    )
+    # Each entry takes part in one of the three, so no text travels twice, and
+    # the grouping serves the join below.
+    is_named = F.coalesce(F.col(direction).isin("across", "down"), F.lit(False))
+    targets = entries.groupBy(
+        F.col(puzzle_id).alias("_puzzle"), F.col(human_number).alias("_number")
+    ).agg(
+        F.min(F.when(F.col(direction) == "across", target)).alias("_across"),
+        F.min(F.when(F.col(direction) == "down", target)).alias("_down"),
+        F.min(F.when(~is_named, target)).alias("_other"),
     )
     refs = entries.where(is_ref).select(
         "*",
         F.regexp_extract(text, rf"\ASee{WS}+([0-9]+)", 1).alias("_target"),
         named.alias("_named"),
     )
-    found = refs.join(
-        targets,
-        (refs[puzzle_id] == targets["_puzzle"])
-        & (refs["_target"] == targets["_number"])
-        & (refs["_named"].isNull() | (refs["_named"] == targets["_direction"])),
+    best = (
+        F.when(F.col("_named") == "across", F.col("_across"))
+        .when(F.col("_named") == "down", F.col("_down"))
+        .otherwise(F.least("_across", "_down", "_other"))
+    )
+    found = (
+        refs.join(
+            targets,
+            (refs[puzzle_id] == targets["_puzzle"]) & (refs["_target"] == targets["_number"]),
+        )
+        .withColumn("_best", best)
+        .where(F.col("_best").isNotNull())
     )
     # One row per (puzzle, entry), also if the source repeats an entry.
     others = [c for c in entries.columns if c not in (puzzle_id, entry_id, clue)]
     chosen = found.groupBy(puzzle_id, entry_id).agg(
         F.min(
-            F.struct(
-                F.col("_best.weak"),
-                F.col("_direction").isNull().alias("no_direction"),
-                F.col("_direction"),
-                F.col("_best.entry"),
-                F.coalesce(F.col("_best.clue"), text).alias(clue),
-                *others,
-            )
+            F.struct("_best", F.coalesce(F.col("_best.clue"), text).alias(clue), *others)
         ).alias("_row")
     )
     resolved = chosen.select(

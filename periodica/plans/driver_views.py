@@ -32,13 +32,13 @@ class Tables:
 def puzzles(t: Tables) -> DataFrame:
     """Orders as puzzles; the customer's nation is the setter."""
     key = F.col("o_orderkey").cast("string")
-    setters = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", F.col("n_name").alias("creator_name")
+    named = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        t.nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    return t.orders.join(setters, F.col("o_custkey") == F.col("c_custkey")).select(
+    return named.select(
         key.alias("id"),
         key.alias("number"),
-        "creator_name",
+        F.col("n_name").alias("creator_name"),
         F.col("o_orderdate").cast("date").alias("date"),
         F.when(F.col("o_orderstatus") == "F", "cryptic")
         .when(F.col("o_orderstatus") == "P", "prize")
