@@ -50,41 +50,42 @@ def puzzles(t: Tables) -> DataFrame:
     )
 
 
-def _clue(key: Column, line: Column, real: Column) -> Column:
+def _wordings(t: Tables) -> DataFrame:
+    """What an entry says by its part: a reference, a fixed text, or a name and size."""
+    key = F.col("p_partkey")
     case = key % 13
-    target = (line % 7 + 1).cast("string")
-    return (
-        F.when(case == 0, F.concat(F.lit("See "), target))
-        .when(case == 1, F.concat(F.lit("See "), target, F.lit(" across")))
-        .when(case == 2, " (6)")
-        .when(case == 3, "")
-        .otherwise(real)
+    return t.part.select(
+        key,
+        (key % 25).cast("int").alias("_nation"),
+        F.when(case == 0, "").when(case == 1, " across").alias("_suffix"),
+        F.when(case == 2, " (6)").when(case == 3, "").alias("_fixed"),
+        F.concat("p_name", F.lit(" ")).alias("_name"),
+        F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")).alias("_size"),
+        F.when(key % 5 == 0, "")
+        .otherwise(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))))
+        .alias("solution"),
     )
 
 
 def entries(t: Tables) -> DataFrame:
     """Line items as entries; one per order, line number and status."""
-    line, key = F.col("l_linenumber"), F.col("_part")
+    line = F.col("l_linenumber")
     direction = F.when(F.col("l_linestatus") == "F", "across").otherwise("down")
     unique = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_linestatus").agg(
         F.min("l_partkey").alias("_part")
     )
-    real = F.concat(
-        "p_name", F.lit(" "), "n_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")
-    )
+    refer = F.concat(F.lit("See "), (line % 7 + 1).cast("string"), "_suffix")
     return (
-        unique.join(t.part, key == F.col("p_partkey"))
-        .join(t.nation, key % 25 == F.col("n_nationkey"))
+        unique.join(_wordings(t), F.col("_part") == F.col("p_partkey"))
+        .join(t.nation, F.col("_nation") == F.col("n_nationkey"))
         .select(
             F.col("l_orderkey").cast("string").alias("crossword_id"),
             F.concat(line.cast("string"), F.lit("-"), direction).alias("entry_id"),
             line.alias("number"),
             line.cast("string").alias("human_number"),
             direction.alias("direction"),
-            _clue(key, line, real).alias("clue"),
-            F.when(key % 5 == 0, "")
-            .otherwise(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))))
-            .alias("solution"),
+            F.coalesce(refer, "_fixed", F.concat("_name", "n_name", "_size")).alias("clue"),
+            "solution",
         )
     )
 

@@ -19,6 +19,9 @@ def local_session(app: str = "periodica", cpus: str | int | None = None) -> Spar
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # The JVM compiles no method above 8000 bytes of bytecode; a larger fused
+        # stage would run interpreted.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
