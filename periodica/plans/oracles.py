@@ -45,34 +45,24 @@ joined AS (
   FROM fx_entry e JOIN fx_puzzle p ON e.crossword_id = p.id)"""
 
 
-def _resolved(test: str, source: str = "fx_entry") -> str:
+def _resolved(is_reference: str) -> str:
     return f"""
-parsed AS (
-  SELECT *, CASE WHEN {test}
-                 THEN regexp_extract(clue, '^See\\s+(\\d+)', 1) END AS target_num,
-            CASE WHEN regexp_matches(clue, '^See\\s+\\d+\\s+across') THEN 'across'
-                 WHEN regexp_matches(clue, '^See\\s+\\d+\\s+down') THEN 'down' END AS target_dir
-  FROM {source}),
-candidates AS (
-  SELECT r.crossword_id, r.entry_id, r.number, r.human_number, r.direction, r.solution,
-         t.clue AS clue,
-         ROW_NUMBER() OVER (
-           PARTITION BY r.crossword_id, r.entry_id
-           ORDER BY CASE WHEN regexp_full_match(t.clue, 'See\\s+\\d+.*') THEN 1 ELSE 0 END,
-                    t.direction, t.entry_id) AS rn
-  FROM parsed r JOIN {source} t
-    ON t.crossword_id = r.crossword_id AND t.human_number = r.target_num
-   AND (r.target_dir IS NULL OR t.direction = r.target_dir)),
+hits AS (
+  SELECT r.crossword_id, r.entry_id,
+         arg_min(t.clue, (regexp_full_match(t.clue, 'See\\s+\\d+.*'), t.direction, t.entry_id)) AS found
+  FROM fx_entry r JOIN fx_entry t USING (crossword_id)
+  WHERE {is_reference.format("r.clue")}
+    AND regexp_extract(r.clue, '\\d+') = t.human_number
+    AND regexp_extract(r.clue, '^See\\s+\\d+\\s+(across|down)', 1) IN ('', t.direction)
+  GROUP BY r.crossword_id, r.entry_id),
 resolved AS (
-  SELECT crossword_id, entry_id, number, human_number, direction, clue, solution
-  FROM candidates WHERE rn = 1
+  SELECT * FROM fx_entry WHERE NOT {is_reference.format("clue")}
   UNION ALL
-  SELECT crossword_id, entry_id, number, human_number, direction, clue, solution
-  FROM parsed WHERE target_num IS NULL)"""
+  SELECT e.* REPLACE (h.found AS clue) FROM fx_entry e JOIN hits h USING (crossword_id, entry_id))"""
 
 
-_PREFIX = _resolved("regexp_matches(clue, '^See\\s+\\d+')")
-_FULL = _resolved("regexp_full_match(clue, 'See\\s+\\d+')")
+_PREFIX = _resolved("regexp_matches({0}, '^See\\s+\\d+')")
+_FULL = _resolved("regexp_full_match({0}, 'See\\s+\\d+')")
 
 _REAL = """
         clue <> ''
@@ -170,20 +160,20 @@ def _streak(ordinal: str, label: str = "{0}") -> str:
     return f"""WITH {_FX_DATED}, periods AS (
   SELECT creator_name, {ordinal} AS period, MIN(date) AS first_date, COUNT(*) AS n
   FROM fx_dated GROUP BY creator_name, {ordinal}),
-numbered AS (
-  SELECT *, period - ROW_NUMBER() OVER (PARTITION BY creator_name ORDER BY period) AS island
-  FROM periods),
+gaps AS (
+  SELECT *, CASE WHEN period - lag(period) OVER w = 1 THEN 0 ELSE 1 END AS opens
+  FROM periods WINDOW w AS (PARTITION BY creator_name ORDER BY period)),
+marked AS (
+  SELECT *, SUM(opens) OVER (PARTITION BY creator_name ORDER BY period) AS run FROM gaps),
 runs AS (
   SELECT creator_name, COUNT(*) AS streak_length, MIN(first_date) AS streak_start,
          MAX(first_date) AS streak_end, CAST(SUM(n) AS BIGINT) AS streak_puzzles
-  FROM numbered GROUP BY creator_name, island),
-ranked AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY creator_name
-                               ORDER BY streak_length DESC, streak_start) AS rn
-  FROM runs)
+  FROM marked GROUP BY creator_name, run)
 SELECT creator_name, streak_length, {label.format("streak_start")} AS streak_start,
        {label.format("streak_end")} AS streak_end, streak_puzzles
-FROM ranked WHERE rn = 1"""
+FROM runs
+QUALIFY row_number() OVER (PARTITION BY creator_name
+                           ORDER BY streak_length DESC, runs.streak_start) = 1"""
 
 
 def _debuts(source: str, view: str) -> str:
