@@ -19,6 +19,8 @@ def local_session(app: str = "periodica", cpus: str | int | None = None) -> Spar
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Join partitions this small by hash instead of sorting both sides.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         # The JVM compiles no method above 8000 bytes of bytecode; a larger fused
         # stage would run interpreted.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
