@@ -152,7 +152,8 @@ def grid_scan(spark, t):
     _catalogue(t).select("grid_name", F.array_join(lines, "\n").alias("value")).write.partitionBy(
         "grid_name"
     ).text(folder)
-    return grid_source.grid_scan(spark, folder, name=F.col("grid_name"))
+    in_path = F.regexp_extract(F.col("_metadata.file_path"), r"/grid_name=([^/]+)/", 1)
+    return grid_source.grid_scan(spark, folder, name=in_path)
 
 
 @query
