@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from periodica.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # These run and read back files, so their final plan is a plain scan.
@@ -16,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in STORED])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STORED])
 def test_no_cross_join_no_python_no_global_window(spark, name):
     text = plan(entry.queries()[name](spark, FOLDER))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "PythonUDF",
