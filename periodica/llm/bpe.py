@@ -16,9 +16,10 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from periodica.llm.common import texts_of
 from periodica.llm.pretokens import Pieces, encoded_texts
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -165,21 +166,22 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     one row out; other columns are dropped.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = coder(path)
         for batch in batches:
-            held: list[list[np.ndarray]] = [[] for _ in range(len(batch))]
-            rows, ids = [], []
-            for i, part, last in encoded_texts(batch["text"].fillna(""), pieces):
-                held[i].append(part)
+            held: list[np.ndarray] = []
+            ids = []
+            for _, part, last in encoded_texts(texts_of(batch), pieces):
+                held.append(part)
                 if last:
-                    rows.append(batch["key"].iloc[i])
-                    ids.append(np.concatenate(held[i]).astype(np.int64))
-                    held[i] = []
-            yield pd.DataFrame({"key": pd.Series(rows, dtype="Int64"), "ids": pd.Series(ids, dtype=object)})
+                    ids.append(np.concatenate(held).astype(np.int64))
+                    held = []
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(ids, pa.list_(pa.int64()))], ["key", "ids"]
+            )
 
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")
-    return rows.mapInPandas(encode, "key long, ids array<long>").withColumnRenamed("key", key)
+    return rows.mapInArrow(encode, "key long, ids array<long>").withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,22 +191,29 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     and not for all its ids.  A null text counts as empty.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, pieces = coder(path)
         for batch in batches:
-            keys = batch["key"]
-            rows = []
+            counts, ids_hashes, text_hashes = [], [], []
             count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-            for i, ids, last in encoded_texts(batch["text"].fillna(""), pieces):
+            for _, ids, last in encoded_texts(texts_of(batch), pieces):
                 count += len(ids)
                 ids_hash.update(ids.astype("<u4").tobytes())
                 text_hash.update(replay.decode(ids.tolist()))
                 if last:
-                    rows.append((count, ids_hash.hexdigest(), text_hash.hexdigest()))
+                    counts.append(count)
+                    ids_hashes.append(ids_hash.hexdigest())
+                    text_hashes.append(text_hash.hexdigest())
                     count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", keys.astype("Int64").reset_index(drop=True))
-            yield out
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(ids_hashes, pa.string()),
+                    pa.array(text_hashes, pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")
-    return rows.mapInPandas(run, OUTPUT)
+    return rows.mapInArrow(run, OUTPUT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from periodica.session import work_dir
@@ -36,3 +37,8 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
         F.split(trimmed, WHITE_CLASS + "+")
     )
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The texts of a batch; null ones are empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]

@@ -22,9 +22,10 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from periodica.llm.common import staged
+from periodica.llm.common import staged, texts_of
 from periodica.llm.pretokens import Pieces, encoded_texts
 
 END_ID = 0
@@ -33,6 +34,10 @@ SALTS = 32
 # A round takes the pieces longer than this part of the longest that is left.
 BAND = 0.97
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
+     ("ids_crc32", pa.int64())]
+)
 
 
 @cache
@@ -96,24 +101,24 @@ def token_pieces(
     A null text counts as empty and is one piece of the end id alone.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch["key"].astype("Int64").tolist()
             rows = []
-            for doc, ids in zip(keys, _encoded(batch["text"].fillna("").tolist(), path)):
+            for doc, ids in zip(batch.column("key").to_pylist(), _encoded(texts_of(batch), path)):
                 ids = np.append(ids, END_ID).astype("<u4")
                 data = ids.tobytes()
-                first = len(ids) % capacity or capacity
-                ends = range(first, len(ids) + 1, capacity)
                 at = 0
-                for k, end in enumerate(ends):
+                first = len(ids) % capacity or capacity
+                for k, end in enumerate(range(first, len(ids) + 1, capacity)):
                     rows.append((doc, k, at, end - at, zlib.crc32(data[4 * at : 4 * end])))
                     at = end
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            columns = zip(*rows) if rows else [[]] * len(ARROW)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW
+            )
 
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")
-    return rows.mapInPandas(run, PIECE)
+    return rows.mapInArrow(run, PIECE)
 
 
 def sweeps(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from periodica.llm import bpe, packing, sharding, warc
+from periodica.llm import (
+    bpe,
+    embeddings,
+    htmltext,
+    ngrams,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substrings,
+    warc,
+)
 from periodica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +27,18 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_subspace(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op2_parity_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, folder, "documents"))
+
+
+def op3_prefix_free(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.removed(table(spark, folder, "documents"))
+
+
 def op4_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents")).select(
         "doc_id",
@@ -33,16 +56,50 @@ def op5_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), RANKS)
 
 
+def op6_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    measured = quality.judged(docs, drop_text=True)
+    return measured.drop("source")
+
+
 def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, folder, "documents"), VOCABULARY))
 
 
+def op8_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, keep_text=False)
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(pii.spans_text("base"), 256).alias("base_sha256"),
+        pii.spans_text("spans").alias("spans"),
+    )
+
+
+def op9_equivalence_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, folder, "pages"))
+
+
 def op10_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_round_trip(table(spark, folder, "pages")).drop("url")
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op4_virtual_slots, op5_merge_replay, op7_best_fit, op10_salvage)
+    q.__name__: q
+    for q in (
+        op1_subspace,
+        op2_parity_sketch,
+        op3_prefix_free,
+        op4_virtual_slots,
+        op5_merge_replay,
+        op6_host_rules,
+        op7_best_fit,
+        op8_bootstrap,
+        op9_equivalence_classes,
+        op10_salvage,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_host_rules": quality.ORACLE}

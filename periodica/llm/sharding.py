@@ -55,33 +55,13 @@ def rebalanced(slot_map: DataFrame, totals: DataFrame, shards: int = SHARDS) ->
         F.coalesce("n_bytes", F.lit(0)).cast("bigint").alias("n_bytes"),
     )
     falling = Window.partitionBy("shard").orderBy(F.desc("n_bytes"), "virtual_slot")
-    share = every.agg(F.ceil(F.sum("n_bytes") / F.lit(shards)).alias("share"))
-    marked = every.join(F.broadcast(share)).withColumn(
-        "stays",
-        F.col("shard").isNotNull()
-        & (
-            (F.sum("n_bytes").over(falling.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("share"))
-            | (F.col("n_bytes") == 0)
-        ),
-    )
-    # One row: the loads of the shards, and the loose slots in falling size.
-    loose = marked.where(~F.col("stays"))
-    loads = (
-        marked.where("stays")
-        .groupBy("shard")
-        .agg(F.sum("n_bytes").alias("n_bytes"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("shard", "n_bytes"))).alias("by_shard"))
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(shards - 1)),
-                lambda i: F.coalesce(F.element_at("by_shard", i), F.lit(0).cast("bigint")),
-            ).alias("loads")
-        )
-    )
-    queue = loose.agg(
-        F.sort_array(F.collect_list(F.struct("n_bytes", "virtual_slot")), asc=False).alias("queue")
+    share = every.agg(F.ceil(F.sum("n_bytes") / F.lit(shards))).scalar()
+    running = F.sum("n_bytes").over(falling.rowsBetween(Window.unboundedPreceding, 0))
+    marked = every.withColumn(
+        "stays", F.col("shard").isNotNull() & ((running <= share) | (F.col("n_bytes") == 0))
     )
 
+    # One row, of a fixed number of slots: what stays, and the others in falling size.
     def give(state: Column, item: Column) -> Column:
         at = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int") - 1
         return F.struct(
@@ -91,10 +71,21 @@ def rebalanced(slot_map: DataFrame, totals: DataFrame, shards: int = SHARDS) ->
             F.array_append(state["chosen"], at).alias("chosen"),
         )
 
-    start = F.struct(F.col("loads"), F.array().cast("array<int>").alias("chosen"))
+    own = lambda i: F.aggregate(
+        F.filter("staying", lambda s: s["shard"] == i), F.lit(0).cast("bigint"), lambda a, s: a + s["n_bytes"]
+    )
+    start = F.struct(
+        F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), own).alias("loads"),
+        F.array().cast("array<int>").alias("chosen"),
+    )
+    one = marked.agg(
+        F.collect_list(F.when(F.col("stays"), F.struct("shard", "n_bytes"))).alias("staying"),
+        F.sort_array(
+            F.collect_list(F.when(~F.col("stays"), F.struct("n_bytes", "virtual_slot"))), asc=False
+        ).alias("queue"),
+    )
     moves = (
-        loads.join(F.broadcast(queue))
-        .select("queue", F.aggregate("queue", start, give)["chosen"].alias("chosen"))
+        one.select("queue", F.aggregate("queue", start, give)["chosen"].alias("chosen"))
         .select(F.explode(F.arrays_zip("queue", "chosen")).alias("move"))
         .select(
             F.col("move.queue.virtual_slot").alias("virtual_slot"),
