@@ -7,13 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from periodica.functions.dates import inclusive_duration
-from periodica.functions.lists import (
-    ITEMS,
-    LIST_ROWS,
-    hot_groups,
-    join_items,
-    ordered_lists,
-)
 from periodica.operators.common import attach, ordered, year_span
 
 # Month labels.
@@ -165,41 +158,42 @@ def direction_balance(
     return ordered(table, sort, total.desc(), setter)
 
 
+def debut_setters(
+    puzzles: DataFrame, setter: str = "creator_name", date: str = "date", sort: bool = True
+) -> DataFrame:
+    """Every setter with the year in which they published for the first time."""
+    table = puzzles.groupBy(setter).agg(F.year(F.min(date)).alias("year")).select("year", setter)
+    return ordered(table, sort, "year", setter)
+
+
 def debuts(
     puzzles: DataFrame,
     last_year: int,
     setter: str = "creator_name",
     date: str = "date",
-    separator: str = ", ",
-    limit: int = LIST_ROWS,
     sort: bool = True,
 ) -> DataFrame:
-    """Per year, how many setters and which ones published for the first time.
+    """Per year, how many setters published for the first time.
 
     Years are contiguous from the earliest debut to ``last_year``; a year
-    without debuts has count 0 and an empty list.  A year with more than
-    ``limit`` names has several rows, each with a run of the names in order and
-    with the count of the whole year.
+    without debuts has count 0.  :func:`debut_setters` tells who they are.
     """
-    first = puzzles.groupBy(setter).agg(F.year(F.min(date)).alias("year"))
-    per_year = first.groupBy("year").agg(F.count(F.lit(1)).alias("n_setters"))
-    years = per_year.agg(F.min("year").alias("_first")).select(
-        F.explode(year_span(F.col("_first"), F.lit(last_year))).alias("year")
-    )
-    hot = hot_groups(per_year, ["year"], "n_setters", limit)
-    lists = ordered_lists(first, ["year"], [setter], [setter], hot, limit=limit).select(
-        "year", join_items(ITEMS, setter, separator).alias("setters")
+    per_year = (
+        debut_setters(puzzles, setter, date, sort=False)
+        .groupBy("year")
+        .agg(F.count(F.lit(1)).alias("n_setters"))
     )
+    # The counts travel as one small map (a key per year) beside the years.
+    known = F.when(F.col("year").isNotNull(), F.struct("year", "n_setters"))
     table = (
-        years.join(per_year, "year", "left")
-        .join(lists, "year", "left")
-        .select(
-            "year",
-            F.coalesce("n_setters", F.lit(0)).alias("n_setters"),
-            F.coalesce("setters", F.lit("")).alias("setters"),
+        per_year.agg(
+            F.min("year").alias("_first"),
+            F.map_from_entries(F.collect_list(known)).alias("_by_year"),
         )
+        .withColumn("year", F.explode(year_span(F.col("_first"), F.lit(last_year))))
+        .select("year", F.coalesce(F.col("_by_year")[F.col("year")], F.lit(0)).alias("n_setters"))
     )
-    return ordered(table, sort, "year", "setters")
+    return ordered(table, sort, "year")
 
 
 def month_season(puzzles: DataFrame, date: str = "date", sort: bool = True) -> DataFrame:

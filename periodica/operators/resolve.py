@@ -30,8 +30,10 @@ def resolve_refs(
 
     ``match="full"`` takes a clue for a reference only if nothing follows.
 
-    Targets are reduced to the best one per number and direction before the
-    join, so a reference meets one row at most however crowded a puzzle is.
+    Only entries whose number some reference of their puzzle names are looked at
+    further, so no other text enters a shuffle.  These are reduced to the best
+    one per number and direction before the join, so a reference meets one row
+    at most however crowded a puzzle is.
     """
     text = F.col(clue)
     is_ref = F.coalesce(text.rlike(_REFERENCE[match]), F.lit(False))
@@ -48,21 +50,27 @@ def resolve_refs(
         F.col(entry_id).alias("entry"),
         text.alias("clue"),
     )
+    refs = entries.where(is_ref).select(
+        "*",
+        F.regexp_extract(text, rf"\ASee{WS}+([0-9]+)", 1).alias("_target"),
+        named.alias("_named"),
+    )
+    wanted = refs.select(F.col(puzzle_id).alias("_puzzle"), F.col("_target").alias("_number")).distinct()
+    aimed = entries.join(
+        wanted,
+        (F.col(puzzle_id) == F.col("_puzzle")) & (F.col(human_number) == F.col("_number")),
+        "left_semi",
+    )
     # Each entry takes part in one of the three, so no text travels twice, and
     # the grouping serves the join below.
     is_named = F.coalesce(F.col(direction).isin("across", "down"), F.lit(False))
-    targets = entries.groupBy(
+    targets = aimed.groupBy(
         F.col(puzzle_id).alias("_puzzle"), F.col(human_number).alias("_number")
     ).agg(
         F.min(F.when(F.col(direction) == "across", target)).alias("_across"),
         F.min(F.when(F.col(direction) == "down", target)).alias("_down"),
         F.min(F.when(~is_named, target)).alias("_other"),
     )
-    refs = entries.where(is_ref).select(
-        "*",
-        F.regexp_extract(text, rf"\ASee{WS}+([0-9]+)", 1).alias("_target"),
-        named.alias("_named"),
-    )
     best = (
         F.when(F.col("_named") == "across", F.col("_across"))
         .when(F.col("_named") == "down", F.col("_down"))

@@ -10,38 +10,40 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from periodica.operators.resolve import resolve_refs
-from periodica.operators.words import LINK_BASE, LIST_ROWS, doc_links, dup_answers, dup_clues
+from periodica.operators.words import LINK_BASE, doc_links, dup_answers, dup_clues
 
 DEFAULT_LENGTH = 10
+LINE_BREAK = "<br />"
 
 
 @dataclass(frozen=True)
 class NamedTable:
-    """Columns of a result table in order, and which of them a search looks at."""
+    """A result table whose rows are groups of uses.
 
-    build: Callable[..., DataFrame]
-    columns: tuple[str, ...]
+    ``rows`` gives the uses.  The table has a row for each value of ``keys``, and
+    then a column for each of ``joined`` (column -> what is joined from the
+    uses, in the order of ``order``).  Without ``joined`` the uses are the table.
+    """
+
+    rows: Callable[..., DataFrame]
+    keys: tuple[str, ...]
     searchable: tuple[str, ...]
+    joined: tuple[tuple[str, str], ...] = ()
+    order: tuple[str, ...] = ()
 
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (*self.keys, *(name for name, _ in self.joined))
 
-def table_dup_answers(
-    entries: DataFrame, puzzles: DataFrame, link_base: str = LINK_BASE, limit: int = LIST_ROWS
+
+def answer_uses(
+    entries: DataFrame, puzzles: DataFrame, link_base: str = LINK_BASE
 ) -> DataFrame:
-    """Setter, answer and the joined clues, kinds and links of its uses."""
-    found = dup_answers(
-        resolve_refs(entries), puzzles, entries, link_base=link_base, limit=limit, sort=False
-    )
-    return found.select("creator_name", "solution", "clues", "types", "links")
+    return dup_answers(resolve_refs(entries), puzzles, link_base=link_base, sort=False)
 
 
-def table_dup_clues(
-    entries: DataFrame, puzzles: DataFrame, link_base: str = LINK_BASE, limit: int = LIST_ROWS
-) -> DataFrame:
-    """Setter and the joined clues, kinds and links of a repeated clue."""
-    found = dup_clues(
-        resolve_refs(entries), puzzles, entries, link_base=link_base, limit=limit, sort=False
-    )
-    return found.select("creator_name", "clues", "types", "links")
+def clue_uses(entries: DataFrame, puzzles: DataFrame, link_base: str = LINK_BASE) -> DataFrame:
+    return dup_clues(resolve_refs(entries), puzzles, link_base=link_base, sort=False)
 
 
 def table_doc_links(entries: DataFrame | None, puzzles: DataFrame) -> DataFrame:
@@ -51,19 +53,23 @@ def table_doc_links(entries: DataFrame | None, puzzles: DataFrame) -> DataFrame:
 
 TABLES: Mapping[str, NamedTable] = {
     "dup_answers": NamedTable(
-        table_dup_answers,
-        ("creator_name", "solution", "clues", "types", "links"),
-        ("creator_name", "solution", "clues"),
+        answer_uses,
+        keys=("creator_name", "solution"),
+        joined=(("clues", "clue"), ("types", "crossword_type"), ("links", "link")),
+        order=("number", "crossword_id", "clue"),
+        searchable=("creator_name", "solution", "clue"),
     ),
     "dup_clues": NamedTable(
-        table_dup_clues,
-        ("creator_name", "clues", "types", "links"),
-        ("creator_name", "clues"),
+        clue_uses,
+        keys=("creator_name", "clue"),
+        joined=(("types", "crossword_type"), ("links", "link")),
+        order=("number", "crossword_id"),
+        searchable=("creator_name", "clue"),
     ),
     "doc_links": NamedTable(
         table_doc_links,
-        ("creator_name", "link", "date_text"),
-        ("creator_name", "link", "date_text"),
+        keys=("creator_name", "link", "date_text"),
+        searchable=("creator_name", "link", "date_text"),
     ),
 }
 
@@ -175,6 +181,51 @@ def page_after(
     return table_sort(table.where(later), column, direction).limit(length)
 
 
+def _kept(condition: Column | None) -> Column:
+    return F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+
+
+def table_groups(
+    spec: NamedTable, rows: DataFrame, conditions: Sequence[Column] = ()
+) -> DataFrame:
+    """The rows of a named table: its keys, ``n_uses`` and the first of what is joined.
+
+    A group is kept if each condition holds for some use of it.  Uses are reduced
+    in the tasks before the shuffle; no list is built.
+    """
+    if not spec.joined:
+        return rows.where(reduce(and_, map(_kept, conditions), F.lit(True)))
+    order = F.struct(*spec.order)
+    found = rows.groupBy(*spec.keys).agg(
+        F.count(F.lit(1)).alias("n_uses"),
+        F.min_by(F.struct(*[F.col(use).alias(name) for name, use in spec.joined]), order).alias("_first"),
+        *[F.max(_kept(c)).alias(f"_{i}") for i, c in enumerate(conditions)],
+    )
+    for i in range(len(conditions)):
+        found = found.where(F.col(f"_{i}"))
+    return found.select(*spec.keys, "_first.*", "n_uses")
+
+
+def page_texts(spec: NamedTable, rows: DataFrame, page: DataFrame) -> DataFrame:
+    """The groups of a page, one row each, with all their uses joined into texts.
+
+    ``page`` holds the few groups of a page, which is what bounds the broadcast;
+    the uses of other groups are never collected.
+    """
+    if not spec.joined:
+        return page
+    same = [rows[k].eqNullSafe(page[k]) for k in spec.keys]
+    used = rows.join(F.broadcast(page.select(*spec.keys)), reduce(and_, same), "left_semi")
+    picked = dict.fromkeys([*spec.order, *(use for _, use in spec.joined)])
+    uses = F.array_sort(F.collect_list(F.struct(*picked)))
+    lists = used.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_uses"), uses.alias("_uses"))
+
+    def text(use: str) -> Column:
+        return F.array_join(F.transform("_uses", lambda u: u[use].cast("string")), LINE_BREAK)
+
+    return lists.select(*spec.keys, *[text(use).alias(name) for name, use in spec.joined], "n_uses")
+
+
 @dataclass(frozen=True)
 class TablePage:
     draw: int
@@ -184,19 +235,27 @@ class TablePage:
 
 
 def table_counts(
-    table: DataFrame, search: str, columns: Sequence[str], literal: bool = False
+    spec: NamedTable, rows: DataFrame, search: str = "", literal: bool = False
 ) -> DataFrame:
-    """One row: all rows, and the rows the search keeps, from a single pass."""
-    kept = search_condition(search, columns, literal) if search else F.lit(True)
-    return table.agg(
-        F.count(F.lit(1)).alias("records_total"),
-        F.count_if(kept).alias("records_filtered"),
+    """One row: all rows of a named table, and those the search keeps, from a single pass."""
+    kept = _kept(search_condition(search, spec.searchable, literal) if search else None)
+    if spec.joined:
+        rows = rows.groupBy(*spec.keys).agg(F.max(kept).alias("_kept"))
+        kept = F.col("_kept")
+    return rows.agg(
+        F.count(F.lit(1)).alias("records_total"), F.count_if(kept).alias("records_filtered")
     )
 
 
+def stored_rows(rows: DataFrame, path: str) -> DataFrame:
+    """The uses behind a named table, written once, for any number of requests."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def result_page(
-    table: DataFrame,
-    searchable: Sequence[str],
+    spec: NamedTable,
+    rows: DataFrame,
     draw: int = 0,
     search: str = "",
     column: int | None = None,
@@ -205,21 +264,29 @@ def result_page(
     length: int = DEFAULT_LENGTH,
     literal: bool = False,
 ) -> TablePage:
-    """Counts and one page of text rows of a result table.
+    """Counts and one page of text rows of a named table.
 
-    Pass a stored or persisted table when many pages are asked for.  A page row
-    holding a NULL is left out, though it is part of the counts.
+    ``rows`` are its stored uses, see :func:`stored_rows`.  A search looks at each
+    use by itself.  The page is cut on the keys and, for a sort by a joined
+    column, on the group's first use; texts are joined for its groups only.  A
+    page row holding a NULL is left out, though it is part of the counts.
     """
-    counts = table_counts(table, search, searchable, literal).first()
-    found = table_search(table, search, searchable, literal)
+    counts = table_counts(spec, rows, search, literal).first()
+    conditions = [search_condition(search, spec.searchable, literal)] if search else []
+    found = table_groups(spec, rows, conditions).select(*spec.columns)
     page = table_page(found, column, direction, start, length)
-    rows = page.select(*[F.col(c).cast("string").alias(c) for c in page.columns]).dropna()
-    return TablePage(draw, counts["records_total"], counts["records_filtered"], rows)
+    texts = table_sort(page_texts(spec, rows, page).select(*spec.columns), column, direction)
+    shown = texts.select(*[F.col(c).cast("string").alias(c) for c in spec.columns]).dropna()
+    return TablePage(draw, counts["records_total"], counts["records_filtered"], shown)
 
 
 def table_request(
-    name: str, entries: DataFrame | None, puzzles: DataFrame, **request: object
+    name: str, entries: DataFrame | None, puzzles: DataFrame, path: str, **request: object
 ) -> TablePage:
-    """A page of a table chosen by name; unknown names raise ``ValueError``."""
+    """A page of a table chosen by name, whose uses are stored at ``path`` first.
+
+    Unknown names raise ``ValueError``.  For further pages of the same table call
+    :func:`result_page` with the stored uses.
+    """
     spec = named_table(name)
-    return result_page(spec.build(entries, puzzles), spec.searchable, **request)
+    return result_page(spec, stored_rows(spec.rows(entries, puzzles), path), **request)

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from periodica.functions.lists import (
-    ITEMS,
-    LIST_ROWS,
-    hot_groups,
-    join_items,
-    ordered_lists,
-)
 from periodica.functions.text import anchor, is_placeholder, strip_hint
 from periodica.operators.common import attach, ordered
 
-LINE_BREAK = "<br />"
 LINK_BASE = "https://archive.example/"
 
 
@@ -78,75 +70,48 @@ def _real_uses(
     return attach(uses, puzzles, [setter, kind, number], entry_key)
 
 
-def _may_exceed(
-    entries: DataFrame,
-    puzzles: DataFrame,
-    digest: Column,
-    setter: str,
-    entry_key: str,
-    limit: int,
-) -> bool:
-    """Whether any group of one setter and digest could have over ``limit`` uses.
-
-    A cheap upper bound from two narrow columns: entries are counted before the
-    distinct, and entries without a digest might join any group of their setter.
-    """
-    marked = entries.select(entry_key, digest.alias("_digest"))
-    sizes = (
-        attach(marked, puzzles, [setter], entry_key)
-        .groupBy(setter, "_digest")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    known = F.col("_digest").isNotNull()
-    most = [F.coalesce(F.max(F.when(c, F.col("n"))), F.lit(0)) for c in (known, ~known)]
-    worst = sizes.groupBy(setter).agg((most[0] + most[1]).alias("worst"))
-    return not worst.where(F.col("worst") > limit).isEmpty()
-
-
 def _duplicates(
     resolved: DataFrame,
     puzzles: DataFrame,
     shared: str,
-    large: bool,
     setter: str,
     kind: str,
     number: str,
     clue: str,
     entry_key: str,
     link_base: str,
-    limit: int,
     sort: bool,
 ) -> DataFrame:
     item_columns = list(dict.fromkeys([shared, clue]))
-    keys = [setter, shared]
     uses = _real_uses(resolved, puzzles, item_columns, setter, kind, number, clue, entry_key)
-    hot = None
-    if large:
-        sizes = uses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        hot = hot_groups(sizes, keys, limit=limit)
-    order = [number, entry_key] + [c for c in item_columns if c != shared]
-    lists = ordered_lists(
-        uses, keys, order=order, values=[kind], hot=hot, spread=entry_key, limit=limit, sort=sort
+    # Counted in the tasks before the shuffle, so a large group is one row there.
+    groups = (
+        uses.groupBy(F.col(setter).alias("_setter"), F.col(shared).alias("_shared"))
+        .agg(
+            F.count(F.lit(1)).alias("n_uses"),
+            F.min(entry_key).alias("_first"),
+            F.max(entry_key).alias("_last"),
+        )
+        .where(F.col("_first") != F.col("_last"))
     )
-    # Only what differs inside a group is carried in the lists.
-    if shared == clue:
-        clues = F.array_join(F.transform(ITEMS, lambda x: F.col(clue)), LINE_BREAK)
-    else:
-        clues = join_items(ITEMS, clue, LINE_BREAK)
-    href = lambda x: anchor(F.concat(F.lit(link_base), x[entry_key]), x[number])
-    return lists.select(
-        *keys,
-        F.size(ITEMS).cast("bigint").alias("n"),
-        clues.alias("clues"),
-        join_items(ITEMS, kind, LINE_BREAK).alias("types"),
-        F.array_join(F.transform(ITEMS, href), LINE_BREAK).alias("links"),
+    same = F.col(setter).eqNullSafe(F.col("_setter")) & F.col(shared).eqNullSafe(F.col("_shared"))
+    others = [c for c in item_columns if c != shared]
+    table = uses.join(groups, same).select(
+        setter,
+        shared,
+        "n_uses",
+        number,
+        entry_key,
+        *others,
+        kind,
+        anchor(F.concat(F.lit(link_base), F.col(entry_key)), F.col(number)).alias("link"),
     )
+    return ordered(table, sort, setter, shared, number, entry_key, *others)
 
 
 def dup_answers(
     resolved: DataFrame,
     puzzles: DataFrame,
-    entries: DataFrame | None = None,
     setter: str = "creator_name",
     solution: str = "solution",
     kind: str = "crossword_type",
@@ -154,46 +119,36 @@ def dup_answers(
     clue: str = "clue",
     entry_key: str = "crossword_id",
     link_base: str = LINK_BASE,
-    limit: int = LIST_ROWS,
     sort: bool = True,
 ) -> DataFrame:
-    """Answers one setter used in more than one puzzle, with clues, kinds, links.
+    """The uses of the answers that one setter used in more than one puzzle.
 
-    The three lists are joined texts in the order of the puzzle number, which
-    compares as text.  ``resolved`` is the result of ``resolve_refs``; giving the
-    ``entries`` behind it makes the size check cheaper, which runs at once.  A
-    group of more than ``limit`` uses comes as several rows holding consecutive
-    runs, each of at most ``limit``.
+    One row per use, with the number of uses of its group; the puzzle number
+    compares as text.  ``resolved`` is the result of ``resolve_refs``.  The form
+    is the same whatever the size of a group; ``tables.page_texts`` joins the
+    uses of the groups of a page.
     """
-    sized = resolved if entries is None else entries
-    large = _may_exceed(sized, puzzles, F.xxhash64(solution), setter, entry_key, limit)
     return _duplicates(
-        resolved.select(entry_key, solution, clue), puzzles, solution, large,
-        setter, kind, number, clue, entry_key, link_base, limit, sort,
+        resolved.select(entry_key, solution, clue), puzzles, solution,
+        setter, kind, number, clue, entry_key, link_base, sort,
     )
 
 
 def dup_clues(
     resolved: DataFrame,
     puzzles: DataFrame,
-    entries: DataFrame | None = None,
     setter: str = "creator_name",
     kind: str = "crossword_type",
     number: str = "number",
     clue: str = "clue",
     entry_key: str = "crossword_id",
     link_base: str = LINK_BASE,
-    limit: int = LIST_ROWS,
     sort: bool = True,
 ) -> DataFrame:
-    """Clues one setter used in more than one puzzle; otherwise as dup_answers."""
-    # Resolution turns a placeholder into some real clue, so those have no digest.
-    sized = resolved if entries is None else entries
-    digest = F.when(~is_placeholder(F.col(clue)), F.xxhash64(clue))
-    large = _may_exceed(sized, puzzles, digest, setter, entry_key, limit)
+    """The uses of the clues that one setter used in more than one puzzle."""
     return _duplicates(
-        resolved.select(entry_key, clue), puzzles, clue, large,
-        setter, kind, number, clue, entry_key, link_base, limit, sort,
+        resolved.select(entry_key, clue), puzzles, clue,
+        setter, kind, number, clue, entry_key, link_base, sort,
     )
 
 

@@ -73,30 +73,38 @@ _REAL = """
           clue, 'Follow\\s+the\\s+link\\s+below\\s+to\\s+see\\s+today''s\\s+clues.*')"""
 
 
-def _lists(shared: str) -> str:
-    columns = "crossword_id, clue" if shared == "clue" else "crossword_id, solution, clue"
-    order = "ORDER BY number, crossword_id, clue"
+def _uses(shared: str) -> str:
+    columns = ["crossword_id", "clue"] if shared == "clue" else ["crossword_id", "solution", "clue"]
     return f"""
-uses AS (
-  SELECT DISTINCT {", ".join("e." + c.strip() for c in columns.split(","))},
-         p.creator_name, p.crossword_type, p.number
+real AS (
+  SELECT DISTINCT {", ".join("e." + c for c in columns)}, p.creator_name, p.crossword_type, p.number
   FROM resolved e JOIN fx_puzzle p ON e.crossword_id = p.id
   WHERE {_REAL.replace("clue", "e.clue").replace("e.clues", "clues")}),
-listed AS (
-  SELECT creator_name, {shared}, COUNT(*) AS n,
-         string_agg(clue, '<br />' {order}) AS clues,
-         string_agg(crossword_type, '<br />' {order}) AS types,
-         string_agg('<a href="https://archive.example/' || crossword_id || '">' || number || '</a>',
-                    '<br />' {order}) AS links
-  FROM uses GROUP BY creator_name, {shared} HAVING COUNT(DISTINCT crossword_id) > 1)"""
+uses AS (
+  SELECT creator_name, {shared}, COUNT(*) OVER w AS n_uses, number,
+         {", ".join(c for c in columns if c != shared)}, crossword_type,
+         '<a href="https://archive.example/' || crossword_id || '">' || number || '</a>' AS link
+  FROM real
+  WINDOW w AS (PARTITION BY creator_name, {shared})
+  QUALIFY MIN(crossword_id) OVER w <> MAX(crossword_id) OVER w)"""
 
 
-_ANSWERS = ",".join(
-    [_FX_PUZZLE, _FX_ENTRY, _PREFIX, _lists("solution")]
-) + ", answers AS (SELECT creator_name, solution, clues, types, links FROM listed)"
-_CLUES = ",".join(
-    [_FX_PUZZLE, _FX_ENTRY, _PREFIX, _lists("clue")]
-) + ", repeated AS (SELECT creator_name, clues, types, links FROM listed)"
+_ANSWERS = ",".join([_FX_PUZZLE, _FX_ENTRY, _PREFIX, _uses("solution")]) + """, answers AS (
+  SELECT creator_name, solution, n_uses, clue AS clues, crossword_type AS types, link AS links
+  FROM uses
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY creator_name, solution ORDER BY number, crossword_id, clue) = 1)"""
+_CLUES = ",".join([_FX_PUZZLE, _FX_ENTRY, _PREFIX, _uses("clue")]) + """, repeated AS (
+  SELECT creator_name, clue, n_uses, crossword_type AS types, link AS links
+  FROM uses
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY creator_name, clue ORDER BY number, crossword_id) = 1)"""
+_JOINED_TEXTS = """texts AS (
+  SELECT creator_name, solution, COUNT(*) AS n_uses,
+         string_agg(clue, '<br />' ORDER BY number, crossword_id, clue) AS clues,
+         string_agg(crossword_type, '<br />' ORDER BY number, crossword_id, clue) AS types,
+         string_agg(link, '<br />' ORDER BY number, crossword_id, clue) AS links,
+         bool_or(creator_name ILIKE '%nation_2%' OR solution ILIKE '%nation_2%'
+                 OR clue ILIKE '%nation_2%') AS hit
+  FROM uses GROUP BY creator_name, solution)"""
 _LINKS = f"""{_FX_PUZZLE}, links AS (
   SELECT creator_name, '<a href="' || pdf || '">' || number || '</a>' AS link,
          CAST(date AS VARCHAR) AS date_text
@@ -176,14 +184,15 @@ QUALIFY row_number() OVER (PARTITION BY creator_name
                            ORDER BY streak_length DESC, runs.streak_start) = 1"""
 
 
-def _debuts(source: str, view: str) -> str:
-    return f"""WITH {view}, firsts AS (
-  SELECT creator_name, CAST(EXTRACT(YEAR FROM MIN(date)) AS INTEGER) AS year
-  FROM {source} GROUP BY creator_name),
-spine AS (
+def _debuts(source: str, view: str, names: bool = False) -> str:
+    firsts = f"""WITH {view}, firsts AS (
+  SELECT CAST(EXTRACT(YEAR FROM MIN(date)) AS INTEGER) AS year, creator_name
+  FROM {source} GROUP BY creator_name)"""
+    if names:
+        return f"{firsts} SELECT year, creator_name FROM firsts"
+    return f"""{firsts}, spine AS (
   SELECT CAST(unnest(range((SELECT MIN(year) FROM firsts), {LAST_YEAR} + 1)) AS INTEGER) AS year)
-SELECT s.year, COUNT(f.creator_name) AS n_setters,
-       COALESCE(string_agg(f.creator_name, ', ' ORDER BY f.creator_name), '') AS setters
+SELECT s.year, COUNT(f.creator_name) AS n_setters
 FROM spine s LEFT JOIN firsts f ON f.year = s.year GROUP BY s.year"""
 
 
@@ -255,23 +264,21 @@ SELECT creator_name, MAX(n) AS max_count
 FROM (SELECT creator_name, solution, COUNT(*) AS n FROM joined
       GROUP BY creator_name, solution HAVING COUNT(*) > 1)
 GROUP BY creator_name""",
+    # Whole months counted by the engine itself; the days are what is left beyond them.
     "bio_range": f"""WITH {_FX_PUZZLE}, spans AS (
   SELECT creator_name, MIN(date) AS first_date, MAX(date) AS last_date
   FROM fx_puzzle GROUP BY creator_name),
-parts AS (
-  SELECT *, year(last_date) - year(first_date) AS y, month(last_date) - month(first_date) AS m,
-         day(last_date) - day(first_date) AS d,
-         day(last_date - CAST(day(last_date) AS INTEGER)) AS before
-  FROM spans),
-borrowed AS (
-  SELECT creator_name, first_date, last_date, y, CASE WHEN d < 0 THEN m - 1 ELSE m END AS m,
-         CASE WHEN d < 0 THEN d + before ELSE d END AS d
-  FROM parts)
+whole AS (
+  SELECT *, datesub('month', first_date, last_date) AS m FROM spans),
+rest AS (
+  SELECT *, CASE WHEN day(last_date) >= day(first_date) THEN day(last_date) - day(first_date)
+                 ELSE day(last_day(last_date - INTERVAL 1 MONTH)) - day(first_date) + day(last_date)
+            END AS d
+  FROM whole)
 SELECT creator_name, first_date, last_date,
-       CAST(CASE WHEN m < 0 THEN y - 1 ELSE y END AS VARCHAR) || ' years, '
-       || CAST(CASE WHEN m < 0 THEN m + 12 ELSE m END AS VARCHAR) || ' months, '
+       CAST(m // 12 AS VARCHAR) || ' years, ' || CAST(m % 12 AS VARCHAR) || ' months, '
        || CAST(d + 1 AS VARCHAR) || ' days' AS duration
-FROM borrowed""",
+FROM rest""",
     "self_ref": f"""WITH {_TWO}
 SELECT creator_name, COUNT(*) AS n FROM joined
 WHERE position(creator_name IN clue) > 0 GROUP BY creator_name""",
@@ -292,8 +299,8 @@ GROUP BY p.creator_name""",
 SELECT creator_name, CAST(EXTRACT(YEAR FROM date) AS INTEGER) AS year, COUNT(*) AS n,
        CAST(CEIL(CAST(COUNT(*) AS DOUBLE) / 12) AS INTEGER) AS per_month
 FROM fx_puzzle GROUP BY 1, 2""",
-    "dup_answers": f"WITH {_ANSWERS} SELECT * FROM listed",
-    "dup_clues": f"WITH {_CLUES} SELECT * FROM listed",
+    "dup_answers": f"WITH {_ANSWERS} SELECT * FROM uses",
+    "dup_clues": f"WITH {_CLUES} SELECT * FROM uses",
     "doc_links": f"WITH {_LINKS} SELECT * FROM links",
     "top_answers": f"""WITH {_FX_ENTRY}
 SELECT solution, COUNT(*) AS n FROM fx_entry WHERE solution IS NOT NULL AND solution <> ''
@@ -317,6 +324,8 @@ SELECT creator_name, COUNT(*) FILTER (WHERE direction = 'across') AS across,
 FROM joined WHERE direction IN ('across', 'down') GROUP BY creator_name""",
     "debuts": _debuts("fx_puzzle", _FX_PUZZLE),
     "debuts_suppliers": _debuts("fx_dated", _FX_DATED),
+    "debut_setters": _debuts("fx_puzzle", _FX_PUZZLE, names=True),
+    "debut_setters_suppliers": _debuts("fx_dated", _FX_DATED, names=True),
     "month_season": f"""WITH {_FX_PUZZLE}, spine AS (
   SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS month)
 SELECT s.month, strftime(make_date(2000, s.month, 1), '%b') AS month_name, COUNT(p.id) AS n
@@ -339,31 +348,43 @@ SELECT 'dup_clues', COUNT(*) FROM (WITH {_CLUES} SELECT * FROM repeated)
 UNION ALL
 SELECT 'doc_links', COUNT(*) FROM (WITH {_LINKS} SELECT * FROM links)""",
     "table_search": f"""WITH {_ANSWERS}
-SELECT * FROM answers
-WHERE creator_name ILIKE '%blue%NATION_7 %' OR solution ILIKE '%blue%NATION_7 %'
-   OR clues ILIKE '%blue%NATION_7 %'""",
+SELECT * FROM answers WHERE (creator_name, solution) IN (
+  SELECT (creator_name, solution) FROM uses
+  WHERE creator_name ILIKE '%blue%NATION_7 %' OR solution ILIKE '%blue%NATION_7 %'
+     OR clue ILIKE '%blue%NATION_7 %')""",
     "table_search_literal": f"""WITH {_LINKS}
 SELECT * FROM links WHERE contains(lower(creator_name), 'n_1') OR contains(lower(link), 'n_1')""",
     "table_filtered_count": f"""WITH {_ANSWERS}
-SELECT COUNT(*) AS records_total,
-       COUNT(*) FILTER (WHERE creator_name ILIKE '%Ring%' OR solution ILIKE '%Ring%'
-                           OR clues ILIKE '%Ring%') AS records_filtered
-FROM answers""",
+SELECT (SELECT COUNT(*) FROM answers) AS records_total,
+       (SELECT COUNT(DISTINCT (creator_name, solution)) FROM uses
+        WHERE creator_name ILIKE '%Ring%' OR solution ILIKE '%Ring%' OR clue ILIKE '%Ring%')
+         AS records_filtered""",
     "table_sort": f"""WITH {_ANSWERS}
 SELECT creator_name, solution FROM answers ORDER BY solution DESC, creator_name""",
-    "table_page": f"""WITH {_ANSWERS}
-SELECT * FROM answers
-ORDER BY solution DESC, creator_name, solution, clues, types, links LIMIT 15 OFFSET 20""",
+    "table_page": f"""WITH {_ANSWERS}, {_JOINED_TEXTS}
+SELECT * EXCLUDE (hit) FROM texts ORDER BY solution DESC, creator_name LIMIT 15 OFFSET 20""",
     "table_page_after": f"""WITH {_LINKS}
-SELECT * FROM links ORDER BY date_text DESC, creator_name, link LIMIT 25 OFFSET 41""",
-    "table_page_full": f"""WITH {_LINKS}, hits AS (
+SELECT * FROM links
+WHERE date_text < '1996-06-30'
+   OR date_text = '1996-06-30' AND (creator_name > 'NATION_12' OR creator_name = 'NATION_12' AND link > '')
+ORDER BY date_text DESC, creator_name, link LIMIT 25""",
+    "table_page_full": f"""WITH {_ANSWERS}, {_JOINED_TEXTS}
+SELECT creator_name, solution, clues, types, links, CAST(3 AS INTEGER) AS draw,
+       (SELECT COUNT(*) FROM texts) AS records_total,
+       (SELECT COUNT(*) FROM texts WHERE hit) AS records_filtered
+FROM texts WHERE hit ORDER BY solution, creator_name LIMIT 10 OFFSET 30""",
+    "table_page_full_links": f"""WITH {_LINKS}, hits AS (
   SELECT * FROM links WHERE creator_name ILIKE '%nation_2%' OR link ILIKE '%nation_2%'
                          OR date_text ILIKE '%nation_2%')
 SELECT h.*, CAST(3 AS INTEGER) AS draw, (SELECT COUNT(*) FROM links) AS records_total,
        (SELECT COUNT(*) FROM hits) AS records_filtered
 FROM hits h ORDER BY date_text, creator_name, link LIMIT 10 OFFSET 30""",
     "column_search": f"""WITH {_ANSWERS}
-SELECT * FROM answers WHERE creator_name ILIKE '%nation_1%' AND clues ILIKE '%GREEN bolt%'""",
+SELECT * FROM answers
+WHERE creator_name ILIKE '%nation_1%' AND (creator_name, solution) IN (
+  SELECT (creator_name, solution) FROM uses WHERE clue ILIKE '%blue%NATION_1%')""",
+    "column_search_links": f"""WITH {_LINKS}
+SELECT * FROM links WHERE creator_name ILIKE '%nation_1%' AND contains(date_text, '-07-')""",
     "grid_fingerprint": f"WITH {_GRIDS} SELECT * FROM prints",
     "grid_match": f"WITH {_GRIDS} SELECT * FROM matched",
     "grid_names": f"""WITH {_GRIDS}

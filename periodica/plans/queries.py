@@ -278,14 +278,12 @@ def bio_yearly(spark, t):
 
 @query
 def dup_answers(spark, t):
-    e = views.entries(t)
-    return words.dup_answers(resolve_refs(e), views.puzzles(t), e)
+    return words.dup_answers(resolve_refs(views.entries(t)), views.puzzles(t))
 
 
 @query
 def dup_clues(spark, t):
-    e = views.entries(t)
-    return words.dup_clues(resolve_refs(e), views.puzzles(t), e)
+    return words.dup_clues(resolve_refs(views.entries(t)), views.puzzles(t))
 
 
 @query
@@ -328,6 +326,16 @@ def debuts_suppliers(spark, t):
     return counts.debuts(views.dated(t), LAST_YEAR)
 
 
+@query
+def debut_setters(spark, t):
+    return counts.debut_setters(views.puzzles(t))
+
+
+@query
+def debut_setters_suppliers(spark, t):
+    return counts.debut_setters(views.dated(t))
+
+
 @query
 def month_season(spark, t):
     return counts.month_season(views.puzzles(t))
@@ -351,14 +359,21 @@ def month_streak(spark, t):
 # ---- result tables
 
 
+ANSWERS, CLUES, LINKS = (tables.TABLES[n] for n in ("dup_answers", "dup_clues", "doc_links"))
+
+
+def _uses(spec: tables.NamedTable, t: Tables) -> DataFrame:
+    return spec.rows(views.entries(t), views.puzzles(t))
+
+
 @query
 def table_dup_answers(spark, t):
-    return tables.table_dup_answers(views.entries(t), views.puzzles(t))
+    return tables.table_groups(ANSWERS, _uses(ANSWERS, t))
 
 
 @query
 def table_dup_clues(spark, t):
-    return tables.table_dup_clues(views.entries(t), views.puzzles(t))
+    return tables.table_groups(CLUES, _uses(CLUES, t))
 
 
 @query
@@ -368,9 +383,8 @@ def table_doc_links(spark, t):
 
 @query
 def table_total(spark, t):
-    e, p = views.entries(t), views.puzzles(t)
     totals = [
-        spec.build(e, p).agg(F.count(F.lit(1)).alias("records_total")).select(
+        tables.table_counts(spec, _uses(spec, t)).select(
             F.lit(name).alias("table_name"), "records_total"
         )
         for name, spec in tables.TABLES.items()
@@ -378,16 +392,10 @@ def table_total(spark, t):
     return totals[0].unionByName(totals[1]).unionByName(totals[2])
 
 
-def _answers(t: Tables) -> DataFrame:
-    return tables.table_dup_answers(views.entries(t), views.puzzles(t))
-
-
-SEARCHABLE = tables.TABLES["dup_answers"].searchable
-
-
 @query
 def table_search(spark, t):
-    return tables.table_search(_answers(t), "blue%NATION_7 ", SEARCHABLE)
+    found = tables.search_condition("blue%NATION_7 ", ANSWERS.searchable)
+    return tables.table_groups(ANSWERS, _uses(ANSWERS, t), [found])
 
 
 @query
@@ -398,30 +406,36 @@ def table_search_literal(spark, t):
 
 @query
 def table_filtered_count(spark, t):
-    return tables.table_counts(_answers(t), "Ring", SEARCHABLE)
+    return tables.table_counts(ANSWERS, _uses(ANSWERS, t), "Ring")
 
 
 @query
 def table_sort(spark, t):
-    return tables.table_sort(_answers(t), 1, "DESC").select("creator_name", "solution")
+    groups = tables.table_groups(ANSWERS, _uses(ANSWERS, t))
+    return tables.table_sort(groups, 1, "DESC").select("creator_name", "solution")
 
 
 @query
 def table_page(spark, t):
-    return tables.table_page(_answers(t), 1, "desc", start=20, length=15)
+    """A page of groups, cut on their keys, with the uses of its groups joined."""
+    uses = tables.stored_rows(_uses(ANSWERS, t), work_dir(spark, "answers"))
+    page = tables.table_page(tables.table_groups(ANSWERS, uses), 1, "desc", start=20, length=15)
+    return tables.page_texts(ANSWERS, uses, page)
+
+
+# A row that need not be in the table: the page begins with what follows it.
+CURSOR = {"creator_name": "NATION_12", "link": "", "date_text": "1996-06-30"}
 
 
 @query
 def table_page_after(spark, t):
     links = tables.table_doc_links(None, views.puzzles(t))
-    last = tables.table_page(links, 2, "desc", start=40, length=1).first().asDict()
-    return tables.page_after(links, last, 2, "desc", length=25)
+    return tables.page_after(links, CURSOR, 2, "desc", length=25)
 
 
-@query
-def table_page_full(spark, t):
+def _request(spark: SparkSession, t: Tables, name: str, **request: object) -> DataFrame:
     page = tables.table_request(
-        "doc_links", None, views.puzzles(t), draw=3, search="nation_2", column=2, start=30, length=0
+        name, views.entries(t), views.puzzles(t), work_dir(spark, name), **request
     )
     return page.data.select(
         "*",
@@ -431,9 +445,28 @@ def table_page_full(spark, t):
     )
 
 
+@query
+def table_page_full(spark, t):
+    return _request(spark, t, "dup_answers", draw=3, search="nation_2", column=1, start=30, length=0)
+
+
+@query
+def table_page_full_links(spark, t):
+    return _request(spark, t, "doc_links", draw=3, search="nation_2", column=2, start=30, length=0)
+
+
 @query
 def column_search(spark, t):
-    return tables.column_search(_answers(t), {"creator_name": "nation_1", "clues": "GREEN bolt"})
+    """Groups for which the setter and some clue match, and not only one of them."""
+    searches = {"creator_name": "nation_1", "clue": "blue%NATION_1"}
+    found = [tables.search_condition(s, [c]) for c, s in searches.items()]
+    return tables.table_groups(ANSWERS, _uses(ANSWERS, t), found)
+
+
+@query
+def column_search_links(spark, t):
+    links = tables.table_doc_links(None, views.puzzles(t))
+    return tables.column_search(links, {"creator_name": "nation_1", "date_text": "-07-", "link": ""})
 
 
 # ---- grids

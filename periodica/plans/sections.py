@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -20,7 +21,7 @@ class Archive:
     entries: DataFrame
     last_year: int
 
-    @property
+    @cached_property
     def resolved(self) -> DataFrame:
         return resolve_refs(self.entries)
 
@@ -76,14 +77,15 @@ register(
 )
 register("4", "bio_yearly", lambda a: counts.bio_yearly(a.puzzles))
 register("4", "yearly_by_type", lambda a: counts.yearly_by_type(a.puzzles))
-register("5", "dup_answers", lambda a: words.dup_answers(a.resolved, a.puzzles, a.entries))
-register("5a", "dup_clues", lambda a: words.dup_clues(a.resolved, a.puzzles, a.entries))
+register("5", "dup_answers", lambda a: words.dup_answers(a.resolved, a.puzzles))
+register("5a", "dup_clues", lambda a: words.dup_clues(a.resolved, a.puzzles))
 register("6", "doc_links", lambda a: words.doc_links(a.puzzles))
 register("7", "top_answers", lambda a: words.top_answers(a.entries))
 register("8", "unique_ratio", lambda a: words.unique_ratio(a.entries, a.puzzles))
 register("9", "avg_text_len", lambda a: words.avg_text_len(a.entries, a.puzzles))
 register("10", "direction_balance", lambda a: counts.direction_balance(a.entries, a.puzzles))
 register("11", "debuts", lambda a: counts.debuts(a.puzzles, a.last_year))
+register("11", "debut_setters", lambda a: counts.debut_setters(a.puzzles))
 register("12", "month_season", lambda a: counts.month_season(a.puzzles))
 register("13", "week_streak", lambda a: streaks.week_streak(a.puzzles))
 register("14", "month_streak", lambda a: streaks.month_streak(a.puzzles))

@@ -1,11 +1,11 @@
-"""Repeated answers and clues, with groups far over the list limit."""
+"""Repeated answers and clues in their long form, also with a group of most rows."""
 
 import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from periodica.functions import lists
 from periodica.operators import counts, tables, words
 from periodica.operators.resolve import resolve_refs
 
@@ -40,45 +40,46 @@ def brute(p, e, by):
     return {k: sorted(v) for k, v in groups.items() if len({u[1] for u in v}) > 1}
 
 
-def check(df, p, e, by, limit):
-    got = defaultdict(list)
-    for r in df.collect():
-        got[r.creator_name, r[by]].append(r)
-    want = brute(p, e, by)
-    assert set(got) == set(want)
-    for key, uses in want.items():
-        parts = got[key]
-        assert (len(parts) == 1) == (len(uses) <= limit)
-        clues, types, links = [], [], []
-        for r in parts:
-            assert r.n <= limit
-            clues += r.clues.split(BREAK)
-            types += r.types.split(BREAK)
-            links += r.links.split(BREAK)
-        assert clues == [u[2] for u in uses]
-        assert types == [u[3] for u in uses]
-        assert links == [f'<a href="https://archive.example/{u[1]}">{u[0]}</a>' for u in uses]
-
-
-@pytest.mark.parametrize("most_keys", [10_000, 0])
-@pytest.mark.parametrize("limit, hot", [(65_536, 50), (25, 400), (7, 200)])
-def test_lists_are_whole_and_bounded(
-    spark, puzzles_of, entries_of, monkeypatch, limit, hot, most_keys
-):
-    monkeypatch.setattr(lists, "HOT_KEYS", most_keys)
-    p, e, pdf, edf = archive(puzzles_of, entries_of, hot)
-    edf = edf.repartition(5)
-    resolved = resolve_refs(edf)
-    check(words.dup_answers(resolved, pdf, edf, limit=limit), p, e, "solution", limit)
-    check(words.dup_clues(resolved, pdf, edf, limit=limit), p, e, "clue", limit)
-    check(words.dup_answers(resolved, pdf, limit=limit), p, e, "solution", limit)
+def link(pid, number):
+    return f'<a href="https://archive.example/{pid}">{number}</a>'
 
 
-def test_result_is_sorted(puzzles_of, entries_of):
-    _, _, pdf, edf = archive(puzzles_of, entries_of, 100)
-    for limit in (10, 65_536):
-        got = [(r[0], r[1]) for r in words.dup_answers(resolve_refs(edf), pdf, limit=limit).collect()]
-        assert got == sorted(got)
+@pytest.mark.parametrize("hot", [0, 300])
+def test_every_use_is_a_row_with_the_size_of_its_group(puzzles_of, entries_of, hot):
+    p, e, pdf, edf = archive(puzzles_of, entries_of, hot)
+    resolved = resolve_refs(edf.repartition(5))
+    for build, by in ((words.dup_answers, "solution"), (words.dup_clues, "clue")):
+        want = brute(p, e, by)
+        rows = build(resolved, pdf).collect()
+        got = defaultdict(list)
+        for r in rows:
+            got[r.creator_name, r[by]].append((r.number, r.crossword_id, r.clue, r.crossword_type))
+            assert r.n_uses == len(want[r.creator_name, r[by]])
+            assert r.link == link(r.crossword_id, r.number)
+        assert dict(got) == want  # also in this order
+        assert [(r.creator_name, r[by]) for r in rows] == sorted((r.creator_name, r[by]) for r in rows)
+
+
+def test_form_does_not_change_with_size(puzzles_of, entries_of):
+    small, large = (archive(puzzles_of, entries_of, n) for n in (0, 500))
+    for build in (words.dup_answers, words.dup_clues):
+        schemas = [build(resolve_refs(a[3]), a[2]).schema for a in (small, large)]
+        assert schemas[0] == schemas[1]
+
+
+def test_building_runs_no_job(spark, puzzles_of, entries_of):
+    _, _, pdf, edf = archive(puzzles_of, entries_of)
+    context = spark.sparkContext
+    context.setJobGroup("building", "no job may run")
+    resolved = resolve_refs(edf)
+    words.dup_answers(resolved, pdf)
+    words.dup_clues(resolved, pdf)
+    counts.debuts(pdf, 2022)
+    counts.debut_setters(pdf)
+    for spec in tables.TABLES.values():
+        tables.table_groups(spec, spec.rows(edf, pdf))
+    assert len(context.statusTracker().getJobIdsForGroup("building")) == 0
+    context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_references_count_as_uses_of_their_target(puzzles_of, entries_of):
@@ -86,47 +87,39 @@ def test_references_count_as_uses_of_their_target(puzzles_of, entries_of):
     edf = entries_of([("x/2", "1", "across", "Bird (4)", "WREN"), ("x/2", "7", "down", "See 1", "WREN"),
                       ("x/10", "3", "down", "Small bird (4)", "WREN"),
                       ("x/10", "4", "down", "See 99", "WREN")])
-    row = words.dup_answers(resolve_refs(edf), pdf, edf, link_base="http://h/").collect()
+    row = words.dup_answers(resolve_refs(edf), pdf, link_base="http://h/").collect()
     # "10" < "2" as text; the reference repeats its target's use; the lost one is gone.
     assert [tuple(r) for r in row] == [
-        ("a", "WREN", 2, "Small bird (4)<br />Bird (4)", "cryptic<br />prize",
-         '<a href="http://h/x/10">10</a><br /><a href="http://h/x/2">2</a>'),
+        ("a", "WREN", 2, "10", "x/10", "Small bird (4)", "cryptic", '<a href="http://h/x/10">10</a>'),
+        ("a", "WREN", 2, "2", "x/2", "Bird (4)", "prize", '<a href="http://h/x/2">2</a>'),
     ]
 
 
-def test_the_size_check_foresees_resolved_references(puzzles_of, entries_of):
-    """All uses but a few come from references, which raw entries do not show."""
-    pdf = puzzles_of([(f"x/{i}", "a", "2020-01-01", "prize") for i in range(30)])
-    edf = entries_of(
-        [(f"x/{i}", "1", "across", f"See {2}", "R") for i in range(30)]
-        + [(f"x/{i}", "2", "down", "Target (4)" if i % 2 else "Other (4)", "T") for i in range(30)]
-    )
-    resolved = resolve_refs(edf)
-    got = words.dup_clues(resolved, pdf, edf, limit=10).collect()
-    assert sorted((r.clue, r.n) for r in got) == sorted(
-        (r.clue, r.n) for r in words.dup_clues(resolved, pdf, limit=10).collect()
-    )
-    assert all(r.n <= 10 for r in got) and sum(r.n for r in got) == 30
-
-
-def test_debut_lists_are_split_with_the_whole_count(puzzles_of):
+def test_debuts_of_a_crowded_year(puzzles_of):
     names = [f"s{i:03d}" for i in range(50)]
     pdf = puzzles_of([(n, n, "2020-01-01", "x") for n in names] + [("z", "zz", "2021-01-01", "x")])
-    got = counts.debuts(pdf, 2022, limit=8).collect()
-    first = [r for r in got if r.year == 2020]
-    assert {r.n_setters for r in first} == {50}
-    assert ", ".join(r.setters for r in first).split(", ") == names
-    assert all(len(r.setters.split(", ")) <= 8 for r in first)
-    assert [(r.year, r.n_setters, r.setters) for r in got if r.year > 2020] == [
-        (2021, 1, "zz"), (2022, 0, ""),
+    assert [tuple(r) for r in counts.debuts(pdf, 2022).collect()] == [(2020, 50), (2021, 1), (2022, 0)]
+    assert [tuple(r) for r in counts.debut_setters(pdf).collect()] == [
+        *((2020, n) for n in names), (2021, "zz"),
     ]
 
 
-def test_named_tables_split_too(puzzles_of, entries_of):
-    p, e, pdf, edf = archive(puzzles_of, entries_of, 100)
-    whole = {tuple(r)[:2]: r.clues for r in tables.table_dup_answers(edf, pdf).collect()}
-    split = tables.table_dup_answers(edf, pdf, limit=9).collect()
-    joined = defaultdict(int)
-    for r in split:
-        joined[tuple(r)[:2]] += len(r.clues.split(BREAK))
-    assert joined == {k: len(v.split(BREAK)) for k, v in whole.items()}
+def test_pages_join_the_uses_of_their_groups(spark, puzzles_of, entries_of, tmp_path):
+    p, e, pdf, edf = archive(puzzles_of, entries_of, 300)
+    want = brute(p, e, "solution")
+    spec = tables.TABLES["dup_answers"]
+    page = tables.table_request("dup_answers", edf, pdf, str(tmp_path / "uses"), search="HOT", length=50)
+    hits = {k: v for k, v in want.items() if "hot" in " ".join([*k, *(u[2] for u in v)]).lower()}
+    assert (page.records_total, page.records_filtered) == (len(want), len(hits)) == (len(want), 1)
+    (row,) = page.data.collect()
+    uses = hits["a", "HOT"]
+    assert tuple(row) == (
+        "a", "HOT", BREAK.join(u[2] for u in uses), BREAK.join(u[3] for u in uses),
+        BREAK.join(link(u[1], u[0]) for u in uses),
+    )
+    rows = spark.read.parquet(str(tmp_path / "uses"))
+    groups = {tuple(r)[:2]: r for r in tables.table_groups(spec, rows).collect()}
+    assert set(groups) == set(want)
+    assert all(groups[k].n_uses == len(v) and groups[k].clues == v[0][2] for k, v in want.items())
+    both = [F.col("creator_name") == "a", F.col("clue").startswith("Heavy")]
+    assert [r.solution for r in tables.table_groups(spec, rows, both).collect()] == ["HOT"]

@@ -66,19 +66,22 @@ def test_walking_with_the_last_row_makes_up_the_sorted_table(table, column, dire
     assert [tuple(r) for r in walked] == whole
 
 
+SPEC = tables.NamedTable(None, keys=("name", "text", "day"), searchable=("name", "text"))
+
+
 def test_result_page(table):
-    page = tables.result_page(table, ["name", "text"], draw=4, search="n1", column=1, length=0)
+    page = tables.result_page(SPEC, table, draw=4, search="n1", column=1, length=0)
     assert (page.draw, page.records_total, page.records_filtered) == (4, 62, 9)
     data = page.data.collect()
     # The one row without a text is counted, but not shown.
     assert len(data) == 8 and all(r.text for r in data)
-    assert tables.result_page(table, ["name"], search="no such").data.count() == 0
-    assert tables.result_page(table, ["name"], start=1000).data.count() == 0
-    assert tables.result_page(table, ["name"], length=-1).data.count() <= 10
+    assert tables.result_page(SPEC, table, search="no such").data.count() == 0
+    assert tables.result_page(SPEC, table, start=1000).data.count() == 0
+    assert tables.result_page(SPEC, table, length=-1).data.count() <= 10
     with pytest.raises(ValueError):
-        tables.result_page(table, ["name"], start=-1)
+        tables.result_page(SPEC, table, start=-1)
 
 
 def test_unknown_table(puzzles_of):
     with pytest.raises(ValueError, match="unknown table"):
-        tables.table_request("nothing", None, puzzles_of([("1", "a", "2020-01-01", "x")]))
+        tables.table_request("nothing", None, puzzles_of([("1", "a", "2020-01-01", "x")]), "unused")
