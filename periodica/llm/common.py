@@ -42,3 +42,17 @@ def words_of(text: Column) -> Column:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null ones are empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def set_aside(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns named, and all others in a struct `_rest`, so that names cannot clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in apart]
+    return docs.select(*apart, F.struct(*rest, F.lit(1).alias("_")).alias("_rest"))
+
+
+def put_back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in their first order; those not set aside are taken as they are now."""
+    here = set(docs.columns)
+    return docs.select(
+        *[F.col(f"`{c}`") if c in here else F.col("_rest").getField(c).alias(c) for c in columns]
+    )

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from periodica.llm.common import staged
+from periodica.llm.common import put_back, set_aside, staged
 from periodica.llm.components import components
 from periodica.llm.hashing import hashes, mixed, prefix_sums
 
@@ -65,7 +65,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     word = mixed(hashes(prefix_sums(data), start, end) + (end - start).astype(np.uint64))
     n = len(start)
     whole = np.zeros(n, dtype=np.uint64)
-    for k in range(words):  # the hash of the words from here on, in one text
+    for k in range(min(words, n)):  # the hash of the words from here on, in one text
         same = owner[: n - k] == owner[k:]
         whole[: n - k] += np.where(same, _salted(word[k:], k), np.uint64(0))
     # A shingle begins where its last word is in the same text, or at the text's first word.
@@ -94,9 +94,8 @@ def _keys(owner: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.nda
         band = floor - shift
         member = positive & (band >= 0) & (2 * size < 5 * 2.0**band)
         parts = np.ceil(PARTS * 2.5 * 2.0**band).astype(np.int64) + MORE_PARTS
-        active = member[owner]
-        seed = 0
-        while active.any():
+        poor, seed = member, 0
+        while (active := poor[owner]).any():
             o, x = owner[active], mixed(item[active] ^ np.uint64(seed * 0x5851F42D4C957F2D + 1 & (2**64 - 1)))
             part = ((x >> np.uint64(40)) * parts[o].astype(np.uint64) >> np.uint64(24)).astype(np.int64)
             order = np.lexsort((part, o))
@@ -114,8 +113,7 @@ def _keys(owner: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.nda
             # With fewer parts in use than the guarantee needs, once more with other parts:
             # a pair is found by the first seed under which either has enough.
             used = np.bincount(o, minlength=len(size))
-            poor = member & (used <= may_differ)
-            active = poor[owner]
+            poor = poor & (used <= may_differ)
             seed += 1
             if seed > 3:
                 parts = parts * 2
@@ -338,3 +336,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return placed.join(names, "group", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents, all columns as they were, one row for each component.
+
+    The row with the smallest doc_id stays (a null one last), the first of repeated rows.
+    """
+    rows = set_aside(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    rows = staged(rows, "numbered")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words).select(
+        F.col("doc_id").alias("_row"), "component_id"
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    crowds = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    crowded = found.join(crowds, "component_id").join(rows.select("_row", "doc_id"), "_row")
+    crowded = staged(crowded, "crowded")
+    first = crowded.groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    gone = staged(crowded.select("_row").join(first, "_row", "left_anti"), "gone")
+    return put_back(rows.join(gone, "_row", "left_anti"), docs.columns)

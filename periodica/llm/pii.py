@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from periodica.llm.common import staged, text_or_empty
+from periodica.llm.common import put_back, set_aside, staged, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -245,3 +245,9 @@ def redacted(text: str, spans: str) -> Column:
 
     whole = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, whole)).otherwise(F.col(text))
+
+
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with their personal data replaced in the text."""
+    found = with_spans(set_aside(docs, "text"))
+    return put_back(found.withColumn("text", redacted("text", "spans")), docs.columns)

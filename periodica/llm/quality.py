@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from periodica.llm.common import staged, text_or_empty, words_of
+from periodica.llm.common import put_back, set_aside, staged, text_or_empty, words_of
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
@@ -104,28 +104,34 @@ def host_verdicts(flagged: DataFrame, host: str = "source", limit: float = HOST_
     return hosts.withColumn("rate", shrunk).withColumn("host_failed", F.col("rate") > limit)
 
 
-def judged(
-    docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT, drop_text: bool = False
-) -> DataFrame:
-    """The rows with their measures and `kept`.
+def judged(docs: DataFrame, limit: float = HOST_LIMIT, keep_documents: bool = False) -> DataFrame:
+    """doc_id, source, the measures, base_failed and kept of every document.
 
-    Every row stays, also those with null or repeated ids; an empty table gives an empty
-    one.  The rows are staged once, without the text on request, since the hosts' rates need
-    them all.  A host is joined by its name; where
-    the table of hosts is too large to send around, adaptive execution splits a hot one.
+    Every row stays, also those with null or repeated ids; a null source is a host like any
+    other; an empty table gives an empty one.  With keep_documents the text and, in the
+    struct `_rest`, the other columns come along.  The rows are staged once, since the
+    hosts' rates need them all.  A host is joined by its name; where the table of hosts is
+    too large to send around, adaptive execution splits a hot one.
     """
-    flagged = measured(docs)
-    flagged = staged(flagged.drop("text") if drop_text else flagged, "measured")
-    verdicts = staged(
-        host_verdicts(flagged, host, limit).select(F.col(host).alias("_host"), "host_failed"), "verdicts"
+    rows = set_aside(docs, "doc_id", "source", "text")
+    rows = measured(rows) if keep_documents else measured(rows.drop("_rest")).drop("text")
+    flagged = staged(rows, "measured")
+    verdicts = host_verdicts(flagged, "source", limit).select(
+        F.col("source").alias("_host"), "host_failed"
     )
+    verdicts = staged(verdicts, "verdicts")
     return (
-        flagged.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
+        flagged.join(verdicts, F.col("source").eqNullSafe(F.col("_host")), "left")
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
         .drop("_host", "host_failed")
     )
 
 
+def kept_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """The documents, all columns as they were, that neither the rules nor their host reject."""
+    return put_back(judged(docs, limit, keep_documents=True).where("kept"), docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents

@@ -57,9 +57,7 @@ def op5_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    measured = quality.judged(docs, drop_text=True)
-    return measured.drop("source")
+    return quality.judged(table(spark, folder, "documents")).drop("source")
 
 
 def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from periodica.llm.common import staged, text_or_empty
+from periodica.llm.common import put_back, set_aside, staged, text_or_empty
 from periodica.llm.hashing import hashes, mixed, prefix_sums
 
 LENGTH = 200
@@ -260,8 +260,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
 
     Bytes of a character that is cut in two go as well.  A null text stays null.
     """
-    named, runs = _with_runs(docs.withColumn("_null", F.col("text").isNull()), length, trigger)
-    names = docs.columns
+    rows = set_aside(docs, "text").withColumns({"doc_id": F.lit(0), "_null": F.col("text").isNull()})
+    named, runs = _with_runs(rows, length, trigger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +275,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
                     kept = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes()
                     text = kept.decode("utf-8", "ignore")
                 texts.append(None if null else text)
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()), batch.column("_rest")], ["text", "_rest"]
+            )
 
-    return named.join(runs, "text_id", "left").mapInArrow(run, docs.schema)
+    joined = named.join(runs, "text_id", "left").select("text", "runs", "_null", "_rest")
+    done = joined.mapInArrow(run, rows.select("text", "_rest").schema)
+    return put_back(done, docs.columns)

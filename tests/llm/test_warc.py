@@ -1,0 +1,86 @@
+import gzip
+import hashlib
+
+from pyspark.sql import functions as F
+
+from periodica.llm import warc
+
+
+def record(payload: bytes, page: int, kind="response", **extra) -> bytes:
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    lines = {
+        "WARC-Type": kind,
+        "WARC-Payload-Digest": "sha1:" + hashlib.sha1(payload).hexdigest(),
+        "Page-Id": str(page),
+        "Content-Length": str(len(block)),
+    } | extra
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items())
+    return head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def read(spark, path):
+    rows = warc.read_archive(spark, str(path)).orderBy("start").collect()
+    records = [(r["headers"]["page-id"], bytes(r["payload"])) for r in rows if r["kind"] == "record"]
+    gaps = [(r["start"], r["end"]) for r in rows if r["kind"] == "gap"]
+    return records, gaps
+
+
+def test_pages_come_back(spark):
+    big = "<p>é🙂</p>" * 200
+    rows = [(1, "http://a/ü?x=1 2", big), (5, "http://b/", big), (3, None, big), (4, "u", big + "x")]
+    rows += [(6, "u\r\nWARC-Type: forged", "small"), (7, "u", "small"), (8, "u", None), (None, "u", big)]
+    rows += [(9, "u", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" * 30), (10, "u", "x\r\n\r\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0))
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.page_round_trip(pages.repartition(3)).collect()}
+    want = {}
+    for i, url, html in rows:
+        raw = (html or "").encode()
+        revisit = html == big and i != 5
+        want[i] = (
+            len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None, url
+        )
+    assert got == want
+    assert warc.page_round_trip(pages.limit(0)).count() == 0
+
+
+def test_repeated_rows_of_the_largest_id_are_responses(spark):
+    pages = spark.createDataFrame([(2, "u", "x" * 2000)] * 2 + [(1, "u", "x" * 2000)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.page_round_trip(pages).collect())
+    assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
+
+
+def test_records_after_damage_are_salvaged(spark, tmp_path):
+    whole = [record(b"page %d " % i * 500, i) for i in range(8)]
+    bad = list(whole)
+    bad[1] = whole[1][: len(whole[1]) // 2]  # cut short
+    bad[3] = whole[3].replace(b"page 3", b"pagE 3", 1)  # differs from its digest
+    bad[5] = b"\x00" * 5000 + whole[5]  # junk before a record
+    bad[7] = whole[7][:-10]  # the file ends early
+    (tmp_path / "plain.warc").write_bytes(b"".join(bad))
+    records, gaps = read(spark, tmp_path)
+    assert [int(p) for p, _ in records] == [0, 2, 4, 5, 6]
+    assert all(payload == b"page %d " % int(p) * 500 for p, payload in records)
+    at = [0]
+    for b in bad:
+        at.append(at[-1] + len(b))
+    assert gaps == [(at[1], at[2]), (at[3], at[4]), (at[5], at[5] + 5000), (at[7], at[8])]
+
+
+def test_members_after_damage_are_salvaged(spark, tmp_path):
+    members = [gzip.compress(record(b"page %d " % i * 500, i)) for i in range(6)]
+    bad = list(members)
+    bad[1] = members[1][:20] + b"\xff\xff\xff" + members[1][23:]
+    bad[3] = members[3][:-30]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(bad))
+    records, gaps = read(spark, tmp_path)
+    assert [int(p) for p, _ in records] == [0, 2, 4, 5]
+    at = [0]
+    for b in bad:
+        at.append(at[-1] + len(b))
+    assert gaps == [(at[1], at[2]), (at[3], at[4])]
+
+
+def test_files_without_records(spark, tmp_path):
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "junk").write_bytes(b"not an archive WARC/1.1 at all")
+    assert read(spark, tmp_path) == ([], [(0, 30)])
