@@ -9,11 +9,11 @@ These words are the keys of an equality join inside bands of set sizes.  A short
 single parity bits, whose Hamming distance is also at most d, throws out chance candidates
 before the sets themselves are compared.
 
-Documents of equal sets are one node.  Nodes that share a key are first compared with the
-smallest of them only, and the links are drawn together into components; then those that
-failed are compared with the others of their key that are not in their component yet.  So
-no link between components is missed, and a group of copies costs its size and not the
-square of it.
+Documents of equal sets are one node.  A node is first compared with the smallest of all
+that it shares a key with, then with the smallest of each key, and the links are drawn
+together into components; then nodes that share a key but are in different components still
+are compared with each other.  So no link between components is missed, and a group of
+copies costs its size and not the square of it.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ PARTS, MORE_PARTS = 0.35, 4
 CHUNK = 1 << 20
 FILTER_BITS = 25
 
-SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>, keys array<long>"
+SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>"
 _LIST = pa.list_(pa.int64())
 
 
@@ -129,11 +129,11 @@ def _split(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as lower-cased bytes, in groups of bounded size."""
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as lower-cased bytes, in groups of bounded size; a null one is empty."""
     at, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        raw = text.encode("utf-8", "surrogatepass").lower()
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
         if held and size + len(raw) > CHUNK:
             yield at, held
             at, held, size = i, [], 0
@@ -153,41 +153,57 @@ def _sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (the hash of the set), sketch and keys of every document;
-    equal sets of one task have their keys once."""
+    """doc_id, n_shingles, node (the hash of the set) and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id")
-            for at, texts in _groups([t or "" for t in batch.column("text").to_pylist()]):
+            for at, texts in _groups(batch.column("text").to_pylist()):
                 n = len(texts)
                 owner, item, size, node = _sets(texts, words)
                 bit = owner * SKETCH_BITS + (item & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
                 bits = np.bincount(bit, minlength=n * SKETCH_BITS) & 1
                 sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-                new = np.zeros(n, dtype=bool)
-                for i, key in enumerate(node.tolist()):
-                    if key not in seen:
-                        seen.add(key)
-                        new[i] = size[i] > 0
-                wanted = new[owner]
-                texts_of_keys, keys = _keys(owner[wanted], item[wanted], size)
-                rows = np.arange(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, n),
                         pa.array(size, pa.int64()),
                         pa.array(node.view(np.int64)),
-                        _split(sketch, np.repeat(rows, SKETCH_BITS // 64), n),
-                        _split(keys, texts_of_keys, n),
+                        _split(sketch, np.repeat(np.arange(n), SKETCH_BITS // 64), n),
                     ],
-                    ["doc_id", "n_shingles", "node", "sketch", "keys"],
+                    ["doc_id", "n_shingles", "node", "sketch"],
                 )
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, SKETCHES)
 
 
+def join_keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, node) of the join keys of all sets; equal sets of one task have theirs once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, texts in _groups(batch.column("text").to_pylist()):
+                owner, item, size, node = _sets(texts, words)
+                wanted = _unseen(node, size > 0, seen)[owner]
+                found, keys = _keys(owner[wanted], item[wanted], size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(node[found].view(np.int64))], ["key", "node"]
+                )
+
+    return docs.select("text").mapInArrow(run, "key long, node long")
+
+
+def _unseen(node: np.ndarray, of: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Flags of the first of each node; adds them to those seen."""
+    new = of.copy()
+    for i in np.flatnonzero(of).tolist():
+        key = int(node[i])
+        new[i] = key not in seen
+        seen.add(key)
+    return new
+
+
 def _filter_of(nodes: DataFrame) -> np.ndarray:
     """A bit for every value of the nodes' low bits: at most 4 MB, whatever their number."""
     low = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -204,26 +220,22 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, items): the sets of the given nodes, once each.
+    """(node, items): the sets of the given nodes, and of some others that nothing asks for.
 
-    The texts are read where they are; a filter of fixed size tells the documents that may
-    be wanted, and the join after it the ones that are.
+    The texts are read where they are, and a filter of fixed size tells which sets may be
+    wanted, so that neither texts nor other sets are shuffled.  A set may come once from
+    each task.
     """
-    spark = docs.sparkSession
-    filtered = spark.sparkContext.broadcast(_filter_of(nodes))
+    filtered = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, texts in _groups([t or "" for t in batch.column("text").to_pylist()]):
+            for _, texts in _groups(batch.column("text").to_pylist()):
                 owner, item, size, node = _sets(texts, words)
                 low = node & np.uint64((1 << FILTER_BITS) - 1)
-                hit = (filtered.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)
-                take = (hit > 0) & (size > 0)
-                for i in np.flatnonzero(take).tolist():
-                    if int(node[i]) in seen:
-                        take[i] = False
-                    seen.add(int(node[i]))
+                bits = filtered.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))
+                take = _unseen(node, ((bits & np.uint64(1)) > 0) & (size > 0), seen)
                 kept = take[owner]
                 place = np.cumsum(take) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -234,8 +246,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
                     ["node", "items"],
                 )
 
-    found = docs.select("text").mapInArrow(run, "node long, items array<long>")
-    return found.join(nodes, "node").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, items array<long>")
 
 
 def _near(meta: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -270,14 +281,43 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .join(side("b"), "b")
         .where(100 * common >= SIMILAR * every)
         .select("a", "b")
+        .distinct()
     )
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, label: str) -> DataFrame:
-    pairs = staged(pairs, f"{label}-candidates")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = staged(sets_of(docs, staged(nodes, f"{label}-nodes"), words), f"{label}-sets")
-    return staged(_linked(pairs, sets), f"{label}-links")
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _labelled(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose nodes are in different components so far."""
+    for side in ("a", "b"):
+        names = joined.select(F.col("node").alias(side), F.col("component").alias(f"component_{side}"))
+        pairs = pairs.join(names, side, "left").withColumn(
+            f"component_{side}", F.coalesce(f"component_{side}", side)
+        )
+    return pairs.where("component_a <> component_b").select("a", "b")
+
+
+def _open_pairs(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key but no component."""
+    placed = shared.join(joined, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")
+    )
+    several = (
+        placed.groupBy("key")
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"))
+        .where("first <> last")
+        .select("key")
+    )
+    rows = staged(placed.join(several, "key"), "open-keys")
+    other = rows.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    return (
+        rows.join(other, "key")
+        .where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")))
+        .select(F.col("node").alias("a"), "b")
+        .distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -292,40 +332,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     base = staged(sketched(docs, words), "sketches")
     meta = base.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    meta = staged(meta, "nodes")
     same = Window.partitionBy("key")
     shared = (
-        base.select("node", F.explode("keys").alias("key"))
+        join_keys(docs, words)
         .withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)})
         .where("low <> high")
         .select("key", "node", "low")
     )
     shared = staged(shared, "shared-keys")
+
+    # Every node with the smallest one of each of its keys; first with the smallest of all.
     stars = shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    stars = staged(stars, "stars")
-    links = _verified(docs, _near(meta, stars), words, "stars")
+    stars = staged(_near(meta, stars), "stars")
+    sets = staged(sets_of(docs, staged(_nodes(stars), "star-nodes"), words), "sets")
+    first = staged(stars.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
+    links = staged(_linked(first, sets), "first-links")
+    joined = components(links)
+    rest = stars.join(first, ["a", "b"], "left_anti")
+    rest = staged(_labelled(rest, joined), "second-pairs")
+    links = links.union(staged(_linked(rest, sets), "second-links"))
     joined = components(links)
 
-    failed = stars.join(links, ["a", "b"], "left_anti")
-    label = lambda side: F.coalesce(F.col(f"component_{side}"), F.col(side))
-    of = lambda side: joined.select(
-        F.col("node").alias(side), F.col("component").alias(f"component_{side}")
-    )
-    lone = shared.join(
-        failed.select(F.col("a").alias("node"), F.col("b").alias("low")), ["node", "low"]
-    ).select("key", F.col("node").alias("a"))
-    others = (
-        lone.join(shared.where("node <> low").select("key", F.col("node").alias("b")), "key")
-        .where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(of("a"), "a", "left")
-        .join(of("b"), "b", "left")
-        .where(label("a") != label("b"))
-        .select("a", "b")
-    )
-    others = staged(_near(meta, others), "others")
+    # What shares a key and is in different components still, and has not been compared.
+    open_pairs = _open_pairs(shared, joined)
+    for a, b in (("a", "b"), ("b", "a")):
+        open_pairs = open_pairs.join(stars.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
+    others = staged(_near(meta, open_pairs), "others")
     if not others.isEmpty():
-        links = links.union(_verified(docs, others, words, "others"))
+        missing = _nodes(others).join(_nodes(stars), "node", "left_anti")
+        more = sets_of(docs, staged(missing, "other-nodes"), words)
+        links = links.union(staged(_linked(others, staged(sets.union(more), "other-sets")), "other-links"))
         joined = components(links)
 
     placed = base.select("doc_id", "n_shingles", "node").join(joined, "node", "left")

@@ -10,15 +10,15 @@ Order.  Only strings that agree for `length` bytes matter, so the suffix orders
 dictionary are cut there, and equality of hashes stands for neighbourhood in the order.
 First the parse: phrases with a trigger of their own hold nothing twice; of equal phrases
 every window occurs twice.  Then the dictionary, for triggers that stand in different
-phrases: one copy of each such phrase is opened, and the order of its windows among those of
-the other phrases is found by their hashes.  Long repeats are settled as phrases, and bytes
-are looked at only near their ends.
+phrases: one copy of each such phrase is opened, and compared with the others by the bytes
+on both sides of the trigger.  Long repeats are settled as phrases, and bytes are looked at
+only near their ends.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,9 @@ PLACE_BITS = 24
 
 FIGURES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-PHRASES = "text_id long, start int, n int, trigger long, phrase long, copies int"
+# Phrases of one trigger that are compared two by two.
+NEIGHBOURS = 32
+PHRASES = "text_id long, start int, n int, place int, trigger long, phrase long, copies int"
 
 
 def _minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,11 +53,11 @@ def _minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases_of(data: bytes, ends: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER):
-    """(start, windows, trigger hash, phrase hash) of the phrases of joined texts that end at
+    """(start, windows, place of the trigger, its hash, phrase hash) of the phrases of joined texts that end at
     `ends`; no window crosses an end."""
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = prefix_sums(np.frombuffer(data, dtype=np.uint8))
     at = np.arange(len(data) - trigger + 1)
     grams = mixed(hashes(sums, at, at + trigger))
@@ -75,16 +77,17 @@ def phrases_of(data: bytes, ends: np.ndarray, length: int = LENGTH, trigger: int
     n, place = last - start + 1, best[start]
     shape = ((place - start).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
     phrase = mixed(hashes(sums, start, last + length) ^ mixed(shape))
-    return start, n, grams[place], phrase
+    return start, n, place - start, grams[place], phrase
 
 
-def _chunks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], bytes, np.ndarray]]:
+def _chunks(texts: Iterable[str], length: int) -> Iterator[tuple[list[tuple[int, int]], bytes, np.ndarray]]:
     """((text, offset) of each part, joined parts, their ends); parts of one text overlap so
     that each of its windows is in one part."""
     parts: list[tuple[int, int]] = []
     held: list[bytes] = []
     size = 0
     for i, text in enumerate(texts):
+        text = text.encode("utf-8", "surrogatepass")
         for at in range(0, max(1, len(text) - length + 1), CHUNK):
             part = text[at : at + CHUNK + length - 1]
             if len(part) < length:
@@ -108,9 +111,8 @@ def parsed(texts: DataFrame, length: int, trigger: int) -> DataFrame:
             once = batch.drop_duplicates("text_id")
             ids = once["text_id"].to_numpy()
             counts = copies.loc[ids].to_numpy()
-            raw = [t.encode("utf-8", "surrogatepass") for t in once["text"]]
-            for parts, data, ends in _chunks(raw, length):
-                start, n, gram, phrase = phrases_of(data, ends, length, trigger)
+            for parts, data, ends in _chunks(once["text"], length):
+                start, n, place, gram, phrase = phrases_of(data, ends, length, trigger)
                 part = np.searchsorted(ends, start, side="right")
                 begins = ends - np.diff(ends, prepend=0)
                 owner = np.array([p[0] for p in parts])[part]
@@ -120,6 +122,7 @@ def parsed(texts: DataFrame, length: int, trigger: int) -> DataFrame:
                         "text_id": ids[owner],
                         "start": (start - begins[part] + offset).astype(np.int32),
                         "n": n.astype(np.int32),
+                        "place": place.astype(np.int32),
                         "trigger": gram.view(np.int64),
                         "phrase": phrase.view(np.int64),
                         "copies": counts[owner].astype(np.int32),
@@ -129,32 +132,148 @@ def parsed(texts: DataFrame, length: int, trigger: int) -> DataFrame:
     return texts.select("text_id", "text").mapInPandas(run, PHRASES)
 
 
+EDGES = "trigger long, text_id long, start int, n int, place int, wanted boolean, bytes binary"
+
+
 def _opened(edges: DataFrame, length: int) -> DataFrame:
-    """(hash, text_id, start) of every window of the phrases in `runs` of a text."""
+    """The bytes of the phrases in `runs` of a text, with the place of the trigger in them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text_id, text, runs in zip(batch["text_id"], batch["text"], batch["runs"]):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                first = np.array([r["start"] for r in runs], dtype=np.int64)
-                n = np.array([r["n"] for r in runs], dtype=np.int64)
-                order = np.argsort(first)
-                first, n = first[order], n[order]
-                i = 0
-                while i < len(first):  # stretches of bounded size
-                    low = int(first[i])
-                    j = max(i + 1, int(np.searchsorted(first, low + CHUNK)))
-                    high = int((first[i:j] + n[i:j]).max()) + length - 1
-                    sums = prefix_sums(data[low:high])
-                    starts = np.concatenate([np.arange(a, a + k) for a, k in zip(first[i:j], n[i:j])])
-                    found = mixed(hashes(sums, starts - low, starts - low + length))
-                    yield pd.DataFrame(
-                        {"hash": found.view(np.int64), "text_id": text_id, "start": starts.astype(np.int32)}
-                    )
-                    i = j
+            lists = batch.column("runs")
+            offsets = lists.offsets.to_numpy()
+            parts = {f: lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n")}
+            for i in range(batch.num_rows):
+                rows = slice(offsets[i], offsets[i + 1])
+                text = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
+                raw = [text[a : a + k + length - 1] for a, k in zip(parts["start"][rows].tolist(), parts["n"][rows].tolist())]
+                own = lists.values.slice(offsets[i], offsets[i + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.field("trigger"),
+                        pa.array(np.full(len(raw), batch.column("text_id")[i].as_py())),
+                        own.field("start"),
+                        own.field("n"),
+                        own.field("place"),
+                        own.field("wanted"),
+                        pa.array(raw, pa.binary()),
+                    ],
+                    [c.split()[0] for c in EDGES.split(", ")],
+                )
 
     columns = ["text_id", "text", "doc_id", "runs"]
-    return edges.select(*columns).mapInPandas(run, "hash long, text_id long, start int")
+    return edges.select(*columns).mapInArrow(run, EDGES)
+
+
+def _extents(rows: pa.Table, p: np.ndarray, q: np.ndarray, length: int, trigger: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many equal bytes the phrases p and q have left and right of their trigger."""
+    side = length - trigger
+    place = rows.column("place").to_numpy()
+    raw = rows.column("bytes").combine_chunks()
+    starts = raw.buffers()[1]
+    starts = np.frombuffer(starts, dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)
+    step = np.arange(side)
+
+    def equal(first: np.ndarray, way: int, room: np.ndarray) -> np.ndarray:
+        most = np.minimum(room[p], room[q])
+        within = step[None, :] < most[:, None]
+        at = [np.where(within, first[x][:, None] + way * step[None, :], 0) for x in (p, q)]
+        same = (data[at[0]] == data[at[1]]) & within
+        return np.where(same.all(axis=1), side, same.argmin(axis=1)) if side else np.zeros(len(p), int)
+
+    middle = starts[:-1] + place
+    left = equal(middle - 1, -1, place)
+    right = equal(middle + trigger, 1, starts[1:] - middle - trigger)
+    return left, right
+
+
+FOUND = "hash long, text_id long, start int, n int"
+
+
+def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
+    """The repeated windows of opened phrases.
+
+    Phrases of one trigger stand beside each other.  Up to `NEIGHBOURS` of them are compared
+    two by two by the bytes around the trigger, and give runs (without a hash) of windows that
+    both have.  The phrases of a trigger with more are not held: each gives its windows one by
+    one, by hash, for the shuffle to bring equal ones together.
+    """
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All of these triggers' phrases are in the table, sorted by trigger."""
+        key = table.column("trigger").to_numpy()
+        wanted = table.column("wanted").to_numpy()
+        ids, start, place = (table.column(c).to_numpy() for c in ("text_id", "start", "place"))
+        n = len(key)
+        for gap in range(1, NEIGHBOURS):
+            p = np.flatnonzero(key[: n - gap] == key[gap:]) if n > gap else np.zeros(0, int)
+            if not len(p):
+                break
+            p = p[wanted[p] | wanted[p + gap]]
+            for k in range(0, len(p), 10_000):
+                a = p[k : k + 10_000]
+                left, right = _extents(table, a, a + gap, length, trigger)
+                some = left + right >= length - trigger
+                a, left, right = a[some], left[some], right[some]
+                for x in (a, a + gap):
+                    mine = wanted[x]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.nulls(int(mine.sum()), pa.int64()),
+                            pa.array(ids[x][mine]),
+                            pa.array((start[x] + place[x] - left)[mine].astype(np.int32)),
+                            pa.array((left + right - (length - trigger) + 1)[mine].astype(np.int32)),
+                        ],
+                        ["hash", "text_id", "start", "n"],
+                    )
+
+    def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for ids, start, n, raw in zip(*(table.column(c).to_pylist() for c in ("text_id", "start", "n", "bytes"))):
+            at = np.arange(n)
+            found = mixed(hashes(prefix_sums(np.frombuffer(raw, dtype=np.uint8)), at, at + length))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found.view(np.int64)),
+                    pa.array(np.full(n, ids)),
+                    pa.array((start + at).astype(np.int32)),
+                    pa.array(np.ones(n, dtype=np.int32)),
+                ],
+                ["hash", "text_id", "start", "n"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the rows of the last trigger, at most NEIGHBOURS
+        crowded = None  # the trigger whose phrases are passed on one by one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            key = table.column("trigger").to_numpy()
+            if crowded is not None:
+                same = int(np.searchsorted(key != crowded, True)) if (key != crowded).any() else len(key)
+                yield from windows(table.slice(0, same))
+                table = table.slice(same)
+                if not table.num_rows:
+                    continue
+                crowded = None
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            table = table.combine_chunks()
+            key = table.column("trigger").to_numpy()
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(edge, len(key)))
+            large = np.repeat(size > NEIGHBOURS, size)
+            last = np.arange(len(key)) >= edge[-1]
+            if large[-1]:
+                crowded = key[-1]
+            held = table.filter(pa.array(last & ~large)) if not large[-1] else None
+            yield from pairs(table.filter(pa.array(~large & ~last)))
+            yield from windows(table.filter(pa.array(large)))
+        if held is not None:
+            yield from pairs(held)
+
+    return edges.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, FOUND)
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -178,43 +297,51 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, trigger: int = TRIG
     mixed_rows = known.where("low <> high")
     book = staged(
         mixed_rows.groupBy("trigger", "phrase").agg(
-            F.sum("copies").alias("total"), F.min("text_id").alias("first_text")
+            F.sum("copies").alias("total"), F.min(F.struct("text_id", "start")).alias("first")
         ),
         "dictionary",
     )
-    rows = staged(
-        mixed_rows.join(book, ["trigger", "phrase"]).select("text_id", "start", "n", "total", "first_text"),
-        "edges",
-    )
+    rows = mixed_rows.join(book, ["trigger", "phrase"])
     equal = rows.where("total > 1").select("text_id", "start", "n")
+    wanted = (F.col("total") == 1).alias("wanted")
     opened = (
-        rows.where("text_id = first_text")
+        rows.where((F.col("text_id") == F.col("first.text_id")) & (F.col("start") == F.col("first.start")))
         .groupBy("text_id")
-        .agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+        .agg(F.collect_list(F.struct("start", "n", "trigger", "place", wanted)).alias("runs"))
     )
-    windows = _opened(texts.join(opened, "text_id"), length)
-    twice = (
-        windows.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("hash")))
+    found = staged(_compared(_opened(texts.join(opened, "text_id"), length), length, trigger), "found")
+    crowded = (
+        found.where("hash is not null")
+        .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("hash")))
         .where("total > 1")
-        .select("text_id", "start", F.lit(1).alias("n"))
     )
     return (
         alike.union(equal)
-        .union(twice)
+        .union(found.where("hash is null").select("text_id", "start", "n"))
+        .union(crowded.select("text_id", "start", "n"))
         .groupBy("text_id")
         .agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     )
 
 
-def _covered(size: int, runs, length: int) -> np.ndarray:
+def _covered(size: int, starts: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     edges = np.zeros(size + 1, dtype=np.int32)
-    starts = np.array([r["start"] for r in runs], dtype=np.int64)
-    stops = starts + np.array([r["n"] for r in runs], dtype=np.int64) + length - 1
     np.add.at(edges, starts, 1)
-    np.add.at(edges, stops, -1)
+    np.add.at(edges, starts + n + (length - 1), -1)
     return np.cumsum(edges[:-1]) > 0
 
 
+def _masked(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray | None]]:
+    """Each text of a batch as bytes, and flags of the bytes that go (None: none)."""
+    lists = batch.column("runs")
+    offsets = lists.offsets.to_numpy()
+    start, n = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n"))
+    for i, text in enumerate(batch.column("text")):
+        data = text.as_py().encode("utf-8", "surrogatepass")
+        rows = slice(offsets[i], offsets[i + 1])
+        yield data, _covered(len(data), start[rows], n[rows], length) if len(start[rows]) else None
+
+
 def _with_runs(docs: DataFrame, length: int, trigger: int) -> tuple[DataFrame, DataFrame]:
     text = text_or_empty()
     named = docs.withColumn("text", text).withColumn("text_id", F.xxhash64("text"))
@@ -236,12 +363,10 @@ def removed(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for data, mask in _masked(batch, length):
                 gone = n_spans = 0
                 kept = data
-                if spans:
-                    mask = _covered(len(data), spans, length)
+                if mask is not None:
                     gone = int(mask.sum())
                     n_spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     kept = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes()
@@ -266,15 +391,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans, null in zip(
-                *(batch.column(c).to_pylist() for c in ("text", "runs", "_null"))
-            ):
-                if spans:
-                    data = text.encode("utf-8", "surrogatepass")
-                    mask = _covered(len(data), spans, length)
-                    kept = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes()
-                    text = kept.decode("utf-8", "ignore")
-                texts.append(None if null else text)
+            for (data, mask), null in zip(_masked(batch, length), batch.column("_null").to_pylist()):
+                if mask is not None:
+                    data = np.frombuffer(data, dtype=np.uint8)[~mask].tobytes()
+                texts.append(None if null else data.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()), batch.column("_rest")], ["text", "_rest"]
             )

@@ -69,8 +69,9 @@ def test_repeats_are_those_of_brute_force(docs_of, hard_texts):
     assert got == {i: w for (i, _), w in zip(rows, want)}
 
 
-@pytest.mark.parametrize("length,trigger", [(20, 8), (20, 20), (21, 1)])
-def test_repeats_of_other_lengths(docs_of, length, trigger, monkeypatch):
+@pytest.mark.parametrize("length,trigger,most", [(20, 8, 32), (20, 20, 3), (21, 1, 2)])
+def test_repeats_of_other_lengths(docs_of, length, trigger, most, monkeypatch):
+    monkeypatch.setattr(substrings, "NEIGHBOURS", most)
     rng = random.Random(length + trigger)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(60))) for _ in range(60)]
     texts += ["ab" * 300, "b" * 100, texts[0] * 3]
@@ -83,7 +84,7 @@ def test_repeats_of_other_lengths(docs_of, length, trigger, monkeypatch):
 
 def test_phrases_hold_every_window_once_in_any_chunks(monkeypatch):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abc") for _ in range(n)).encode() for n in (5000, 10, 200, 199, 431)]
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (5000, 10, 200, 199, 431)]
     monkeypatch.setattr(substrings, "CHUNK", 700)
     seen = []
     for parts, data, ends in substrings._chunks(texts, 200):
