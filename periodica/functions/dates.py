@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _DAY_MS = 86_400_000
+# Fixed value: the text of a duration.
+DURATION = "%d years, %d months, %d days"
 
 
 def epoch_ms_to_date(millis: Column) -> Column:
-    """UTC calendar date of an epoch-millisecond number; missing counts as 0."""
-    ms = F.coalesce(millis, F.lit(0)).cast("bigint")
-    days = ((ms - F.pmod(ms, F.lit(_DAY_MS))) / F.lit(_DAY_MS)).cast("int")
+    """UTC calendar date of an epoch-millisecond number; missing counts as 0.
+
+    NULL for a number beyond any calendar date.
+    """
+    ms = F.coalesce(millis, F.lit(0)).try_cast("bigint")
+    days = ((ms - F.pmod(ms, F.lit(_DAY_MS))) / F.lit(_DAY_MS)).try_cast("int")
     return F.date_add(F.lit("1970-01-01").cast("date"), days)
 
 
@@ -23,7 +28,7 @@ def inclusive_duration(first: Column, last: Column) -> Column:
     month_gap = F.month(last) - F.month(first) - borrow.cast("int")
     years = F.year(last) - F.year(first) - (month_gap < 0).cast("int")
     months = F.when(month_gap < 0, month_gap + 12).otherwise(month_gap)
-    return F.format_string("%d years, %d months, %d days", years, months, days)
+    return F.format_string(DURATION, years, months, days)
 
 
 def isoweek_code(date: Column) -> Column:

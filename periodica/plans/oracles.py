@@ -216,6 +216,24 @@ SELECT * FROM fx_puzzle
 WHERE id NOT IN (SELECT id FROM fx_puzzle WHERE date < DATE '{STORED_UNTIL}')""",
     "quarantine": f"""WITH {_DOCS}
 SELECT id, CASE WHEN broken THEN 'bad' ELSE 'good' END AS status FROM docs""",
+    "quarantine_kinds": f"""WITH {_DOCS}, kinds AS (
+  SELECT id, CAST(id AS BIGINT) % 16 AS kind,
+         CASE WHEN broken OR CAST(id AS BIGINT) % 16 IN (1, 2, 3, 12, 14) THEN 'not one JSON object'
+              WHEN CAST(id AS BIGINT) % 16 IN (5, 9) THEN 'wrong type'
+              WHEN CAST(id AS BIGINT) % 16 = 8 THEN 'no such date' END AS reason
+  FROM docs)
+SELECT id AS doc_key, CASE WHEN reason IS NULL THEN id END AS id,
+       CASE WHEN reason IS NULL THEN CASE kind WHEN 10 THEN 'renamed' ELSE 'Puzzle No ' || id END END
+         AS name, reason
+FROM kinds""",
+    "first_documents": f"""WITH {_DOCS}
+SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'First No ' ELSE 'Other No ' END || id AS name
+FROM good""",
+    "import_documents": f"""WITH {_DOCS}
+SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'First No ' ELSE 'Other No ' END || id AS name,
+       CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'import-000001' ELSE 'import-000002' END AS batch,
+       n_entries
+FROM good""",
     "integrity_check": f"""WITH {_FX_PUZZLE}, {_FX_ENTRY}, known AS (
   SELECT id FROM fx_puzzle WHERE date < DATE '{STORED_UNTIL}'
   UNION ALL SELECT id FROM fx_puzzle WHERE crossword_type = 'prize')
@@ -225,7 +243,11 @@ SELECT 'orphan', crossword_id, COUNT(*) FROM fx_entry
 WHERE crossword_id NOT IN (SELECT id FROM known) GROUP BY crossword_id""",
     "stream_ingest": f"""WITH {_DOCS}
 SELECT id, number, creator_name, date, crossword_type, n_entries FROM normal""",
-    "grid_scan": f"WITH {_GRIDS} SELECT grid_name, n_rows, n_cols, fingerprint FROM catalogue",
+    "grid_scan": f"""WITH {_GRIDS}
+SELECT grid_name, n_rows, n_cols, fingerprint, NULL::VARCHAR AS reason FROM catalogue
+UNION ALL
+SELECT unnest(['ragged', 'words']), NULL, NULL, NULL,
+       unnest(['lines of different lengths', 'not a number'])""",
     "sink_rows_json": f"WITH {_LINKS} SELECT * FROM links",
     "sink_table": f"""WITH {_DOCS}
 SELECT * EXCLUDE (n_entries), CAST(EXTRACT(YEAR FROM date) AS INTEGER) AS year FROM normal""",
@@ -240,11 +262,15 @@ SELECT page_id,
 FROM pages""",
     "page_documents": f"""WITH {_DOCS}
 SELECT 'http://archive.example/' || d.id AS url,
-       CASE WHEN broken THEN 'not JSON' WHEN level = '5' THEN 'no creator' ELSE 'accepted' END
-         AS outcome,
-       CASE WHEN broken OR level = '5' THEN NULL WHEN level = '4' THEN '  '
+       CASE WHEN broken OR CAST(d.id AS BIGINT) % 7 = 2 THEN 'not JSON'
+            WHEN CAST(d.id AS BIGINT) % 7 = 1 THEN 'accepted'
+            WHEN level = '5' THEN 'no creator' ELSE 'accepted' END AS outcome,
+       CASE WHEN broken OR level = '5' OR CAST(d.id AS BIGINT) % 7 IN (1, 2) THEN NULL
+            WHEN level = '4' THEN '  '
             WHEN level = '3' THEN creator_name || ' ' || chr(9) ELSE creator_name END AS creator,
-       CASE WHEN broken OR level = '5' THEN NULL ELSE COALESCE(c.n, 0) END AS n_entries
+       CASE WHEN broken OR CAST(d.id AS BIGINT) % 7 = 2 THEN NULL
+            WHEN CAST(d.id AS BIGINT) % 7 = 1 OR level = '5' THEN NULL
+            ELSE COALESCE(c.n, 0) END AS n_entries
 FROM docs d LEFT JOIN entry_counts c ON c.crossword_id = d.id""",
     "resolve_refs_prefix": f"WITH {_FX_ENTRY}, {_PREFIX} SELECT * FROM resolved",
     "resolve_refs_full": f"WITH {_FX_ENTRY}, {_FULL} SELECT * FROM resolved",
@@ -350,8 +376,8 @@ SELECT 'doc_links', COUNT(*) FROM (WITH {_LINKS} SELECT * FROM links)""",
     "table_search": f"""WITH {_ANSWERS}
 SELECT * FROM answers WHERE (creator_name, solution) IN (
   SELECT (creator_name, solution) FROM uses
-  WHERE creator_name ILIKE '%blue%NATION_7 %' OR solution ILIKE '%blue%NATION_7 %'
-     OR clue ILIKE '%blue%NATION_7 %')""",
+  WHERE creator_name ILIKE '%blue%NATION_%' OR solution ILIKE '%blue%NATION_%'
+     OR clue ILIKE '%blue%NATION_%')""",
     "table_search_literal": f"""WITH {_LINKS}
 SELECT * FROM links WHERE contains(lower(creator_name), 'n_1') OR contains(lower(link), 'n_1')""",
     "table_filtered_count": f"""WITH {_ANSWERS}

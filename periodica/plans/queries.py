@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from periodica.functions.text import html_unescape
 from periodica.operators import counts, grids, ingest, streaks, tables, words
 from periodica.operators.resolve import resolve_refs
 from periodica.plans import driver_views as views
 from periodica.plans.driver_views import GRID, Tables
-from periodica.schemas import CORRUPT
+from periodica.schemas import CORRUPT, REASON
 from periodica.session import work_dir
-from periodica.sources import documents, grids as grid_source, pages, sinks
+from periodica.sources import documents, grids as grid_source, pages, sinks, store
 from periodica.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,82 @@ def quarantine(spark, t):
     )
 
 
+def _key(column: str = "id") -> Column:
+    return F.col(column).cast("bigint")
+
+
+# What is done to the text of a document whose number leaves this rest by 16.
+def _kinds(text: Column) -> dict[int, Column]:
+    cut = F.expr("left(text, length(text) - 1)")
+    opened = F.expr("substring(text, 2)")
+    return {
+        1: F.concat(text, text),
+        2: F.concat(text, F.lit(" junk")),
+        3: F.concat(F.lit("["), text, F.lit("]")),
+        4: F.replace(text, F.lit('"id":'), F.lit('"Id" :')),
+        5: F.regexp_replace(text, '"id":"([0-9]+)"', '"id":$1'),
+        6: F.concat(F.lit('{"solutionAvailable":3,'), opened),
+        7: F.concat(F.lit('{"group":5,"dateSolutionAvailable":1.16e12,'), opened),
+        8: F.concat(cut, F.lit(',"date":1e19}')),
+        9: F.concat(cut, F.lit(',"crosswordType":7}')),
+        10: F.concat(cut, F.lit(',"NAME":"renamed"}')),
+        11: F.concat(F.lit(" \n"), text, F.lit("\n\t ")),
+        12: F.concat(text, F.lit("]")),
+        13: F.concat(cut, F.lit(',"profile":{"note":["\\"id\\": 1"]}}')),
+        14: F.concat(text, F.lit(","), text),
+    }
+
+
+@query
+def quarantine_kinds(spark, t):
+    """The outcome of every document after a change that depends on its number."""
+    texts = views.document_texts(t)
+    changed = F.col("text")
+    for rest, to in _kinds(F.col("text")).items():
+        changed = F.when(_key() % 16 == rest, to).otherwise(changed)
+    judged = documents.parse_json(texts.select(F.col("id").alias("doc_key"), changed.alias("text")), "text")
+    return judged.select("doc_key", "id", "name", F.col(REASON).alias("reason"))
+
+
+def _two_roots(spark: SparkSession, t: Tables) -> list[str]:
+    """Even documents twice in the first folder, and all in the second, under other names."""
+    folder = work_dir(spark, "roots")
+    texts = views.document_texts(t).where(F.col("text").endswith("}"))
+
+    def put(rows: DataFrame, name: str, path: str) -> None:
+        renamed = F.replace("text", F.lit("Puzzle No"), F.lit(name))
+        rows.select(renamed.alias("value")).write.text(path)
+
+    even = texts.where(_key() % 2 == 0)
+    put(even, "First No", f"{folder}/one/a")
+    put(even, "Again No", f"{folder}/one/b")
+    put(texts, "Other No", f"{folder}/two")
+    return [f"{folder}/one", f"{folder}/two"]
+
+
+@query
+def first_documents(spark, t):
+    scanned = documents.scan_json(spark, roots=_two_roots(spark, t), lines=True, suffix="*.txt")
+    good, _ = documents.quarantine(documents.stage(scanned, work_dir(spark, "staged")))
+    return documents.first_documents(good).select("id", "name")
+
+
+@query
+def import_documents(spark, t):
+    """Two folders imported in turn, then both again, which changes nothing."""
+    roots, target = _two_roots(spark, t), work_dir(spark, "store")
+    for part in (roots[:1], roots, roots):
+        store.import_documents(spark, target, part, lines=True, suffix="*.txt")
+    per_puzzle = store.read_entries(spark, target).groupBy(F.col("crossword_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_entries")
+    )
+    return (
+        store.read_puzzles(spark, target)
+        .join(per_puzzle, "id", "left")
+        .select("id", "name", "batch", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+    )
+
+
 @query
 def integrity_check(spark, t):
     p = views.puzzles(t)
@@ -117,14 +193,14 @@ def integrity_check(spark, t):
 @query
 def stream_ingest(spark, t):
     files = _text_files(spark, t, "arrivals")
-    store = work_dir(spark, "store")
+    target = work_dir(spark, "store")
     docs = stream.document_stream(spark, files, lines=True, suffix="*.txt")
-    stream.stream_ingest(docs, store, f"{store}/mark").awaitTermination()
-    per_puzzle = stream.read_entries(spark, store).groupBy(F.col("crossword_id").alias("id")).agg(
+    stream.stream_ingest(docs, target, f"{target}/mark").awaitTermination()
+    per_puzzle = stream.read_entries(spark, target).groupBy(F.col("crossword_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n_entries")
     )
     return (
-        stream.read_puzzles(spark, store)
+        stream.read_puzzles(spark, target)
         .join(per_puzzle, "id", "left")
         .select(
             "id",
@@ -152,8 +228,14 @@ def grid_scan(spark, t):
     _catalogue(t).select("grid_name", F.array_join(lines, "\n").alias("value")).write.partitionBy(
         "grid_name"
     ).text(folder)
+    # Files that are no grids: ragged lines, words, and one of another kind.
+    odd = spark.createDataFrame([("ragged", "1,0\n1"), ("words", "a,b")], "grid_name string, value string")
+    odd.repartition(1).write.mode("append").partitionBy("grid_name").text(folder)
+    stray = spark.createDataFrame([("README", "not looked at")], "grid_name string, value string")
+    stray.write.mode("append").partitionBy("grid_name").csv(folder)
     in_path = F.regexp_extract(F.col("_metadata.file_path"), r"/grid_name=([^/]+)/", 1)
-    return grid_source.grid_scan(spark, folder, name=in_path)
+    good, bad = grid_source.grid_scan(spark, folder, name=in_path, suffix="*.txt")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query
@@ -204,11 +286,17 @@ def page_documents(spark, t):
             F.lit("<html><body><x-island name='Other' props='{}'></x-island>"),
             F.lit('<x-island props="{&quot;data&quot;:'),
             escaped,
-            F.lit('}" name="Record"></x-island></body></html>'),
+            # Duplicate keys are taken, text after the object is not.
+            F.when(_key() % 7 == 1, ",&quot;data&quot;:null,&quot;data&quot;:{&quot;creator&quot;:{}}")
+            .otherwise(F.lit("")),
+            F.lit("}"),
+            F.when(_key() % 7 == 2, " trailing").otherwise(F.lit("")),
+            F.lit('" name="Record"></x-island></body></html>'),
         ).alias("html"),
     )
-    found, rejected = pages.page_props(wrapped, "x-island", "Record")
-    taken = found.where(F.col(CORRUPT).isNull()).select(
+    path = work_dir(spark, "props")
+    found, rejected = pages.page_props(wrapped, "x-island", "Record", path)
+    taken = found.where(F.col(REASON).isNull()).select(
         "url",
         F.lit("accepted").alias("outcome"),
         F.col("creator.name").alias("creator"),
@@ -394,7 +482,7 @@ def table_total(spark, t):
 
 @query
 def table_search(spark, t):
-    found = tables.search_condition("blue%NATION_7 ", ANSWERS.searchable)
+    found = tables.search_condition("blue%NATION_", ANSWERS.searchable)
     return tables.table_groups(ANSWERS, _uses(ANSWERS, t), [found])
 
 
@@ -501,7 +589,7 @@ def grid_names(spark, t):
 
 @query
 def grid_annotate(spark, t):
-    docs = _good(t).select("id", "name", "_gridType")
+    docs = _good(t).select("id", "name")
     return grids.grid_annotate(docs, _matches(t))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from periodica.functions.json import closed, is_one_value
 from periodica.functions.text import html_unescape
 from periodica.operators.grids import blanks_fingerprint
 from periodica.sources.documents import parse_json
@@ -42,14 +43,16 @@ def page_props(
     pages: DataFrame,
     tag: str,
     name: str,
+    path: str,
     html: str = "html",
     keep: tuple[str, ...] = ("url",),
 ) -> tuple[DataFrame, DataFrame]:
     """Documents from the ``props`` of the first ``<tag name="...">`` of each page.
 
-    The value is unescaped as an attribute and then once more as a text, parsed,
-    and its ``data`` taken.  Returns the documents, and the pages rejected with
-    the reason: no such props, not JSON, or no creator in the data.
+    The value is unescaped as an attribute and then once more as a text, read
+    once, and its ``data`` taken.  Returns the documents, and the pages rejected
+    with the reason: no such props, not JSON (or more than one value), or no
+    creator in the data.  Both come from one table of props stored at ``path``.
     """
     island = F.filter(
         tag_attributes(F.col(html), tag), lambda a: attribute(a, "name") == name
@@ -57,24 +60,28 @@ def page_props(
     found = pages.select(*keep, F.try_element_at(island, F.lit(1)).alias("_island"))
     raw = found.select(*keep, attribute(F.col("_island"), "props").alias("_raw"))
     once = raw.select(*keep, html_unescape(F.col("_raw")).alias("_once"))
-    # Exploding a single element keeps the tests below on the finished text;
-    # plain filters would be pushed down and unescape the page once per test.
-    read = once.select(*keep, F.explode(F.array(html_unescape(F.col("_once")))).alias("_props"))
-    opened = read.withColumn("_data", F.get_json_object("_props", "$.data"))
-    has_creator = F.array_contains(F.json_object_keys("_data"), "creator")
-    judged = opened.withColumn(
-        "_reason",
-        F.when(F.col("_props").isNull(), "no props")
-        .when(F.try_parse_json("_props").isNull(), "not JSON")
-        .when(~F.coalesce(has_creator, F.lit(False)), "no creator"),
-    )
-    documents = parse_json(
-        judged.where(F.col("_reason").isNull()).select(*keep, "_data"), "_data"
+    # Exploding a single element keeps the steps below on the finished text;
+    # they would otherwise unescape the page again for each use.
+    opened = once.select(*keep, F.explode(F.array(html_unescape(F.col("_once")))).alias("_props"))
+    read = opened.select(*keep, "_props", closed(F.col("_props")).alias("_read"))
+    data = F.from_json(F.get("_read", 0), "data string")["data"]
+    judged = read.select(
+        *keep,
+        F.col("_props").isNull().alias("_none"),
+        (~is_one_value(F.col("_props"), F.col("_read"))).alias("_other"),
+        F.explode(F.array(data)).alias("_data"),
     )
-    rejected = judged.where(F.col("_reason").isNotNull()).select(
-        *keep, F.col("_reason").alias("reason")
+    has_creator = F.array_contains(F.json_object_keys("_data"), "creator")
+    reason = (
+        F.when(F.col("_none"), "no props")
+        .when(F.col("_other"), "not JSON")
+        .when(~F.coalesce(has_creator, F.lit(False)), "no creator")
     )
-    return documents, rejected
+    judged = judged.select(*keep, "_data", reason.alias("reason"))
+    judged.write.mode("overwrite").parquet(path)
+    known = judged.sparkSession.read.schema(judged.schema).parquet(path)
+    documents = parse_json(known.where("reason is null").select(*keep, "_data"), "_data")
+    return documents, known.where("reason is not null").select(*keep, "reason")
 
 
 def accessible_fingerprint(

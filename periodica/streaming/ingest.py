@@ -2,101 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from periodica.operators.ingest import append_new
-from periodica.schemas import CORRUPT, DOCUMENT_OR_CORRUPT, ENTRIES, PUZZLES
-from periodica.sources.documents import (
-    SUFFIX,
-    entry_explode,
-    first_documents,
-    puzzle_norm,
-    quarantine,
-    with_provenance,
-)
+from periodica.sources.documents import SUFFIX, parse_texts, with_provenance
+from periodica.sources.store import land, read_entries, read_puzzles  # noqa: F401
 
 
 def document_stream(
     spark: SparkSession,
-    root: str,
+    roots: str | Sequence[str],
     lines: bool = False,
     suffix: str = SUFFIX,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Documents of the files below ``root``, each file read once."""
-    reader = spark.readStream.schema(DOCUMENT_OR_CORRUPT)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    docs = (
-        reader
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", not lines)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", suffix)
-        .json(root)
-    )
-    return with_provenance(docs, 0)
-
+    """Documents of the files below the folders, each file read once.
 
-def _earlier(spark: SparkSession, path: str, schema, batch: int) -> DataFrame:
-    """What other batches stored; a replayed batch does not see its first try."""
-    return read_batches(spark, path, schema).where(F.col("batch") != batch)
-
-
-def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table stored in one folder per batch; empty before the first batch."""
-    wide = schema.simpleString()[len("struct<") : -1] + ",batch:bigint"
-    try:
-        return spark.read.schema(wide.replace(":", " ")).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], wide.replace(":", " "))
+    The folders rank as listed, as in ``scan_json``: among documents of one id
+    that arrive together, that of the first folder wins.
+    """
+    parts = []
+    for rank, root in enumerate([roots] if isinstance(roots, str) else roots):
+        reader = spark.readStream.option("wholetext", not lines).option("pathGlobFilter", suffix)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        parts.append(with_provenance(reader.option("recursiveFileLookup", True).text(root), rank))
+    return parse_texts(reduce(DataFrame.unionByName, parts), lines)
 
 
 def stream_ingest(docs: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Append new puzzles and entries below ``store`` as documents arrive.
+    """Append new puzzles and entries to the store as documents arrive.
 
-    The stream's checkpoint is the high-water mark.  Every batch is staged first,
-    and puzzles, entries and rejects are all derived from the staged copy.  Each
-    batch writes folders named after it in overwrite mode, so a replay after a
-    failure replaces its own output.  Puzzles are written last: entries become
-    visible through a join with the puzzles of their batch.
+    The stream's checkpoint is the high-water mark.  Every micro-batch is a
+    delivery named after it, so a replay after a failure replaces its own output.
     """
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        staged_path = f"{store}/staged/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(staged_path)
-        good, bad = quarantine(spark.read.parquet(staged_path))
-        bad.write.mode("overwrite").parquet(f"{store}/rejected/batch={batch_id}")
-
-        first = first_documents(good).withColumn("id", F.coalesce("id", F.lit("")))
-        new_path = f"{store}/accepted/batch={batch_id}"
-        known = _earlier(spark, f"{store}/puzzles", PUZZLES, batch_id)
-        append_new(first, known).write.mode("overwrite").parquet(new_path)
-
-        new = spark.read.parquet(new_path)
-        entry_explode(new).write.mode("overwrite").parquet(f"{store}/entries/batch={batch_id}")
-        puzzle_norm(new).write.mode("overwrite").parquet(f"{store}/puzzles/batch={batch_id}")
+    def land_batch(batch: DataFrame, batch_id: int) -> None:
+        land(batch, store, f"stream-{batch_id:06d}")
 
     return (
-        docs.writeStream.foreachBatch(land)
+        docs.writeStream.foreachBatch(land_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_puzzles(spark: SparkSession, store: str) -> DataFrame:
-    return read_batches(spark, f"{store}/puzzles", PUZZLES)
-
-
-def read_entries(spark: SparkSession, store: str) -> DataFrame:
-    """Entries of batches whose puzzles have landed."""
-    entries = read_batches(spark, f"{store}/entries", ENTRIES)
-    landed = read_puzzles(spark, store).select("batch").distinct()
-    return entries.join(landed, "batch", "left_semi")

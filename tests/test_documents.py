@@ -105,6 +105,46 @@ def test_bad_files_do_not_stop_the_others(spark, tmp_path):
     assert names == ["b.Json", "c.JSON", "d.JSON"]
 
 
+GOOD = json.dumps(doc("x"))
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        (GOOD, None),
+        (f" \n{GOOD}\n\t", None),
+        (GOOD + GOOD, "not one JSON object"),
+        (GOOD + " junk", "not one JSON object"),
+        (GOOD + "]", "not one JSON object"),
+        (GOOD + "," + GOOD, "not one JSON object"),
+        (f"[{GOOD}]", "not one JSON object"),
+        ("", "not one JSON object"),
+        ("3", "not one JSON object"),
+        (json.dumps(doc("x", solutionAvailable=3, group=5, dateSolutionAvailable=1.16e12)), None),
+        (json.dumps(doc("x", separatorLocations="none")), None),
+        (json.dumps(doc(5)), "wrong type"),
+        (json.dumps(doc("x", name={"q": 1})), "wrong type"),
+        (json.dumps(doc("x", creator="Ann")), "wrong type"),
+        (json.dumps(doc("x", entries=[entry(clue=1)])), "wrong type"),
+        (json.dumps(doc("x", entries=[entry(length=1.5)])), "wrong type"),
+        (json.dumps(doc("x", entries=[None])), None),
+        (json.dumps(doc("x", date=1e19)), "no such date"),
+        (json.dumps(doc("x", date=-1e300)), "no such date"),
+    ],
+)
+def test_what_is_accepted(spark, text, reason):
+    row = documents.parse_json(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert row["_reject_reason"] == reason
+    assert row["_corrupt_record"] == (text if reason else None)
+    assert row["id"] == (None if reason else "x")
+
+
+def test_keys_in_any_case(spark):
+    text = '{"ID":"x","Name":"a","NAME":"b \\"id\\": 1","ENTRIES":[{"Clue":"c","POSITION":{"X":3}}]}'
+    row = documents.parse_json(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (row.id, row.name, row.entries[0].clue, row.entries[0].position.x) == ("x", 'b "id": 1', "c", 3)
+
+
 def test_nothing_to_read(spark, tmp_path):
     none = documents.scan_json(spark, roots=[str(tmp_path / "missing")])
     good, bad = documents.quarantine(none)

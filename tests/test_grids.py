@@ -53,23 +53,34 @@ def write(folder, layouts, mark="{}"):
 
 def test_scan(spark, tmp_path, layouts):
     write(tmp_path / "g", layouts)
-    got = {r.grid_name: r for r in grid_scan(spark, str(tmp_path / "g")).collect()}
+    got = {r.grid_name: r for r in grid_scan(spark, str(tmp_path / "g"))[0].collect()}
     assert set(got) == set(layouts)
     for name, grid in layouts.items():
         assert (got[name].n_rows, got[name].n_cols) == (15, 15)
         assert got[name].fingerprint == fingerprint(grid)
 
 
+def test_files_that_are_no_grids(spark, tmp_path, layouts):
+    write(tmp_path / "g", layouts)
+    for name, text in {"README": "hello", "short.grid": "1,0\n1", "words.grid": "a,b", "none.grid": " \n"}.items():
+        (tmp_path / "g" / name).write_text(text)
+    good, bad = grid_scan(spark, str(tmp_path / "g"))
+    assert {r.grid_name for r in good.collect()} == set(layouts)
+    assert {r.grid_name: r.reason for r in bad.collect()} == {
+        "short": "lines of different lengths", "words": "not a number", "none": "no lines",
+    }
+
+
 def test_numbers_may_be_written_as_decimals(spark, tmp_path, layouts):
     write(tmp_path / "g", {"A.1": layouts["M01"]}, "{}.0")
-    row = grid_scan(spark, str(tmp_path / "g")).first()
+    row = grid_scan(spark, str(tmp_path / "g"))[0].first()
     assert (row.grid_name, row.fingerprint) == ("A.1", fingerprint(layouts["M01"]))
 
 
 def test_match(spark, tmp_path, layouts):
     layouts = dict(layouts, M99=layouts["M03"])
     write(tmp_path / "g", layouts)
-    catalogue = grid_scan(spark, str(tmp_path / "g"))
+    catalogue, _ = grid_scan(spark, str(tmp_path / "g"))
     rng = random.Random(4)
     shown = {f"p{i}": layouts[f"M{i:02d}"] for i in range(8)}
     shown["new"] = random_grid(rng)

@@ -17,7 +17,7 @@ def island(data, name="Record", tag="x-island", quote='"', first=True):
     return f"<{tag} class=a {' '.join(attributes[:: 1 if first else -1])}></{tag}>"
 
 
-def test_documents_and_rejects(spark):
+def test_documents_and_rejects(spark, tmp_path):
     tricky = doc("tricky", name='name="Record" > & "quoted" <b>')
     cases = {
         "plain": island(doc("plain")),
@@ -31,24 +31,29 @@ def test_documents_and_rejects(spark):
         "cut": island('{"data": {"creator"'),
         "no creator": island(doc("no creator", creator=...)),
         "no data": island('{"other": 1}'),
+        "trailing": island(json.dumps({"data": doc("trailing")}) + " more"),
+        "two": island(json.dumps({"data": doc("two")}) * 2),
+        "twice": island('{"data":null,"data":' + json.dumps(doc("twice")) + "}"),
     }
     df = spark.createDataFrame([(k, f"<html>{v}</html>") for k, v in cases.items()], "url string, html string")
-    found, rejected = pages.page_props(df, "x-island", "Record")
+    found, rejected = pages.page_props(df, "x-island", "Record", str(tmp_path / "props"))
     assert {r.url: r.id for r in found.collect()} == {
-        k: k for k in ("plain", "name first", "single quotes", "second island", "other tag", "tricky")
+        k: k for k in ("plain", "name first", "single quotes", "second island", "other tag", "tricky", "twice")
     }
     assert {r.url: r.reason for r in rejected.collect()} == {
-        "no island": "no props", "no props": "no props", "cut": "not JSON",
+        "no island": "no props", "no props": "no props", "cut": "not JSON", "trailing": "not JSON",
+        "two": "not JSON",
         "no creator": "no creator", "no data": "no creator",
     }
     names = {r.id: r.name for r in documents.puzzle_norm(found).collect()}
     assert names["tricky"] == 'name="Record" > & "quoted" <b>'
 
 
-def test_props_are_unescaped_twice(spark):
+def test_props_are_unescaped_twice(spark, tmp_path):
     data = doc("x", name="Fish &amp; chips &#233;")
     found, _ = pages.page_props(
-        spark.createDataFrame([("u", island(data))], "url string, html string"), "x-island", "Record"
+        spark.createDataFrame([("u", island(data))], "url string, html string"), "x-island", "Record",
+        str(tmp_path / "props"),
     )
     assert found.first().name == "Fish & chips é"
 

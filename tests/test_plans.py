@@ -8,18 +8,33 @@ import __spark_entry__ as entry
 from periodica.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-# These run and read back files, so their final plan is a plain scan.
-STORED = {"scan_json", "quarantine", "stream_ingest", "grid_scan", "sink_rows_json",
-          "sink_table", "sink_table_entries"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STORED])
-def test_no_cross_join_no_python_no_global_window(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all that a query writes on its way, before it is read back."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen = []
+    for name in ("parquet", "text"):
+        write = getattr(DataFrameWriter, name)
+
+        def noted(self, *args, _write=write, **kwargs):
+            seen.append(plan(self._df))
+            return _write(self, *args, **kwargs)
+
+        monkeypatch.setattr(DataFrameWriter, name, noted)
+    return seen
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_no_cross_join_no_python_no_global_window(spark, name, plans):
+    plans.append(plan(entry.queries()[name](spark, FOLDER)))
+    text = "\n".join(plans)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "PythonUDF",
                 "FlatMapGroups", "MapInPandas", "MapInArrow"):
         assert bad not in text
@@ -29,6 +44,20 @@ def test_no_cross_join_no_python_no_global_window(spark, name):
             assert "SinglePartition" not in "".join(lines[i : i + 3])
 
 
+@pytest.mark.parametrize("name", ["table_page", "table_page_full"])
+def test_a_page_derives_its_table_once(spark, name, plans):
+    plans.append(plan(entry.queries()[name](spark, FOLDER)))
+    assert sum("lineitem.parquet" in p for p in plans) == 1
+    assert "lineitem.parquet" not in plans[-1]
+
+
+def test_only_referenced_entries_are_grouped(spark):
+    text = plan(entry.queries()["resolve_refs_prefix"](spark, FOLDER))
+    lines = text.splitlines()
+    targets = next(i for i, x in enumerate(lines) if "Aggregate" in x and "_across" in x)
+    assert any("LeftSemi" in x for x in lines[targets:])
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(entry.queries()["direction_balance"](spark, FOLDER))
     schemas = dict(re.findall(r"/(\w+)\.parquet\].*?ReadSchema: struct<([^>]*)>", text))

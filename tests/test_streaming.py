@@ -5,6 +5,7 @@ import json
 from periodica.operators import ingest
 from periodica.schemas import ENTRIES, PUZZLES
 from periodica.sources import documents
+from periodica.sources.store import compact, import_documents
 from periodica.streaming import ingest as stream
 from tests.test_documents import doc, entry
 
@@ -73,10 +74,47 @@ def test_entries_without_their_puzzles_stay_hidden(spark, tmp_path):
     put(inbox, "1.json", many(0, 8))
     p, e = run(spark, inbox, store)
     late = e.limit(3)
-    late.write.parquet(str(store / "entries" / "batch=7"))
+    late.write.parquet(str(store / "entries" / "batch=stream-000007"))
     assert stream.read_entries(spark, str(store)).count() == e.count()
 
 
+def test_the_first_folder_wins_in_a_stream_too(spark, tmp_path):
+    put(tmp_path / "b", "1.json", many(0, 6, "first"))
+    put(tmp_path / "a", "1.json", many(0, 9, "second"))
+    docs = stream.document_stream(spark, [str(tmp_path / "b"), str(tmp_path / "a")], lines=True)
+    store = tmp_path / "store"
+    stream.stream_ingest(docs, str(store), str(store / "mark")).awaitTermination()
+    names = [r.name for r in stream.read_puzzles(spark, str(store)).orderBy("id").collect()]
+    assert names == ["first"] * 6 + ["second"] * 3
+    assert not (store / "work" / "stream-000000").exists()
+
+
+def test_imports_and_compaction(spark, tmp_path):
+    one, two, store = tmp_path / "one", tmp_path / "two", str(tmp_path / "store")
+    put(one, "1.json", many(0, 6, "first") + ["{broken"])
+    put(two, "1.json", many(3, 9, "second"))
+    assert import_documents(spark, store, [str(one)], lines=True) == "import-000001"
+    assert import_documents(spark, store, [str(one), str(two)], lines=True) == "import-000002"
+    import_documents(spark, store, files=[str(two / "1.json")], lines=True)
+
+    def state():
+        return (
+            sorted((r.id, r.name) for r in stream.read_puzzles(spark, store).collect()),
+            sorted(tuple(r)[:-1] for r in stream.read_entries(spark, store).collect()),
+        )
+
+    before = state()
+    assert [n for _, n in before[0]] == ["first"] * 6 + ["second"] * 3
+    assert len(before[1]) == sum(i % 4 for i in range(9))
+    # A delivery that failed before its puzzles landed, and is run again.
+    spark.read.parquet(f"{store}/entries/batch=import-000001").write.parquet(f"{store}/entries/batch=import-000004")
+    assert state() == before
+    name = compact(spark, store)
+    assert state() == before
+    assert {r.batch for r in stream.read_puzzles(spark, store).collect()} == {name}
+    assert compact(spark, store) != name and state() == before
+
+
 def test_nothing_stored_yet(spark, tmp_path):
     assert stream.read_puzzles(spark, str(tmp_path / "none")).count() == 0
     assert ingest.append_new(
