@@ -5,9 +5,9 @@ of a sketch, and the word of a part is the exclusive-or of its shingles' hashes:
 differ in d shingles differ in at most d parts.  For a similarity of 0.8 a set of a shingles
 may differ from its partner in a quarter of a, so that of the first a/4 + 1 parts that hold
 a shingle at least one is equal in both (equal empty parts do not count on either side).
-These words are the keys of an equality join inside bands of set sizes.  A short sketch of
-single parity bits, whose Hamming distance is also at most d, throws out chance candidates
-before the sets themselves are compared.
+These words are the keys of an equality join inside bands of set sizes.  A second sketch of single
+parity bits, whose Hamming distance is also at most d, throws out nearly all candidates that
+are not similar before the sets themselves are compared.
 
 Documents of equal sets are one node.  A node is first compared with the smallest of all
 that it shares a key with, then with the smallest of each key, and the links are drawn
@@ -31,7 +31,8 @@ from periodica.llm.hashing import hashes, mixed, prefix_sums
 WORDS = 5
 # Documents link when 100 x common >= 80 x all.
 SIMILAR = 80
-SKETCH_BITS = 512
+# A sketch has a power of two of bits, at least as many as this, and twice the set's size.
+LEAST_BITS = 256
 # A band of sizes from 2^j to 2.5 x 2^j has a part for this share of its largest size, and
 # some more for short texts.
 PARTS, MORE_PARTS = 0.35, 4
@@ -152,6 +153,10 @@ def _sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner, item, size, node
 
 
+def _width(size: np.ndarray) -> np.ndarray:
+    return 1 << np.ceil(np.log2(np.maximum(2 * size, LEAST_BITS))).astype(np.int64)
+
+
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, node (the hash of the set) and sketch of every document."""
 
@@ -161,15 +166,17 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for at, texts in _groups(batch.column("text").to_pylist()):
                 n = len(texts)
                 owner, item, size, node = _sets(texts, words)
-                bit = owner * SKETCH_BITS + (item & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-                bits = np.bincount(bit, minlength=n * SKETCH_BITS) & 1
+                width = _width(size)
+                first = np.cumsum(width) - width
+                bit = first[owner] + (item & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+                bits = np.bincount(bit, minlength=int(width.sum())) & 1
                 sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, n),
                         pa.array(size, pa.int64()),
                         pa.array(node.view(np.int64)),
-                        _split(sketch, np.repeat(np.arange(n), SKETCH_BITS // 64), n),
+                        _split(sketch, np.repeat(np.arange(n), width // 64), n),
                     ],
                     ["doc_id", "n_shingles", "node", "sketch"],
                 )
@@ -249,26 +256,41 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, items array<long>")
 
 
+def _folded(sketch: str, other: str) -> Column:
+    """A sketch as narrow as the other one; halves fold into each other by parity."""
+    half = F.size(sketch).cast("int") / 2
+    fold = F.zip_with(
+        F.slice(sketch, F.lit(1), half.cast("int")),
+        F.slice(sketch, (half + 1).cast("int"), half.cast("int")),
+        lambda x, y: x.bitwiseXOR(y),
+    )
+    return F.when(F.size(sketch) > F.size(other), fold).otherwise(F.col(sketch))
+
+
 def _near(meta: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow the similarity."""
-    side = lambda s: meta.select(
-        F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")
+    """Pairs (a, b) whose sizes and sketches allow the similarity.
+
+    Sizes that do so are at most a quarter apart, so widths differ by one fold at most.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(
+            meta.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}")), side
+        )
+    pairs = pairs.where(SIMILAR * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b"))
+    for side in ("a", "b"):
+        pairs = pairs.join(meta.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    pairs = pairs.withColumns(
+        {"_a": _folded("sketch_a", "sketch_b"), "_b": _folded("sketch_b", "sketch_a")}
     )
     distance = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
         lambda total, x: total + x,
     )
-    total = F.col("n_a") + F.col("n_b")
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(
-            (SIMILAR * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b"))
-            & ((100 + SIMILAR) * distance <= (100 - SIMILAR) * total)
-        )
-        .select("a", "b")
-    )
+    # At most d = (a + b)(100 - s) / (100 + s) shingles differ.
+    return pairs.where(
+        (100 + SIMILAR) * distance <= (100 - SIMILAR) * (F.col("n_a") + F.col("n_b"))
+    ).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

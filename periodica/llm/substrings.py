@@ -205,7 +205,9 @@ def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
         key = table.column("trigger").to_numpy()
         wanted = table.column("wanted").to_numpy()
         ids, start, place = (table.column(c).to_numpy() for c in ("text_id", "start", "place"))
-        n = len(key)
+        n, side = len(key), length - trigger
+        # For each phrase, where runs of repeated windows begin (+1) and end (-1).
+        edges = np.zeros((n, side + 2), dtype=np.int32)
         for gap in range(1, NEIGHBOURS):
             p = np.flatnonzero(key[: n - gap] == key[gap:]) if n > gap else np.zeros(0, int)
             if not len(p):
@@ -214,19 +216,25 @@ def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
             for k in range(0, len(p), 10_000):
                 a = p[k : k + 10_000]
                 left, right = _extents(table, a, a + gap, length, trigger)
-                some = left + right >= length - trigger
+                some = left + right >= side
                 a, left, right = a[some], left[some], right[some]
                 for x in (a, a + gap):
-                    mine = wanted[x]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.nulls(int(mine.sum()), pa.int64()),
-                            pa.array(ids[x][mine]),
-                            pa.array((start[x] + place[x] - left)[mine].astype(np.int32)),
-                            pa.array((left + right - (length - trigger) + 1)[mine].astype(np.int32)),
-                        ],
-                        ["hash", "text_id", "start", "n"],
-                    )
+                    np.add.at(edges, (x, place[x] - left), 1)
+                    np.add.at(edges, (x, place[x] + right - side + 1), -1)
+        inside = (np.cumsum(edges, axis=1) > 0) & wanted[:, None]
+        turns = np.diff(np.pad(inside, ((0, 0), (1, 0))).astype(np.int8), axis=1)
+        row, first = np.nonzero(turns == 1)
+        last = np.nonzero(turns == -1)[1]
+        if len(row):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(row), pa.int64()),
+                    pa.array(ids[row]),
+                    pa.array((start[row] + first).astype(np.int32)),
+                    pa.array((last - first).astype(np.int32)),
+                ],
+                ["hash", "text_id", "start", "n"],
+            )
 
     def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for ids, start, n, raw in zip(*(table.column(c).to_pylist() for c in ("text_id", "start", "n", "bytes"))):
