@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from periodica.llm.common import texts_of
+from periodica.llm.common import text_batches, texts_of
 from periodica.llm.pretokens import Pieces, encoded_texts
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -180,6 +180,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 [batch.column("key"), pa.array(ids, pa.list_(pa.int64()))], ["key", "ids"]
             )
 
+    text_batches(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")
     return rows.mapInArrow(encode, "key long, ids array<long>").withColumnRenamed("key", key)
 
@@ -215,5 +216,6 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    text_batches(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")
     return rows.mapInArrow(run, OUTPUT)

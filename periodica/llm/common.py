@@ -11,6 +11,8 @@ from periodica.session import work_dir
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -39,6 +41,15 @@ def words_of(text: Column) -> Column:
     )
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Sets the rows of an Arrow batch down to what whole texts ask for.
+
+    The session's default of 10,000 rows is made for narrow rows: with texts of some KB the
+    buffers on both sides of a Python worker would take hundreds of MB.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null ones are empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

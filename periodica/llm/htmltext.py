@@ -19,7 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from periodica.llm.common import staged
+from periodica.llm.common import staged, text_batches
 
 # Tags of the HTML standard.
 RAW = "script|style|noscript|template|textarea|title|select|button|svg|math|iframe|object|audio|video|canvas"
@@ -229,6 +229,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     staged, so their size decides how they meet the pages; a hot host is split by adaptive
     execution where they are too large to be sent around.
     """
+    text_batches(pages.sparkSession)
     named = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     tokens = staged(page_tokens(named.withColumn("page", F.xxhash64("page_id", "url", "html"))), "tokens")
     known = staged(templates(tokens), "templates")

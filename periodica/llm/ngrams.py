@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from periodica.llm.common import put_back, set_aside, staged
+from periodica.llm.common import put_back, set_aside, staged, text_batches
 from periodica.llm.components import components
 from periodica.llm.hashing import hashes, mixed, prefix_sums
 
@@ -351,6 +351,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     has a null component.  Repeated rows are equal documents.  Other columns are dropped; an
     empty table gives an empty one.  Shingles and sets are told apart by 64-bit hashes.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     base = staged(sketched(docs, words), "sketches")
     meta = base.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"])

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from periodica.llm.common import staged, texts_of
+from periodica.llm.common import staged, text_batches, texts_of
 from periodica.llm.pretokens import Pieces, encoded_texts
 
 END_ID = 0
@@ -117,6 +117,7 @@ def token_pieces(
                 [pa.array(c, f.type) for c, f in zip(columns, ARROW)], schema=ARROW
             )
 
+    text_batches(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")
     return rows.mapInArrow(run, PIECE)
 

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from periodica.llm.common import put_back, set_aside, staged, text_or_empty
+from periodica.llm.common import put_back, set_aside, staged, text_batches, text_or_empty
 from periodica.llm.hashing import hashes, mixed, prefix_sums
 
 LENGTH = 200
@@ -165,14 +165,19 @@ def _opened(edges: DataFrame, length: int) -> DataFrame:
     return edges.select(*columns).mapInArrow(run, EDGES)
 
 
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one after the other, and where each value begins."""
+    raw = pa.concat_arrays(column.chunks)
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data, (offsets - offsets[0]).astype(np.int64)
+
+
 def _extents(rows: pa.Table, p: np.ndarray, q: np.ndarray, length: int, trigger: int) -> tuple[np.ndarray, np.ndarray]:
     """How many equal bytes the phrases p and q have left and right of their trigger."""
     side = length - trigger
     place = rows.column("place").to_numpy()
-    raw = rows.column("bytes").combine_chunks()
-    starts = raw.buffers()[1]
-    starts = np.frombuffer(starts, dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)
+    data, starts = _binary(rows.column("bytes"))
     step = np.arange(side)
 
     def equal(first: np.ndarray, way: int, room: np.ndarray) -> np.ndarray:
@@ -237,18 +242,23 @@ def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
             )
 
     def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for ids, start, n, raw in zip(*(table.column(c).to_pylist() for c in ("text_id", "start", "n", "bytes"))):
-            at = np.arange(n)
-            found = mixed(hashes(prefix_sums(np.frombuffer(raw, dtype=np.uint8)), at, at + length))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found.view(np.int64)),
-                    pa.array(np.full(n, ids)),
-                    pa.array((start + at).astype(np.int32)),
-                    pa.array(np.ones(n, dtype=np.int32)),
-                ],
-                ["hash", "text_id", "start", "n"],
-            )
+        if not table.num_rows:
+            return
+        ids, start, n = (table.column(c).to_numpy() for c in ("text_id", "start", "n"))
+        data, offsets = _binary(table.column("bytes"))
+        own = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        sums = prefix_sums(data)
+        found = mixed(hashes(sums, offsets[own] + at, offsets[own] + at + length))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(found.view(np.int64)),
+                pa.array(ids[own]),
+                pa.array((start[own] + at).astype(np.int32)),
+                pa.array(np.ones(len(own), dtype=np.int32)),
+            ],
+            ["hash", "text_id", "start", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the rows of the last trigger, at most NEIGHBOURS
@@ -351,8 +361,8 @@ def _masked(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndar
 
 
 def _with_runs(docs: DataFrame, length: int, trigger: int) -> tuple[DataFrame, DataFrame]:
-    text = text_or_empty()
-    named = docs.withColumn("text", text).withColumn("text_id", F.xxhash64("text"))
+    text_batches(docs.sparkSession)
+    named = docs.withColumn("text", text_or_empty()).withColumn("text_id", F.xxhash64("text"))
     runs = repeated_windows(named.select("text_id", "text", "doc_id"), length, trigger)
     return named, runs
 
