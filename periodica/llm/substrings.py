@@ -136,14 +136,22 @@ EDGES = "trigger long, text_id long, start int, n int, place int, wanted boolean
 
 
 def _opened(edges: DataFrame, length: int) -> DataFrame:
-    """The bytes of the phrases in `runs` of a text, with the place of the trigger in them."""
+    """The bytes of the phrases in `runs` of a text, with the place of the trigger in them.
+
+    Of equal texts in a task the first is opened.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            text_ids = batch.column("text_id").to_pylist()
             lists = batch.column("runs")
             offsets = lists.offsets.to_numpy()
             parts = {f: lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n")}
-            for i in range(batch.num_rows):
+            for i, text_id in enumerate(text_ids):
+                if text_id in seen:
+                    continue
+                seen.add(text_id)
                 rows = slice(offsets[i], offsets[i + 1])
                 text = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
                 raw = [text[a : a + k + length - 1] for a, k in zip(parts["start"][rows].tolist(), parts["n"][rows].tolist())]
@@ -151,7 +159,7 @@ def _opened(edges: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         own.field("trigger"),
-                        pa.array(np.full(len(raw), batch.column("text_id")[i].as_py())),
+                        pa.array(np.full(len(raw), text_id)),
                         own.field("start"),
                         own.field("n"),
                         own.field("place"),
@@ -338,7 +346,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, trigger: int = TRIG
         .union(found.where("hash is null").select("text_id", "start", "n"))
         .union(crowded.select("text_id", "start", "n"))
         .groupBy("text_id")
-        .agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+        .agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     )
 
 
