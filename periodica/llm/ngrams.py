@@ -3,9 +3,10 @@
 A document is its set of five-word shingles.  Every shingle is hashed to one of the parts
 of a sketch, and the word of a part is the exclusive-or of its shingles' hashes: sets that
 differ in d shingles differ in at most d parts.  For a similarity of 0.8 a set of a shingles
-may differ from its partner in a quarter of a, so that of the first a/4 + 1 parts that hold
-a shingle at least one is equal in both (equal empty parts do not count on either side).
-These words are the keys of an equality join inside bands of set sizes.  A second sketch of single
+may differ from its partner in a quarter of a, so that of a/4 + 1 parts that hold a shingle
+at least one is equal in both (equal empty parts do not count on either side).  These words
+are the keys of an equality join inside bands of set sizes, and of each set's keys the a/4 + 1
+that the fewest sets have are enough.  A second sketch of single
 parity bits, whose Hamming distance is also at most d, throws out nearly all candidates that
 are not similar before the sets themselves are compared.
 
@@ -35,7 +36,7 @@ SIMILAR = 80
 LEAST_BITS = 256
 # A band of sizes from 2^j to 2.5 x 2^j has a part for this share of its largest size, and
 # some more for short texts.
-PARTS, MORE_PARTS = 0.35, 4
+PARTS, MORE_PARTS = 0.3, 4
 CHUNK = 1 << 20
 FILTER_BITS = 25
 
@@ -84,13 +85,16 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     return owner[new], whole[new]
 
 
-def _keys(owner: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of the join keys; size: of the texts' sets, owner in order."""
+def _keys(owner: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, info) of the keys of all parts in use; size: of the texts' sets, owner in order.
+
+    info has the band and seed, how many parts are in use, and how many keys are needed.
+    """
     floor = np.zeros(len(size), dtype=np.int64)
     positive = size > 0
     floor[positive] = np.floor(np.log2(size[positive])).astype(np.int64)
     may_differ = (size + size * 5 // 4) // 9
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for shift in (0, 1):  # the band that begins at this size, and the one before
         band = floor - shift
         member = positive & (band >= 0) & (2 * size < 5 * 2.0**band)
@@ -106,23 +110,21 @@ def _keys(owner: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.nda
             at = np.flatnonzero(new)
             word = np.bitwise_xor.reduceat(x, at)
             o, part = o[at], part[at]
-            first = np.searchsorted(o, o)
-            rank = np.arange(len(o)) - first
-            take = rank <= may_differ[o]
+            used = np.bincount(o, minlength=len(size))
+            needed = np.minimum(used, may_differ + 1)
             place = (band[o] << 40 | seed << 32 | part).astype(np.uint64)
-            found.append((o[take], mixed(mixed(word) ^ mixed(place))[take]))
+            info = (band[o] * 16 + seed) << 48 | used[o] << 24 | needed[o]
+            found.append((o, mixed(mixed(word) ^ mixed(place)), info))
             # With fewer parts in use than the guarantee needs, once more with other parts:
             # a pair is found by the first seed under which either has enough.
-            used = np.bincount(o, minlength=len(size))
             poor = poor & (used <= may_differ)
             seed += 1
             if seed > 3:
                 parts = parts * 2
     if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    texts, keys = (np.concatenate(c) for c in zip(*found))
-    order = np.argsort(texts, kind="stable")
-    return texts[order], keys[order]
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _split(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
@@ -185,7 +187,7 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def join_keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(key, node) of the join keys of all sets; equal sets of one task have theirs once."""
+    """(key, node, info) of the keys of all sets; equal sets of one task have theirs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -193,12 +195,13 @@ def join_keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for _, texts in _groups(batch.column("text").to_pylist()):
                 owner, item, size, node = _sets(texts, words)
                 wanted = _unseen(node, size > 0, seen)[owner]
-                found, keys = _keys(owner[wanted], item[wanted], size)
+                found, keys, info = _keys(owner[wanted], item[wanted], size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(node[found].view(np.int64))], ["key", "node"]
+                    [pa.array(keys.view(np.int64)), pa.array(node[found].view(np.int64)), pa.array(info)],
+                    ["key", "node", "info"],
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(run, "key long, node long, info long")
 
 
 def _unseen(node: np.ndarray, of: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -342,6 +345,44 @@ def _open_pairs(shared: DataFrame, joined: DataFrame) -> DataFrame:
     )
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The keys that several nodes have, with how often they occur."""
+    same = Window.partitionBy("key")
+    return (
+        keys.withColumns(
+            {
+                "low": F.min("node").over(same),
+                "high": F.max("node").over(same),
+                "times": F.count(F.lit(1)).over(same),
+            }
+        )
+        .where("low <> high")
+        .select("key", "node", "info", "times")
+        .distinct()
+    )
+
+
+def _rarest(keys: DataFrame) -> DataFrame:
+    """The keys that are needed of each node: the rarest ones, those of it alone first.
+
+    Of n keys two similar sets share n - d at least, in either's count; so their rarest
+    common key is among the d + 1 rarest of both.  A set of which most keys are its own
+    needs none, and what very many sets have in common comes last.
+    """
+    own = Window.partitionBy("node", F.shiftright("info", 48))
+    used, needed = (F.shiftright("info", n).bitwiseAND(F.lit((1 << 24) - 1)) for n in (24, 0))
+    chosen = keys.withColumns(
+        {
+            "rank": F.row_number().over(own.orderBy("times", "key")),
+            "n_shared": F.count(F.lit(1)).over(own),
+        }
+    ).where(F.col("rank") <= needed - used + F.col("n_shared"))
+    same = Window.partitionBy("key")
+    return chosen.withColumns(
+        {"low": F.min("node").over(same), "high": F.max("node").over(same)}
+    ).where("low <> high")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -356,14 +397,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     base = staged(sketched(docs, words), "sketches")
     meta = base.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
     meta = staged(meta, "nodes")
-    same = Window.partitionBy("key")
-    shared = (
-        join_keys(docs, words)
-        .withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)})
-        .where("low <> high")
-        .select("key", "node", "low")
-    )
-    shared = staged(shared, "shared-keys")
+    shared = _rarest(staged(_shared(join_keys(docs, words)), "shared-keys"))
+    shared = staged(shared.select("key", "node", "low"), "rarest-keys")
 
     # Every node with the smallest one of each of its keys; first with the smallest of all.
     stars = shared.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
