@@ -121,6 +121,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def tagged(path: str) -> bool:
+    """Whether a path goes through an article or main tag."""
+    return any(label.partition(".")[0] in MAIN_TAGS for label in path.split("/"))
+
+
 TOKENS = "host string, page long, path string, times long, chars long, link_chars long, words long"
 _ARROW = pa.schema(
     [("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("times", pa.int64()),
@@ -129,16 +134,26 @@ _ARROW = pa.schema(
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row for each page and path: blocks, characters, and a hash of the text."""
+    """One row for each page and path: blocks, characters, and a hash of the text.
+
+    page is a hash of what the page says, in its article or main tags if it has any and else
+    outside containers marked as apart: pages with equal texts there are one page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             rows = []
-            for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
+            for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
                 found: dict[str, list] = {}
-                for path, text, linked in blocks(html or ""):
+                read = list(blocks(html or ""))
+                free = [(path, text) for path, text, _ in read if APART not in path]
+                said = xxhash.xxh64()
+                for path, text in [(p, t) for p, t in free if tagged(p)] or free:
+                    said.update(f"{path}\n{text}\n".encode("utf-8", "surrogatepass"))
+                page = said.intdigest() - (1 << 63)
+                for path, text, linked in read:
                     own = found.setdefault(path, [0, 0, 0, xxhash.xxh64()])
                     own[0] += 1
                     own[1] += len(text)
@@ -152,16 +167,22 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 [pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW
             )
 
-    return pages.select("host", "page", "html").mapInArrow(run, TOKENS)
+    return pages.select("host", "html").mapInArrow(run, TOKENS)
 
 
 def templates(tokens: DataFrame) -> DataFrame:
     """host, main and constant: the template's main path, and its paths without news.
 
-    tokens: the rows of page_tokens.  A path is valid where its class is on enough pages of
-    the host.  The main path is that of the first container of an article or main tag, where
+    tokens: the rows of page_tokens.  Copies of a page are no evidence, so each host is
+    reduced to its different pages first.  A path is valid where its class is on enough pages
+    of the host.  The main path is that of the first container of an article or main tag, where
     there is one, and else the slot itself, by most text outside of links.
     """
+    tokens = tokens.groupBy("host", "page", "path").agg(
+        *[F.max(c).alias(c) for c in ("times", "chars", "link_chars")],
+        F.min("words").alias("low"),
+        F.max("words").alias("high"),
+    )
     sizes = tokens.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(
         F.sum("one").alias("pages")
     )
@@ -171,8 +192,8 @@ def templates(tokens: DataFrame) -> DataFrame:
         F.sum("times").alias("times"),
         F.sum("chars").alias("chars"),
         F.sum("link_chars").alias("link_chars"),
-        F.min("words").alias("low"),
-        F.max("words").alias("high"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
     same = Window.partitionBy("host", "vector", "on_pages", "times")
     classed = (
@@ -216,8 +237,7 @@ def article(html: str, main: str | None, constant: frozenset[str]) -> str:
         kept = [t for p, t in own if p == main or p not in constant]
         if kept or own:
             return "\n".join(kept or [t for _, t in own])
-    tagged = [t for p, t in found if any(s.partition(".")[0] in MAIN_TAGS for s in p.split("/"))]
-    return "\n".join(tagged or [t for _, t in found])
+    return "\n".join([t for p, t in found if tagged(p)] or [t for _, t in found])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -231,7 +251,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     text_batches(pages.sparkSession)
     named = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    tokens = staged(page_tokens(named.withColumn("page", F.xxhash64("page_id", "url", "html"))), "tokens")
+    tokens = staged(page_tokens(named), "tokens")
     known = staged(templates(tokens), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -230,6 +230,25 @@ def test_equal_pages_keep_their_article(spark):
     assert htmltext.main_texts(pages).count() == 9
 
 
+def texts_of_pages(spark, htmls):
+    rows = [(i, "https://h.example/p", html) for i, html in enumerate(htmls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in htmltext.main_texts(pages).orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_keep_all_of_its_article(spark):
+    """Copies are one page, also where only what is around the article differs."""
+    html = (
+        "<body><nav>menu {n}</nav><article><h1>T</h1><p>a</p><ul><li>x</li></ul><table><tr><td>y</table>"
+        "<section><p>z</p></section></article><footer>{n}</footer></body>"
+    )
+    want = "T\na\nx\ny\nz"
+    assert texts_of_pages(spark, [html.format(n=1)] * 5 + [html.format(n=n) for n in range(5)]) == [want] * 10
+    # The same words on different pages are still the host's own.
+    other = "<article><h1>T{n}</h1><p>a{n}</p><ul><li>x</li></ul></article>"
+    assert texts_of_pages(spark, [other.format(n=n) for n in range(4)]) == [f"T{n}\na{n}" for n in range(4)]
+
+
 def test_queries_equal_their_sql(spark):
     from tests.compare import connect, differences, oracle_result, spark_result
 
