@@ -1,19 +1,25 @@
-"""Main text of web pages by templates deduced from equivalence classes of tokens.
-
-A page is read as a sequence of tokens: its containers, named by tag, class and id and by the
-containers around them, with text in the slots between.  On the pages of one host, tokens
-whose occurrence vectors (how often on which page) are equal form a class; a vector is held
-as a sum of hashes of page and count, so that hosts of any size are summed up as they are
-shuffled.  Classes on at least half of the pages are valid where the tokens around theirs
-are; nested into each other they are the host's template.  Of its slots, those in menus,
-headers, adverts and the like, and those whose text never changes, hold no article; the
-others are extracted around the slot with the most text.
+"""Main text of web pages by templates deduced from containers that occur together.
+
+A page is read as a sequence of containers, named by tag, class and id and by the containers
+around them, with text in the slots between.  On the different pages of one host, containers
+that occur on the same pages form a class; the set of pages is held as a sum of hashes, so
+that hosts of any size are summed up as they are shuffled.  Classes on enough pages make the
+host's templates, one for each layout: a twentieth of the pages is enough.  Where one slot of
+a class changes from page to page, those of the class that never change are its template and
+no article, and so is what never changes on half of the host's pages.  Each page is read by
+the slots of the classes that are on it.
+
+Classes do not tell what is in a slot: a teaser that changes on every page looks like a part
+of the article.  Menus, headers, adverts and the like are known by their tags and by words of
+their class or id, and articles by their tags where they have them.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -41,7 +47,8 @@ APART_WORDS = frozenset(
 )
 MAIN_TAGS = ("article", "main")
 
-VALID_SHARE = 0.5
+VALID_SHARE = 0.05
+CONSTANT_SHARE = 0.5
 CONSTANT_PAGES = 3
 MOST_LABELS = 40
 
@@ -121,22 +128,27 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def tagged(path: str) -> bool:
-    """Whether a path goes through an article or main tag."""
-    return any(label.partition(".")[0] in MAIN_TAGS for label in path.split("/"))
+@lru_cache(1 << 14)
+def tagged(path: str) -> str:
+    """The path as far as its first article or main tag; empty where it has none."""
+    labels = path.split("/")
+    for k, label in enumerate(labels):
+        if label.partition(".")[0] in MAIN_TAGS:
+            return "/".join(labels[: k + 1])
+    return ""
 
 
-TOKENS = "host string, page long, path string, times long, chars long, link_chars long, words long"
+TOKENS = "host string, page long, path string, main string, chars long, link_chars long, words long"
 _ARROW = pa.schema(
-    [("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("times", pa.int64()),
+    [("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("main", pa.string()),
      ("chars", pa.int64()), ("link_chars", pa.int64()), ("words", pa.int64())]
 )
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row for each page and path: blocks, characters, and a hash of the text.
+    """One row for each page and path with text: characters, and a hash of the text.
 
-    page is a hash of what the page says, in its article or main tags if it has any and else
+    Containers marked as apart are left out.  page is a hash of what the page says, in its article or main tags if it has any and else
     outside containers marked as apart: pages with equal texts there are one page.
     """
 
@@ -147,21 +159,19 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             rows = []
             for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
                 found: dict[str, list] = {}
-                read = list(blocks(html or ""))
-                free = [(path, text) for path, text, _ in read if APART not in path]
+                free = [block for block in blocks(html or "") if APART not in block[0]]
                 said = xxhash.xxh64()
-                for path, text in [(p, t) for p, t in free if tagged(p)] or free:
+                for path, text, _ in [block for block in free if tagged(block[0])] or free:
                     said.update(f"{path}\n{text}\n".encode("utf-8", "surrogatepass"))
                 page = said.intdigest() - (1 << 63)
-                for path, text, linked in read:
-                    own = found.setdefault(path, [0, 0, 0, xxhash.xxh64()])
-                    own[0] += 1
-                    own[1] += len(text)
-                    own[2] += linked
-                    own[3].update(text.encode("utf-8", "surrogatepass") + b"\n")
-                for path, (n, chars, linked, digest) in found.items():
+                for path, text, linked in free:
+                    own = found.setdefault(path, [0, 0, xxhash.xxh64()])
+                    own[0] += len(text)
+                    own[1] += linked
+                    own[2].update(text.encode("utf-8", "surrogatepass") + b"\n")
+                for path, (chars, linked, digest) in found.items():
                     words = digest.intdigest() - (1 << 63)
-                    rows.append((host, page, path, n, chars, linked, words))
+                    rows.append((host, page, path, tagged(path), chars, linked, words))
             columns = zip(*rows) if rows else [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW
@@ -171,73 +181,85 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """host, main and constant: the template's main path, and its paths without news.
+    """host and slots: the slots of the host's templates, as the text of a JSON array.
 
     tokens: the rows of page_tokens.  Copies of a page are no evidence, so each host is
-    reduced to its different pages first.  A path is valid where its class is on enough pages
-    of the host.  The main path is that of the first container of an article or main tag, where
-    there is one, and else the slot itself, by most text outside of links.
+    reduced to its different pages first.  A slot is valid where its class is on the share
+    VALID_SHARE of these, and on CONSTANT_PAGES or half of them; so a host has no more valid
+    slots than twenty of its pages.  Of a slot are told: path; main, the first container of
+    an article or main tag; weight, the text outside of links in the slot or in all of main;
+    constant, whether its text is the template's.  Without such tags the slot with the
+    most text of the host is never constant.
     """
-    tokens = tokens.groupBy("host", "page", "path").agg(
-        *[F.max(c).alias(c) for c in ("times", "chars", "link_chars")],
+    tokens = tokens.groupBy("host", "page", "path", "main").agg(
+        F.max("chars").alias("chars"),
+        F.max("link_chars").alias("link_chars"),
         F.min("words").alias("low"),
         F.max("words").alias("high"),
     )
     sizes = tokens.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(
         F.sum("one").alias("pages")
     )
-    seen = tokens.groupBy("host", "path").agg(
-        F.sum(F.xxhash64("page", "times") % (1 << 40)).alias("vector"),
+    seen = tokens.groupBy("host", "path", "main").agg(
+        F.sum(F.xxhash64("page") % (1 << 40)).alias("vector"),
         F.count(F.lit(1)).alias("on_pages"),
-        F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"),
-        F.sum("link_chars").alias("link_chars"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
+        F.sum(F.col("chars") - F.col("link_chars")).alias("weight"),
+        (F.min("low") != F.max("high")).alias("varied"),
     )
-    same = Window.partitionBy("host", "vector", "on_pages", "times")
-    classed = (
-        seen.withColumn("class_size", F.count(F.lit(1)).over(same))
-        .join(sizes, "host")
-        .where(F.col("on_pages") >= VALID_SHARE * F.col("pages"))
+    on_pages, pages, no_main = F.col("on_pages"), F.col("pages"), F.col("main") == ""
+    valid = seen.join(sizes, "host").where(
+        (on_pages >= VALID_SHARE * pages)
+        & ((on_pages >= CONSTANT_PAGES) | (on_pages >= CONSTANT_SHARE * pages))
     )
-    free = ~F.contains("path", F.lit(APART))
-    anchor = F.regexp_extract("path", rf"^((?:.*?/)??(?:{'|'.join(MAIN_TAGS)})(?:\.[^/]*)?)(?:/|$)", 1)
-    main = F.when(anchor != "", anchor).otherwise(F.col("path"))
-    ranked = classed.withColumns({"main": main, "free": free, "named": anchor != ""})
-    best = (
-        ranked.where("free")
-        .groupBy("host", "main", "named")
-        .agg(F.sum(F.col("chars") - F.col("link_chars")).alias("weight"), F.max("class_size").alias("class_size"))
-        .groupBy("host")
-        .agg(F.max_by("main", F.struct("named", "weight", "class_size", "main")).alias("main"))
+    most = F.max(F.struct("weight", "path", "varied"))
+    ranked = valid.withColumns(
+        {
+            "first_of_class": most.over(Window.partitionBy("host", "vector", "on_pages")),
+            "first": most.over(Window.partitionBy("host")),
+            "in_main": F.sum("weight").over(Window.partitionBy("host", "main")),
+        }
     )
-    constant = (
-        classed.where((F.col("low") == F.col("high")) & (F.col("on_pages") >= CONSTANT_PAGES))
-        .groupBy("host")
-        .agg(F.collect_set("path").alias("constant"))
+    usual = (on_pages >= CONSTANT_SHARE * pages) & (~no_main | (F.col("path") != F.col("first.path")))
+    of_class = no_main & F.col("first_of_class.varied")
+    constant = ~F.col("varied") & (on_pages >= CONSTANT_PAGES) & (usual | of_class)
+    slot = F.struct(
+        "path",
+        "main",
+        F.when(no_main, F.col("weight")).otherwise(F.col("in_main")).alias("weight"),
+        constant.alias("constant"),
     )
-    return best.join(constant, "host", "left")
+    return ranked.groupBy("host").agg(F.to_json(F.collect_list(slot)).alias("slots"))
+
+
+@lru_cache(64)
+def _by_path(slots: str | None) -> dict[str, dict]:
+    return {slot["path"]: slot for slot in json.loads(slots or "[]")}
 
 
 def _inside(path: str, main: str) -> bool:
     return path == main or path.startswith(main + "/")
 
 
-def article(html: str, main: str | None, constant: frozenset[str]) -> str:
-    """The blocks of the article, joined by line breaks.
+def article(html: str, slots: dict[str, dict]) -> str:
+    """The blocks of the article, joined by line breaks; slots: those of the host, by path.
 
-    A page without the main path is read by its own article or main tag, or as a whole;
-    containers marked as apart are left out in any case.
+    Of the article or main tags of a page, or else of its slots, that with the most text on
+    the host is the main path.  A page without a valid one is read by its own article or main
+    tag, or as a whole; containers marked as apart are left out in any case.
     """
     found = [(path, text) for path, text, _ in blocks(html) if APART not in path]
-    if main is not None:
+    here = [slots[path] for path in {p for p, _ in found} if path in slots]
+    if not any(s["main"] for s in here) and any(tagged(p) for p, _ in found):
+        return "\n".join(t for p, t in found if tagged(p))
+    if here:
+        best = max(here, key=lambda s: (s["main"] != "", s["weight"], s["main"], s["path"]))
+        main = best["main"] or best["path"]
         own = [(p, t) for p, t in found if _inside(p, main)]
         # A constant slot is the article itself where nothing else is in it.
-        kept = [t for p, t in own if p == main or p not in constant]
+        kept = [t for p, t in own if p == main or p not in slots or not slots[p]["constant"]]
         if kept or own:
             return "\n".join(kept or [t for _, t in own])
-    return "\n".join([t for p, t in found if tagged(p)] or [t for _, t in found])
+    return "\n".join(t for _, t in found)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -257,10 +279,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                article(html or "", main, frozenset(constant or ()))
-                for html, main, constant in zip(
-                    *(batch.column(c).to_pylist() for c in ("html", "main", "constant"))
-                )
+                article(html or "", _by_path(slots))
+                for html, slots in zip(*(batch.column(c).to_pylist() for c in ("html", "slots")))
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -273,6 +293,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
             )
 
     joined = named.join(known, "host", "left").select(
-        F.col("page_id").cast("bigint"), "url", "html", "main", "constant"
+        F.col("page_id").cast("bigint"), "url", "html", "slots"
     )
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -249,6 +249,14 @@ def test_copies_of_a_page_keep_all_of_its_article(spark):
     assert texts_of_pages(spark, [other.format(n=n) for n in range(4)]) == [f"T{n}\na{n}" for n in range(4)]
 
 
+def test_layouts_of_few_pages_have_templates(spark):
+    """Slots on the same pages are a layout, whose words that never change are no article."""
+    usual = "<div class=body><p>text {n}</p></div>"
+    rare = "<div class=strip><p>Same words</p></div><div class=story><p>long story {n}</p></div>"
+    got = texts_of_pages(spark, [usual.format(n=n) for n in range(12)] + [rare.format(n=n) for n in range(4)])
+    assert got == [f"text {n}" for n in range(12)] + [f"long story {n}" for n in range(4)]
+
+
 def test_queries_equal_their_sql(spark):
     from tests.compare import connect, differences, oracle_result, spark_result
 
