@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -188,7 +189,8 @@ def templates(tokens: DataFrame) -> DataFrame:
     VALID_SHARE of these, and on CONSTANT_PAGES or half of them; so a host has no more valid
     slots than twenty of its pages.  Of a slot are told: path; main, the first container of
     an article or main tag; weight, the text outside of links in the slot or in all of main;
-    constant, whether its text is the template's.  Without such tags the slot with the
+    constant, whether its text is the template's; links, whether most of it is inside links.
+    Without such tags the slot with the
     most text of the host is never constant.
     """
     tokens = tokens.groupBy("host", "page", "path", "main").agg(
@@ -204,6 +206,7 @@ def templates(tokens: DataFrame) -> DataFrame:
         F.sum(F.xxhash64("page") % (1 << 40)).alias("vector"),
         F.count(F.lit(1)).alias("on_pages"),
         F.sum(F.col("chars") - F.col("link_chars")).alias("weight"),
+        (2 * F.sum("link_chars") > F.sum("chars")).alias("links"),
         (F.min("low") != F.max("high")).alias("varied"),
     )
     on_pages, pages, no_main = F.col("on_pages"), F.col("pages"), F.col("main") == ""
@@ -227,6 +230,7 @@ def templates(tokens: DataFrame) -> DataFrame:
         "main",
         F.when(no_main, F.col("weight")).otherwise(F.col("in_main")).alias("weight"),
         constant.alias("constant"),
+        "links",
     )
     return ranked.groupBy("host").agg(F.to_json(F.collect_list(slot)).alias("slots"))
 
@@ -237,29 +241,36 @@ def _by_path(slots: str | None) -> dict[str, dict]:
 
 
 def _inside(path: str, main: str) -> bool:
-    return path == main or path.startswith(main + "/")
+    return main == "" or path == main or path.startswith(main + "/")
+
+
+def _around(paths: set[str]) -> str:
+    """The nearest container of all the paths."""
+    return "/".join(commonprefix([path.split("/") for path in paths]))
 
 
 def article(html: str, slots: dict[str, dict]) -> str:
     """The blocks of the article, joined by line breaks; slots: those of the host, by path.
 
-    Of the article or main tags of a page, or else of its slots, that with the most text on
-    the host is the main path.  A page without a valid one is read by its own article or main
-    tag, or as a whole; containers marked as apart are left out in any case.
+    Of the article or main tags of a page, that with the most text on the host is the main
+    path.  A page without a valid one is read by its own article or main tag.  Without these
+    tags, the main path is the nearest container of all slots that are not constant and not
+    links for the most part.  Constant slots and containers marked as apart are left out.
     """
     found = [(path, text) for path, text, _ in blocks(html) if APART not in path]
-    here = [slots[path] for path in {p for p, _ in found} if path in slots]
-    if not any(s["main"] for s in here) and any(tagged(p) for p, _ in found):
+    paths = {path for path, _ in found}
+    mains = [(slots[p]["weight"], slots[p]["main"]) for p in paths if p in slots and slots[p]["main"]]
+    if not mains and any(map(tagged, paths)):
         return "\n".join(t for p, t in found if tagged(p))
-    if here:
-        best = max(here, key=lambda s: (s["main"] != "", s["weight"], s["main"], s["path"]))
-        main = best["main"] or best["path"]
-        own = [(p, t) for p, t in found if _inside(p, main)]
-        # A constant slot is the article itself where nothing else is in it.
-        kept = [t for p, t in own if p == main or p not in slots or not slots[p]["constant"]]
-        if kept or own:
-            return "\n".join(kept or [t for _, t in own])
-    return "\n".join(t for _, t in found)
+    varied = {p for p in paths if p not in slots or not slots[p]["constant"]}
+    if mains:
+        main = max(mains)[1]
+        varied.add(main)
+    else:
+        main = _around({p for p in varied if p not in slots or not slots[p]["links"]} or varied or {""})
+    own = [(p, t) for p, t in found if _inside(p, main)]
+    # A constant slot is the article itself where nothing else is in it.
+    return "\n".join([t for p, t in own if p in varied] or [t for _, t in own])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

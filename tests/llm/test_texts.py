@@ -257,6 +257,20 @@ def test_layouts_of_few_pages_have_templates(spark):
     assert got == [f"text {n}" for n in range(12)] + [f"long story {n}" for n in range(4)]
 
 
+def test_pages_without_article_tags_keep_every_slot(spark):
+    html = (
+        "<body><div class=top><a href=/>to page {n}</a></div><div class=content><h1>Title {n}</h1>"
+        "<div class=text><p>text {n}, the longest of the slots</p></div><div class=strip>Same words</div>"
+        "<div class=more><p>more {n}</p></div>{once}</div><div class=sidebar>side {n}</div></body>"
+    )
+    pages = [html.format(n=n, once="<div class=note>once</div>" * (n == 2)) for n in range(6)]
+    want = [f"Title {n}\ntext {n}, the longest of the slots\nmore {n}" + "\nonce" * (n == 2) for n in range(6)]
+    assert texts_of_pages(spark, pages) == want
+    apart = "<div class=b-a>one {n}</div><div class=b>two {n}</div><div class=b>three {n}<div class=c>four {n}</div></div>"
+    want = [f"one {n}\ntwo {n}\nthree {n}\nfour {n}" for n in range(6)]
+    assert texts_of_pages(spark, [apart.format(n=n) for n in range(6)]) == want
+
+
 def test_queries_equal_their_sql(spark):
     from tests.compare import connect, differences, oracle_result, spark_result
 
