@@ -16,6 +16,7 @@ their class or id, and articles by their tags where they have them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -61,6 +62,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 APART = "!"  # marks the label of a container that is not part of the article
+TAIL = "~"  # begins the hash of the labels that a path has no room for
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -74,13 +76,40 @@ def _label(tag: str, attributes: str) -> str:
     return shown + APART * apart
 
 
+@lru_cache(1 << 14)
+def tagged(path: str) -> str:
+    """The path as far as its first article or main tag; empty where it has none."""
+    labels = path.split("/")
+    for k, label in enumerate(labels):
+        if label.partition(".")[0] in MAIN_TAGS:
+            return "/".join(labels[: k + 1])
+    return ""
+
+
+def _deeper(path: str, depth: int, label: str) -> str:
+    """The path one container further in.
+
+    Below MOST_LABELS containers it ends in a hash of the others, which is marked where one of
+    them is apart; the first article or main tag among them stays readable before it.
+    """
+    if depth < MOST_LABELS:
+        return f"{path}/{label}" if path else label
+    head, _, tail = path.rpartition("/")
+    if not tail.startswith(TAIL):
+        head, tail = path, ""
+    apart = APART in tail or APART in label
+    if not apart and label.partition(".")[0] in MAIN_TAGS and not tagged(path):
+        head = f"{head}/{label}"
+    return f"{head}/{TAIL}{hashlib.md5(f'{tail}/{label}'.encode()).hexdigest()[:16]}{APART * apart}"
+
+
 def blocks(html: str) -> Iterator[tuple[str, str, int]]:
     """(path of containers, text, characters of it inside links) of every block, in order.
 
     Comments, markup and the content of scripts and the like are dropped; references are
     decoded; white space is one space and trimmed.
     """
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # tags, and paths as far as them
     path, held, linked, in_link = "", [], 0, False
     at = 0
 
@@ -110,14 +139,14 @@ def blocks(html: str) -> Iterator[tuple[str, str, int]]:
             continue
         if not closing:
             if not attributes.endswith("/"):
-                stack.append((tag, _label(tag, attributes)))
+                stack.append((tag, _deeper(path, len(stack), _label(tag, attributes))))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     in_link = False
                     break
-        path = "/".join(label for _, label in stack[:MOST_LABELS])
+        path = stack[-1][1] if stack else ""
     if at < len(html):
         held.append(unescape(html[at:]))
     if (found := block()) is not None:
@@ -129,16 +158,6 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-@lru_cache(1 << 14)
-def tagged(path: str) -> str:
-    """The path as far as its first article or main tag; empty where it has none."""
-    labels = path.split("/")
-    for k, label in enumerate(labels):
-        if label.partition(".")[0] in MAIN_TAGS:
-            return "/".join(labels[: k + 1])
-    return ""
-
-
 TOKENS = "host string, page long, path string, main string, chars long, link_chars long, words long"
 _ARROW = pa.schema(
     [("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("main", pa.string()),

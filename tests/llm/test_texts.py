@@ -271,6 +271,17 @@ def test_pages_without_article_tags_keep_every_slot(spark):
     assert texts_of_pages(spark, [apart.format(n=n) for n in range(6)]) == want
 
 
+@pytest.mark.parametrize("depth", [0, 39, 40, 41, 45, 3000])
+def test_containers_at_any_depth_are_known(depth):
+    deep = "<div>" * depth
+    html = f"{deep}<nav>menu</nav><article><p>a</p><div><aside><div>b</div></aside></div><ul><li>c</ul></article><p>d</p>"
+    found = [(path, text) for path, text, _ in htmltext.blocks(html + "</div>" * depth + "<p>e</p>")]
+    assert [text for path, text in found if htmltext.APART not in path] == ["a", "c", "d", "e"]
+    assert [text for path, text in found if htmltext.tagged(path)] == ["a", "b", "c"]
+    assert len({path for path, _ in found}) == 6 - (depth == 0) and max(len(path) for path, _ in found) < 400
+    assert htmltext.article(html, {}) == "a\nc"
+
+
 def test_queries_equal_their_sql(spark):
     from tests.compare import connect, differences, oracle_result, spark_result
 
