@@ -3,16 +3,19 @@
 A record ends in two line breaks, so the text sink with that separator writes an archive:
 its commit protocol keeps whole files only, also when executors are lost.  The reader takes
 one file at a time as a stream.  Where a record fails its checks it searches for the next
-version line (or, in compressed files, the next member) that begins a valid record, goes on
-from there, and reports the bytes in between as a gap.
+version line or gzip member that begins a valid record, whatever the file began with, goes
+on from there, and reports the bytes in between as a gap.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from tempfile import SpooledTemporaryFile
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -28,6 +31,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # The largest header block that is believed; more is damage.
 MAX_HEADER = 1 << 20
+# Inflated members up to this size stay in memory; larger ones go to a temporary file.
+HELD_MEMBER = 1 << 26
 
 RECORDS = (
     "kind string, file string, start long, end long, reason string, record_type string, "
@@ -124,17 +129,14 @@ class _Plain:
             self.at = start
         return self.held[start - self.at : end - self.at]
 
-    def find(self, mark: bytes, start: int) -> int:
+    def find(self, mark: re.Pattern, start: int) -> int:
         while start < self.size:
             part = self.bytes(start, start + (1 << 20))
-            k = part.find(mark)
-            if k >= 0:
-                return start + k
-            if len(part) < len(mark):
-                break
-            start += len(part) - len(mark) + 1
+            if found := mark.search(part):
+                return start + found.start()
             if len(part) < 1 << 20:
                 break
+            start += len(part) - LONGEST_MARK + 1
         return -1
 
 
@@ -146,6 +148,10 @@ class Damaged(Exception):
         self.reason, self.end = reason, end
 
 
+MEMBER = b"\x1f\x8b\x08"
+LONGEST_MARK = len(b"WARC/1.")
+_RECORD_MARK = re.compile(rb"WARC/1\.")
+_ANY_MARK = re.compile(rb"WARC/1\.|\x1f\x8b\x08")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -180,20 +186,49 @@ def _parsed(view: _Plain, start: int) -> tuple[dict[str, str], bytes, int]:
     return headers, view.bytes(begin, end), end + 4
 
 
-def _checked(headers: dict[str, str], block: bytes) -> tuple[dict, bytes | None]:
-    """Payload figures of a record; raises Damaged where they do not fit."""
+def _told(digest: str) -> tuple[str, bytes] | None:
+    """Algorithm and value of a digest line; None where one is not known.
+
+    Values are in hex, base32 or base64, as their length tells.
+    """
+    name, _, value = digest.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    size, value = hashlib.new(name).digest_size, value.strip()
+    bare = value.rstrip("=")
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        if len(bare) == -(-size * 8 // 5):
+            return name, base64.b32decode(bare.upper() + "=" * (-len(bare) % 8))
+        if len(bare) == -(-size * 8 // 6):
+            return name, base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
+    except (ValueError, binascii.Error):
+        pass
+    return None
+
+
+def _checked(headers: dict[str, str], block: bytes) -> tuple[dict, bytes, bool]:
+    """Payload figures, payload, and whether a digest confirms it; raises Damaged where they
+    do not fit.  The payload of other records than responses is their whole block."""
     kind = headers.get("warc-type")
-    payload = None
+    line = headers.get("warc-payload-digest")
+    told = _told(line or "")
+    payload, whole = block, kind in ("resource", "conversion", "warcinfo", "metadata")
+    if kind == "response":
+        whole = True
+        if block.startswith(b"HTTP/") or headers.get("content-type", "").lower().startswith("application/http"):
+            payload = block.partition(b"\r\n\r\n")[2]
+    if whole and told and hashlib.new(told[0], payload).digest() != told[1]:
+        raise Damaged("payload differs from its digest")
     if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-        told = headers.get("warc-payload-digest")
-        if told is not None and told != f"sha1:{digest}":
-            raise Damaged("payload differs from its digest")
     else:
-        told, size = headers.get("warc-payload-digest", ""), headers.get("warc-payload-length", "")
-        digest, size = told.removeprefix("sha1:") or None, int(size) if size.isdigit() else None
-    return {"record_type": kind, "payload_bytes": size, "payload_digest": digest}, payload
+        size = headers.get("warc-payload-length", "")
+        size = int(size) if size.isascii() and size.isdigit() else len(payload) if whole else None
+        digest = told[1].hex() if told and told[0] == "sha1" else (line or "").removeprefix("sha1:") or None
+    return {"record_type": kind, "payload_bytes": size, "payload_digest": digest}, payload, bool(whole and told)
 
 
 def _gap(start: int, end: int, reason: str) -> dict:
@@ -201,7 +236,7 @@ def _gap(start: int, end: int, reason: str) -> dict:
 
 
 def _record(start: int, end: int, headers: dict[str, str], block: bytes) -> dict:
-    figures, payload = _checked(headers, block)
+    figures, payload, sure = _checked(headers, block)
     uri = headers.get("warc-target-uri")
     return figures | {
         "kind": "record",
@@ -210,74 +245,86 @@ def _record(start: int, end: int, headers: dict[str, str], block: bytes) -> dict
         "headers": headers,
         "target_uri": uri and unquote(uri.replace("+", " ")),
         "payload": payload,
+        "sure": sure,
     }
 
 
-def read_plain(view: _Plain) -> Iterator[dict]:
-    """Records and gaps of an uncompressed archive, in order."""
+def _inflated(view: _Plain, at: int, out) -> tuple[int, str]:
+    """Writes what inflates of the member at a place; its end, and why it is not whole."""
+    inflate, end = zlib.decompressobj(31), at
+    while not inflate.eof:
+        part = view.bytes(end, end + (1 << 16))
+        if not part:
+            return end, "member goes beyond the file"
+        before = inflate.copy()
+        try:
+            out.write(inflate.decompress(part))
+        except zlib.error:
+            # The call gives nothing of this part; byte by byte it is what comes before the damage.
+            try:
+                for k in range(len(part)):
+                    out.write(before.decompress(part[k : k + 1]))
+            except zlib.error:
+                pass
+            return end, "member does not inflate"
+        end += len(part) - len(inflate.unused_data)
+    return end, ""
+
+
+def _member(view: _Plain, at: int) -> Iterator[dict]:
+    """Records and gaps of the member at a place, with the places of the member."""
+    with SpooledTemporaryFile(HELD_MEMBER) as out:
+        end, broken = _inflated(view, at, out)
+        size, found = out.tell(), False
+        for row in read_records(_Plain(out, size), members=False):
+            if row["kind"] == "gap" and (row["start"], row["end"]) == (0, size) and not broken:
+                raise Damaged(row["reason"], end)
+            # Without the checksum of the whole member, only what has one of its own is believed.
+            if not broken or row.get("sure"):
+                found = True
+                yield row | {"start": at, "end": end}
+        if broken:
+            raise Damaged(broken)
+        if not found:
+            raise Damaged("member holds no record", end)
+
+
+def _one(view: _Plain, at: int) -> Iterator[dict]:
+    headers, block, end = _parsed(view, at)
+    try:
+        yield _record(at, end, headers, block)
+    except Damaged as e:  # its frame is whole: what is inside is not searched
+        raise Damaged(e.reason, end) from None
+
+
+def read_records(view: _Plain, members: bool = True) -> Iterator[dict]:
+    """Records and gaps of an archive, in order; with members, also of gzip members.
+
+    A member may hold any number of records; they, and gaps between them, have its places.
+    Of a member that does not inflate to its end, records that their own digests confirm are
+    found, and its bytes are a gap besides.
+    """
+    mark = _ANY_MARK if members else _RECORD_MARK
     at, gap, reason = 0, None, ""
     while at < view.size:
+        here = _member if members and view.bytes(at, at + 3) == MEMBER else _one
         try:
-            headers, block, end = _parsed(view, at)
-            try:
-                found = _record(at, end, headers, block)
-            except Damaged as e:  # its frame is whole: what is inside is not searched
-                raise Damaged(e.reason, end) from None
+            for row in here(view, at):
+                if gap is not None:
+                    yield _gap(gap, at, reason)
+                    gap = None
+                yield row
+                end = row["end"]
         except Damaged as e:
             if gap is None:
                 gap, reason = at, e.reason
-            at = e.end or view.find(b"WARC/1.", at + 1)
+            at = e.end or view.find(mark, at + 1)
             if at < 0:
                 break
             if e.end:
                 yield _gap(gap, at, reason)
                 gap = None
             continue
-        if gap is not None:
-            yield _gap(gap, at, reason)
-            gap = None
-        yield found
-        at = end
-    if gap is not None:
-        yield _gap(gap, view.size, reason)
-
-
-def read_members(view: _Plain) -> Iterator[dict]:
-    """Records and gaps of an archive with one gzip member for each record, in order."""
-    import io
-
-    at, gap, reason = 0, None, ""
-    while at < view.size:
-        try:
-            inflate, out, end = zlib.decompressobj(31), [], at
-            while not inflate.eof:
-                part = view.bytes(end, end + (1 << 16))
-                if not part:
-                    raise Damaged("member goes beyond the file")
-                out.append(inflate.decompress(part))
-                end += len(part) - len(inflate.unused_data)
-            inner = b"".join(out)
-            try:
-                headers, block, stop = _parsed(_Plain(io.BytesIO(inner), len(inner)), 0)
-                if stop != len(inner):
-                    raise Damaged("member holds more than a record")
-                found = _record(at, end, headers, block)
-            except Damaged as e:
-                raise Damaged(e.reason, end) from None
-        except (Damaged, zlib.error) as e:
-            if gap is None:
-                gap, reason = at, getattr(e, "reason", "member does not inflate")
-            at = getattr(e, "end", None) or view.find(b"\x1f\x8b\x08", at + 1)
-            if at < 0:
-                break
-            if getattr(e, "end", None):
-                yield _gap(gap, at, reason)
-                gap = None
-            continue
-        if gap is not None:
-            yield _gap(gap, at, reason)
-            gap = None
-        yield found
         at = end
     if gap is not None:
         yield _gap(gap, view.size, reason)
@@ -287,10 +334,12 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """Every record (kind `record`) and every unreadable stretch (kind `gap`) of the files.
 
     file, start and end say where; gaps have a reason; records have their type, address,
-    headers, payload figures and, with payloads, the payload.  Files that begin with a gzip
-    member are read as compressed.  Spark lists the files and deals them to tasks by size; a
-    task holds one record at a time besides a window of the file.  An empty folder or file
-    has no rows.
+    headers, payload figures and, with payloads, the payload, which is the whole block of all
+    but responses.  Records and gzip members may follow each other in any order.  Digests are
+    compared by algorithm and encoding; those of unknown ones are not checked.  Spark lists
+    the files and deals them to tasks by size; a task holds one record at a time besides a
+    window of the file, and of a large member a temporary file.  An empty folder or file has
+    no rows.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
 
@@ -300,10 +349,10 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 system, inner = fs.FileSystem.from_uri(name)
                 with system.open_input_file(inner) as stream:
                     view = _Plain(stream, size)
-                    kind = read_members if view.bytes(0, 2) == b"\x1f\x8b" else read_plain
                     held, rows = 0, []
-                    for row in kind(view):
+                    for row in read_records(view):
                         held += len(row.get("payload") or b"") + 1000
+                        row.pop("sure", None)
                         if not payloads:
                             row.pop("payload", None)
                         rows.append(row | {"file": name})

@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -84,3 +86,60 @@ def test_files_without_records(spark, tmp_path):
     (tmp_path / "empty").write_bytes(b"")
     (tmp_path / "junk").write_bytes(b"not an archive WARC/1.1 at all")
     assert read(spark, tmp_path) == ([], [(0, 30)])
+
+
+def test_digests_of_any_algorithm_and_encoding(spark, tmp_path):
+    page, sha1 = b"page " * 300, hashlib.sha1(b"page " * 300)
+    forms = [
+        "sha1:" + base64.b32encode(sha1.digest()).decode(),
+        "SHA1:" + sha1.hexdigest().upper(),
+        "sha-256:" + hashlib.sha256(page).hexdigest(),
+        "sha256:" + base64.b32encode(hashlib.sha256(page).digest()).decode().rstrip("="),
+        "md5:" + base64.b64encode(hashlib.md5(page).digest()).decode(),
+        "blake9:whatever",
+    ]
+    good = [record(page, i, **{"WARC-Payload-Digest": form}) for i, form in enumerate(forms)]
+    bad = [g.replace(b"page page", b"page pagE", 1) for g in good]
+    (tmp_path / "x.warc").write_bytes(b"".join(good + bad))
+    records, gaps = read(spark, tmp_path)
+    assert [int(p) for p, _ in records] == [0, 1, 2, 3, 4, 5, 5] and len(gaps) == 5
+
+
+def test_archives_whose_first_bytes_are_damaged(spark, tmp_path):
+    members = [gzip.compress(record(b"page %d " % i * 500, i)) for i in range(4)]
+    (tmp_path / "x.warc.gz").write_bytes(b"\0\0" + b"".join(members)[2:] + record(b"plain " * 9, 4))
+    records, gaps = read(spark, tmp_path)
+    assert [int(p) for p, _ in records] == [1, 2, 3, 4] and gaps == [(0, len(members[0]))]
+
+
+def test_members_of_many_records(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [rng.randbytes(3000) for _ in range(60)]
+    whole = [record(page, i) for i, page in enumerate(pages)]
+    bad = list(whole)
+    bad[7] = whole[7][:-900]
+    member = gzip.compress(b"".join(bad))
+    (tmp_path / "x.warc.gz").write_bytes(member + gzip.compress(whole[0]))
+    records, gaps = read(spark, tmp_path)
+    assert sorted(int(p) for p, _ in records) == sorted([0, *(i for i in range(60) if i != 7)])
+    assert gaps == [(0, len(member))]
+    # Damage half way leaves what comes before it, and the members after it.
+    half = len(member) // 2
+    (tmp_path / "x.warc.gz").write_bytes(member[:half] + b"\xff" * 4000 + gzip.compress(whole[59]))
+    records, gaps = read(spark, tmp_path)
+    got = [int(p) for p, _ in records]
+    assert set(range(25)) - {7} <= set(got) and 59 in got and gaps == [(0, half + 4000)]
+    assert all(payload == pages[int(p)] for p, payload in records)
+
+
+def test_blocks_of_other_records(spark, tmp_path):
+    other = [record(b"body", 1, kind="revisit"), record(b"body", 2, kind="request")]
+    block = b"software: x\r\n"
+    dns = {"Content-Type": "text/dns", "WARC-Payload-Digest": "sha1:" + hashlib.sha1(block).hexdigest()}
+    for kind in ("warcinfo", "response"):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nPage-Id: 3\r\nContent-Length: {len(block)}\r\n"
+        head += "".join(f"{k}: {v}\r\n" for k, v in dns.items())
+        other.append(head.encode() + b"\r\n" + block + b"\r\n\r\n")
+    (tmp_path / "x.warc").write_bytes(b"".join(other))
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    assert read(spark, tmp_path) == ([("1", http), ("2", http), ("3", block), ("3", block)], [])
