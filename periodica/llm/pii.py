@@ -4,7 +4,8 @@ What the fixed patterns find are seeds.  The two words before a seed are a lexic
 Looser candidates (number runs, addresses with an at sign) that follow the same words form,
 with the seeds, a graph of patterns and instances.  It is scored in turns: a pattern by the
 share of its instances that are known to be of a kind, an instance by its best pattern.
-Instances of patterns of high confidence are accepted and join the seeds for the next turn.
+Instances of patterns of high confidence are accepted and join the seeds for the next turn,
+until a turn accepts none.
 Everything is built from Spark's own expressions.
 """
 
@@ -29,12 +30,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # Looser forms: at least seven digits with single signs between, or text around an at sign.
-CANDIDATE = r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|[^\s@]{1,64}@[^\s@]{1,255}"
+CANDIDATE = r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+|(?:\G|(?<![^\s@]))[^\s@]++@[^\s@]++"
+# The last two words; a match begins where a word does, so that long words are read once.
+CONTEXT = r"(?<!\S)(\S++\s++\S++)\s*+$"
 
-CONTEXT_CHARS = 64
 LEAST_SEEDS = 3
 CONFIDENCE = 0.8
-TURNS = 3
 
 
 def _digits(value: Column) -> Column:
@@ -77,7 +78,7 @@ def _placed(hits: Column, parts: Column, kind: int) -> Column:
         hit, part = F.get(hits, i), F.get(parts, i)
         start = state["at"] + F.length(part)
         end = start + F.length(hit)
-        left = F.regexp_extract(F.lower(F.right(part, F.lit(CONTEXT_CHARS))), r"(\S+\s+\S+)\s*$", 1)
+        left = F.lower(F.regexp_extract(part, CONTEXT, 1))
         span = F.struct(
             start.alias("start"),
             F.lit(kind).alias("kind"),
@@ -149,22 +150,24 @@ def _edges(rows: DataFrame, column: str) -> DataFrame:
 
 
 def accepted_instances(
-    rows: DataFrame, turns: int = TURNS, least: int = LEAST_SEEDS, confidence: float = CONFIDENCE
+    rows: DataFrame, least: int = LEAST_SEEDS, confidence: float = CONFIDENCE
 ) -> DataFrame:
     """(instance, kind) of the candidates that patterns of high confidence discover.
 
     rows: with base and candidates.  A pattern needs `least` different known instances of a
     kind, and these must be at least the share `confidence` of all its instances; a candidate
-    takes the kind of its most confident pattern, the earlier kind on a tie.
+    takes the kind of its most confident pattern, the earlier kind on a tie, in the first
+    turn that accepts it, and keeps it.  So every turn but the last adds an instance.
     """
     seeds = _edges(rows, "base").where("pattern <> ''").distinct()
     others = _edges(rows, "candidates").where("pattern <> ''").select("pattern", "instance").distinct()
     seeds, others = staged(seeds, "seeds"), staged(others, "candidates")
     graph = staged(seeds.select("pattern", "instance").union(others).distinct(), "graph")
     totals = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_all"))
-    known = seeds.select("instance", "kind").distinct()
-    found = None
-    for turn in range(turns):
+    found = seeds.select("instance", "kind").limit(0)
+    turn = 0
+    while True:
+        known = seeds.select("instance", "kind").union(found).distinct()
         strong = (
             graph.join(known, "instance")
             .groupBy("pattern", "kind")
@@ -175,10 +178,12 @@ def accepted_instances(
             .where(F.col("confidence") >= confidence)
         )
         best = F.max_by("kind", F.struct("confidence", -F.col("kind")))
-        found = others.join(strong, "pattern").groupBy("instance").agg(best.alias("kind"))
-        found = staged(found, f"accepted-{turn}")
-        known = seeds.select("instance", "kind").union(found).distinct()
-    return found
+        fresh = others.join(found, "instance", "left_anti").join(strong, "pattern")
+        fresh = staged(fresh.groupBy("instance").agg(best.alias("kind")), f"accepted-{turn}")
+        if fresh.isEmpty():
+            return found
+        found = staged(found.union(fresh), f"found-{turn}") if turn else fresh
+        turn += 1
 
 
 def with_spans(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:

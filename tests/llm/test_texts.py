@@ -163,6 +163,28 @@ def test_contexts_discover_other_forms(docs_of):
     assert pii.with_spans(docs.limit(0)).count() == 0
 
 
+def test_contexts_chain_until_nothing_is_new(docs_of):
+    """Pattern k is trusted only with what the patterns before it discover."""
+    rows, levels = [], 6
+    for k in range(levels):
+        shown = [f"+1 (555) 020-{1000 + i}" for i in range(12)]
+        shown += [f"555-010-{1000 + i}" for i in range(3 * k + 3)]
+        rows += [(len(rows) + i, f"word{k} is: {value} now") for i, value in enumerate(shown)]
+    found = pii.with_spans(docs_of(rows)).collect()
+    assert all([s["kind"] for s in r["spans"]] == [3] for r in found) and len(found) == len(rows)
+
+
+def test_long_words_and_addresses_are_whole(docs_of):
+    long, name = "w" * 90, "n" * 80 + "é"
+    rows = [(i, f"a{i} {long} {'v' * 70}: +1 (555) 010-{1000 + i}") for i in range(12)]
+    rows += [(100, f"b {long} {'v' * 70}: 555-020-4242"), (101, f"b x{long} {'v' * 70}: 555-020-4343")]
+    rows += [(200 + i, f"mail to: a{i}@b.example") for i in range(12)]
+    rows += [(300, f"mail to: {name}@{'h' * 300} now"), (301, "x" * 300_000 + " 1234567" + "y" * 300_000)]
+    got = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in pii.with_spans(docs_of(rows)).collect()}
+    assert got[100] == ["555-020-4242"] and got[101] == [] and got[301] == []
+    assert got[300] == [f"{name}@{'h' * 300}"]
+
+
 def test_shards_are_of_equal_size_and_gapless(spark, docs_of, tmp_path):
     rng = random.Random(9)
     rows = [(i if i % 3 else None, "x" * int(rng.expovariate(1 / 300))) for i in range(3000)]
