@@ -8,13 +8,17 @@ that is decided is decided on the slots, whose number does not grow with the rec
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from periodica.llm.common import staged, text_or_empty
+from periodica.session import work_dir
 
 SLOTS = 8192
 SHARDS = 40
 ROW_BYTES = 16
+# Equal rows are numbered in blocks of so many, each in any task.
+BLOCK = 1000
 
 
 def with_slot(records: DataFrame, *keys: str, slots: int = SLOTS) -> DataFrame:
@@ -25,6 +29,23 @@ def with_slot(records: DataFrame, *keys: str, slots: int = SLOTS) -> DataFrame:
     return records.withColumn("virtual_slot", F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """Adds `copy`, from 0 on among rows that are equal in all columns.
+
+    Equal rows are counted and made again, so however many there are no task holds them all.
+    """
+    groups = records.groupBy(*records.columns).agg((F.count(F.lit(1)) - 1).alias("_last"))
+    groups = staged(groups, "groups")
+    blocks = groups.where(F.col("_last") >= BLOCK).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / BLOCK)))
+    )
+    blocks = blocks.repartition("_block", "_last")
+    few = groups.where(F.col("_last") < BLOCK).withColumn("_block", F.lit(0).cast("bigint"))
+    first = F.col("_block") * BLOCK
+    copies = F.sequence(first, F.least(first + BLOCK - 1, F.col("_last")))
+    return few.unionByName(blocks).withColumn("copy", F.explode(copies)).drop("_last", "_block")
+
+
 def slot_totals(records: DataFrame, size: str) -> DataFrame:
     """Rows and bytes of each slot that has rows."""
     return records.groupBy("virtual_slot").agg(
@@ -139,8 +160,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
 
     The law is `bytes`: the shards' sizes are near equal.  Sizes are the UTF-8 bytes of the
     text (null: none) plus 16.  Rows with null or repeated ids are rows like any other;
-    other columns are dropped; an empty table gives an empty one.  With map_path both
-    versions of the map are stored there.
+    other columns are dropped; an empty table gives an empty one.  The versions of the map
+    are stored at map_path, by default below spark.checkpoint.dir, and the new one is read
+    from there; where versions are stored already, the last of them is rebalanced.
     """
     spark = docs.sparkSession
     text = text_or_empty()
@@ -149,11 +171,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
         (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
     )
-    records = staged(with_slot(records, "doc_id", "size", "text_crc32", slots=slots), "records")
+    keys = ("doc_id", "size", "text_crc32")
+    plain = with_slot(numbered(records), *keys, slots=slots)
+    spread = with_slot(plain.withColumnRenamed("virtual_slot", "_first"), *keys, "copy", slots=slots)
+    slot = F.when(F.col("copy") == 0, F.col("_first")).otherwise(F.col("virtual_slot"))
+    records = staged(spread.withColumn("virtual_slot", slot).drop("_first", "copy"), "records")
     totals = staged(slot_totals(records, "size"), "totals")
-    before = first_map(spark, shards, slots)
-    after = staged(rebalanced(before, totals, shards), "slot-map")
-    if map_path:
-        store_map(before, map_path)
-        store_map(after, map_path)
-    return assign(records, after, totals)
+    path = map_path or work_dir(spark, "slot-map")
+    try:
+        before = staged(read_map(spark, path), "slot-map-before")
+    except AnalysisException:  # nothing is stored yet
+        before = first_map(spark, shards, slots)
+        store_map(before, path)
+    store_map(staged(rebalanced(before, totals, shards), "slot-map-after"), path)
+    return assign(records, read_map(spark, path), totals)

@@ -207,6 +207,19 @@ def test_shards_are_of_equal_size_and_gapless(spark, docs_of, tmp_path):
     assert sharding.shard_documents(docs_of(rows).limit(0)).count() == 0
 
 
+def test_equal_rows_are_spread_and_the_map_is_kept(spark, docs_of, tmp_path):
+    docs = docs_of([(None, "the same") for _ in range(2500)] + [(i, "x" * 8) for i in range(2500)])
+    path = str(tmp_path / "map")
+    for version in (1, 2):
+        out = sharding.shard_documents(docs, map_path=path).collect()
+        loads, places = Counter(r["shard"] for r in out), Counter((r["shard"], r["slot"]) for r in out)
+        assert len(out) == 5000 and max(places.values()) == 1
+        assert max(loads.values()) - min(loads.values()) <= 2
+        assert max(Counter(r["virtual_slot"] for r in out).values()) <= 10
+        kept = {r["virtual_slot"]: r["shard"] for r in sharding.read_map(spark, path, version).collect()}
+        assert len(kept) == sharding.SLOTS and all(kept[r["virtual_slot"]] == r["shard"] for r in out)
+
+
 def test_a_rebalance_moves_few_slots(spark):
     totals = spark.range(400).selectExpr("cast(id as int) as virtual_slot", "1L as n_rows", "100 + id % 7 as n_bytes")
     first = sharding.rebalanced(sharding.first_map(spark, 10, 400), totals, 10).cache()
