@@ -9,22 +9,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from periodica.llm import (
     bpe,
+    dialogue,
     embeddings,
     htmltext,
     ngrams,
     packing,
+    periods,
     pii,
     quality,
+    records,
     sharding,
     substrings,
     warc,
 )
 from periodica.llm.common import table
+from periodica.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_subspace(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +89,21 @@ def op10_salvage(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_round_trip(table(spark, folder, "pages")).drop("url")
 
 
+def op11_basic_factors(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.run_digests(periods.with_planted_runs(table(spark, folder, "documents")))
+
+
+def op12_binary_records(spark: SparkSession, folder: str) -> DataFrame:
+    files = work_dir(spark, "records")
+    records.write_tokens(table(spark, folder, "documents"), files, WORD_VOCABULARY)
+    return records.record_digests(spark, files)
+
+
+def op13_edit_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return dialogue.audit_conversations(dialogue.damaged(rows), every=rows)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -97,6 +117,9 @@ QUERIES: dict[str, Query] = {
         op8_bootstrap,
         op9_equivalence_classes,
         op10_salvage,
+        op11_basic_factors,
+        op12_binary_records,
+        op13_edit_lattice,
     )
 }
 
