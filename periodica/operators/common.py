@@ -19,6 +19,14 @@ def attach(
     return entries.join(side, entry_key)
 
 
+def count_of(weight: str | None, where: Column | None = None) -> Column:
+    """How many rows there are (or fulfil a condition), or how many they stand for."""
+    each = F.lit(1) if weight is None else F.col(weight)
+    if where is not None:
+        each = F.when(where, each).otherwise(0)
+    return F.sum(each).cast("bigint")
+
+
 def ordered(df: DataFrame, sort: bool, *keys: Column | str) -> DataFrame:
     return df.orderBy(*keys) if sort else df
 

@@ -1,4 +1,8 @@
-"""One-pass counts by setter, type, date part and direction."""
+"""One-pass counts by setter, type, date part and direction.
+
+Where a `weight` is named, a row stands for so many puzzles of its setter, kind and month,
+as the rows of `operators.partials.publications` do.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from periodica.functions.dates import inclusive_duration
-from periodica.operators.common import attach, ordered, year_span
+from periodica.operators.common import attach, count_of, ordered, year_span
 
 # Month labels.
 MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -19,6 +23,7 @@ def count_by_type(
     kind: str = "crossword_type",
     kinds: Sequence[str] = ("cryptic", "prize"),
     sort: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """Puzzles per setter with one column per kind.
 
@@ -27,7 +32,7 @@ def count_by_type(
     next one counts.  Setters with none of the kinds come first.  The place is
     expressed as a sort key per setter, which needs no global numbering.
     """
-    counts = [F.count_if(F.col(kind) == k).alias(k) for k in kinds]
+    counts = [count_of(weight, F.col(kind) == k).alias(k) for k in kinds]
     table = puzzles.groupBy(setter).agg(*counts)
     if not sort:
         return table
@@ -47,6 +52,7 @@ def yearly_matrix(
     setter: str = "creator_name",
     date: str = "date",
     sort: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """Puzzles per setter and year, zero-filled from ``first_year`` to ``last_year``.
 
@@ -54,7 +60,7 @@ def yearly_matrix(
     the dense years are read; no spine join is needed.
     """
     year = F.year(date)
-    per_year = puzzles.groupBy(setter, year.alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    per_year = puzzles.groupBy(setter, year.alias("year")).agg(count_of(weight).alias("n"))
     in_span = F.when(
         F.col("year").between(first_year, last_year), F.struct("year", "n")
     )
@@ -68,11 +74,18 @@ def yearly_matrix(
 
 
 def bio_range(
-    puzzles: DataFrame, setter: str = "creator_name", date: str = "date", sort: bool = True
+    puzzles: DataFrame,
+    setter: str = "creator_name",
+    date: str = "date",
+    sort: bool = True,
+    last: str | None = None,
 ) -> DataFrame:
-    """First date, last date and the inclusive duration between them, per setter."""
+    """First date, last date and the inclusive duration between them, per setter.
+
+    ``last`` names the column of the last date of what a row stands for.
+    """
     spans = puzzles.groupBy(setter).agg(
-        F.min(date).alias("first_date"), F.max(date).alias("last_date")
+        F.min(date).alias("first_date"), F.max(last or date).alias("last_date")
     )
     table = spans.withColumn(
         "duration", inclusive_duration(F.col("first_date"), F.col("last_date"))
@@ -86,23 +99,28 @@ def yearly_by_type(
     date: str = "date",
     kind: str = "crossword_type",
     sort: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """Count per setter, year and kind, and its monthly average rounded up."""
     table = (
         puzzles.groupBy(setter, F.year(date).alias("year"), kind)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(count_of(weight).alias("n"))
         .withColumn("per_month", F.ceil(F.col("n") / 12).cast("int"))
     )
     return ordered(table, sort, setter, "year", kind)
 
 
 def bio_yearly(
-    puzzles: DataFrame, setter: str = "creator_name", date: str = "date", sort: bool = True
+    puzzles: DataFrame,
+    setter: str = "creator_name",
+    date: str = "date",
+    sort: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """Count per setter and year over all kinds; years without puzzles are absent."""
     table = (
         puzzles.groupBy(setter, F.year(date).alias("year"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(count_of(weight).alias("n"))
         .withColumn("per_month", F.ceil(F.col("n") / 12).cast("int"))
     )
     return ordered(table, sort, setter, "year")
@@ -115,14 +133,15 @@ def bio_totals(
     kind: str = "crossword_type",
     kinds: Sequence[str] = ("cryptic", "prize"),
     sort: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """Total, totals of the named kinds, and self-references (0 if none) per setter.
 
     ``self_refs`` is the result of :func:`periodica.operators.words.self_ref`.
     """
     totals = puzzles.groupBy(setter).agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col(kind) == k).alias(f"total_{k}") for k in kinds],
+        count_of(weight).alias("total"),
+        *[count_of(weight, F.col(kind) == k).alias(f"total_{k}") for k in kinds],
     )
     table = totals.join(
         self_refs.select(setter, F.col("n").alias("self_refs")), setter, "left"
@@ -196,9 +215,11 @@ def debuts(
     return ordered(table, sort, "year")
 
 
-def month_season(puzzles: DataFrame, date: str = "date", sort: bool = True) -> DataFrame:
+def month_season(
+    puzzles: DataFrame, date: str = "date", sort: bool = True, weight: str | None = None
+) -> DataFrame:
     """Puzzles per calendar month; always twelve rows."""
-    counts = puzzles.groupBy(F.month(date).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    counts = puzzles.groupBy(F.month(date).alias("month")).agg(count_of(weight).alias("n"))
     months = puzzles.sparkSession.range(1, 13, numPartitions=1).select(
         F.col("id").cast("int").alias("month")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from periodica.plans.queries import COMMON, LAST_YEAR, STORED_UNTIL
+from periodica.plans.queries import COMMON, LAST_YEAR, SECTION_COLUMNS, STORED_UNTIL
 
 _FX_PUZZLE = """
 fx_puzzle AS (
@@ -422,3 +422,32 @@ FROM good g LEFT JOIN matched m ON m.crossword_id = g.id""",
     "grid_usage": f"""WITH {_GRIDS}
 SELECT grid_name, COUNT(*) AS n FROM matched GROUP BY grid_name""",
 }
+
+
+def _long(section: str, keys: list[str], values: list[str]) -> str:
+    row = " || ' ' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    parts = ", ".join(f"'{v}'" for v in values)
+    texts = ", ".join(f"CAST({v} AS VARCHAR)" for v in values)
+    return f"""SELECT '{section}' AS section, {row} AS "row", unnest([{parts}]) AS part,
+       unnest([{texts}]) AS value FROM ({ORACLES[section]})"""
+
+
+ORACLES["sections_incremental"] = "\nUNION ALL\n".join(
+    _long(s, *columns) for s, columns in SECTION_COLUMNS.items()
+)
+ORACLES["streaks_incremental"] = "\nUNION ALL\n".join(
+    f"""SELECT '{unit}' AS unit, creator_name, streak_length, CAST(streak_start AS VARCHAR) AS streak_start,
+       CAST(streak_end AS VARCHAR) AS streak_end, streak_puzzles FROM ({ORACLES[key]})"""
+    for unit, key in (
+        ("isoweek_code", "week_streak"), ("week", "week_streak_across_years"), ("month", "month_streak")
+    )
+)
+ORACLES["stream_ingest_state"] = f"""WITH {_DOCS}, numbered AS (
+  SELECT id, CAST(id AS BIGINT) AS k, n_entries FROM good)
+SELECT id,
+       CASE WHEN k % 5 = 0 THEN 'Stored No ' WHEN k % 2 = 0 THEN 'First No '
+            WHEN k % 3 = 0 THEN 'Second No ' ELSE 'Third No ' END || id AS name,
+       CASE WHEN k % 5 = 0 THEN 'import-000001' WHEN k % 2 = 0 THEN 'arrival-000000'
+            WHEN k % 3 = 0 THEN 'arrival-000001' ELSE 'arrival-000002' END AS batch,
+       n_entries
+FROM numbered"""

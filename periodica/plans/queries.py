@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from periodica.functions.text import html_unescape
-from periodica.operators import counts, grids, ingest, streaks, tables, words
+from periodica.operators import counts, grids, ingest, partials, streaks, tables, words
 from periodica.operators.resolve import resolve_refs
 from periodica.plans import driver_views as views
 from periodica.plans.driver_views import GRID, Tables
 from periodica.schemas import CORRUPT, REASON
 from periodica.session import work_dir
-from periodica.sources import documents, grids as grid_source, pages, sinks, store
-from periodica.streaming import ingest as stream
+from periodica.sources import documents, grids as grid_source, pages, partials as stored_partials, sinks, store
+from periodica.streaming import arrivals, ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +26,7 @@ QUERIES: dict[str, Query] = {}
 LAST_YEAR = 2025
 STORED_UNTIL = "1999-01-01"
 # Puzzles that must share a layout for it to enter the grid catalogue.
-COMMON = 20
+COMMON = 4
 
 
 def query(build: Callable[[SparkSession, Tables], DataFrame]) -> Query:
@@ -213,6 +214,42 @@ def stream_ingest(spark, t):
     )
 
 
+@query
+def stream_ingest_state(spark, t):
+    """Three deliveries with ids that come again inside and across them, after an import.
+
+    The stream is started anew for each from its checkpoint.
+    """
+    files, target = work_dir(spark, "arrivals"), work_dir(spark, "store")
+    whole = views.document_texts(t).where(F.col("text").endswith("}"))
+    texts = documents.stage(whole, work_dir(spark, "texts"))
+
+    def put(rows: DataFrame, name: str, path: str) -> None:
+        renamed = F.replace("text", F.lit("Puzzle No"), F.lit(name))
+        rows.select(renamed.alias("value")).write.text(path)
+
+    put(texts.where(_key() % 5 == 0), "Stored No", f"{files}-stored")
+    store.import_documents(spark, target, [f"{files}-stored"], lines=True, suffix="*.txt")
+    even, third = texts.where(_key() % 2 == 0), texts.where(_key() % 3 == 0)
+    for parts in (
+        ((even, "First No", "1a"), (even, "Again No", "1b")),
+        ((third, "Second No", "2a"), (even, "Again No", "2b")),
+        ((texts, "Third No", "3a"), (third, "Again No", "3b")),
+    ):
+        for rows, name, folder in parts:
+            put(rows, name, f"{files}/{folder}")
+        docs = stream.document_stream(spark, files, lines=True, suffix="*.txt")
+        arrivals.ingest_arrivals(docs, target, f"{target}/mark")
+    per_puzzle = store.read_entries(spark, target).groupBy(F.col("crossword_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_entries")
+    )
+    return (
+        store.read_puzzles(spark, target)
+        .join(per_puzzle, "id", "left")
+        .select("id", "name", "batch", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+    )
+
+
 @query
 def grid_scan(spark, t):
     folder = work_dir(spark, "grids")
@@ -225,9 +262,8 @@ def grid_scan(spark, t):
         F.sequence(F.lit(0), F.col("n_rows") - 1),
         lambda r: F.array_join(F.slice(cells, r * F.col("n_cols") + 1, F.col("n_cols")), ","),
     )
-    _catalogue(t).select("grid_name", F.array_join(lines, "\n").alias("value")).write.partitionBy(
-        "grid_name"
-    ).text(folder)
+    texts = _catalogue(t).select("grid_name", F.array_join(lines, "\n").alias("value"))
+    texts.repartition("grid_name").write.partitionBy("grid_name").text(folder)
     # Files that are no grids: ragged lines, words, and one of another kind.
     odd = spark.createDataFrame([("ragged", "1,0\n1"), ("words", "a,b")], "grid_name string, value string")
     odd.repartition(1).write.mode("append").partitionBy("grid_name").text(folder)
@@ -444,6 +480,78 @@ def month_streak(spark, t):
     return streaks.month_streak(views.dated(t))
 
 
+# ---- sections kept up to date by delivery
+
+
+# The columns that tell a section's rows apart, and what the rows say.
+SECTION_COLUMNS = {
+    "count_by_type": (["creator_name"], ["cryptic", "prize"]),
+    "yearly_matrix": (["creator_name", "year"], ["n"]),
+    "max_repeat": (["creator_name"], ["max_count"]),
+    "bio_range": (["creator_name"], ["first_date", "last_date", "duration"]),
+    "bio_totals": (["creator_name"], ["total", "total_cryptic", "total_prize", "self_refs"]),
+    "bio_yearly": (["creator_name", "year"], ["n", "per_month"]),
+    "yearly_by_type": (["creator_name", "year", "crossword_type"], ["n", "per_month"]),
+    "self_ref": (["creator_name"], ["n"]),
+    "top_answers": (["solution"], ["n"]),
+    "unique_ratio": (["creator_name"], ["unique_solutions", "total_solutions", "ratio"]),
+    "avg_text_len": (["creator_name"], ["avg_len"]),
+    "direction_balance": (["creator_name"], ["across", "down"]),
+    "debuts": (["year"], ["n_setters"]),
+    "debut_setters": (["creator_name"], ["year"]),
+    "month_season": (["month"], ["n"]),
+}
+
+
+def _long(table: DataFrame, section: str, keys: list[str], values: list[str]) -> DataFrame:
+    """A section as (section, row, part, value) texts."""
+    each = F.array(*[F.struct(F.lit(v).alias("part"), F.col(v).cast("string").alias("value")) for v in values])
+    row = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
+    return table.select(F.lit(section).alias("section"), row.alias("row"), F.inline(each))
+
+
+@query
+def sections_incremental(spark, t):
+    """The sections of three deliveries, each reduced by itself when it comes."""
+    folder = work_dir(spark, "partials")
+    p, e = views.puzzles(t), views.entries(t)
+    part = F.pmod(F.hash(F.col("crossword_id")), F.lit(3))
+    for k in range(3):
+        mine = p.where(F.pmod(F.hash(F.col("id")), F.lit(3)) == k)
+        stored_partials.write(folder, f"delivery-{k}", mine, e.where(part == k))
+    found = partials.sections(stored_partials.read(spark, folder), LAST_YEAR)
+    return reduce(
+        DataFrame.unionByName, [_long(found[s], s, *columns) for s, columns in SECTION_COLUMNS.items()]
+    )
+
+
+@query
+def streaks_incremental(spark, t):
+    """Streaks from the runs of three deliveries: odd days, then later ones, then the rest.
+
+    The second delivery lengthens runs of the first, and the third, whose dates are all
+    earlier than some known ones, closes gaps between runs.
+    """
+    path = work_dir(spark, "runs")
+    dated = views.dated(t)
+    odd, late = F.dayofmonth("date") % 2 == 1, F.year("date") >= 1996
+    for k, part in enumerate((odd & ~late, odd & late, ~odd)):
+        partials.runs(dated.where(part)).write.parquet(f"{path}/delivery={k}")
+    rows = spark.read.schema(stored_partials.SCHEMAS["runs"]).parquet(path)
+    merged = partials.merged("runs", rows)
+    best = [
+        streaks.longest_of(merged.where(F.col("unit") == unit), unit, sort=False).select(
+            F.lit(unit).alias("unit"),
+            "creator_name",
+            "streak_length",
+            *[F.col(c).cast("string").alias(c) for c in ("streak_start", "streak_end")],
+            "streak_puzzles",
+        )
+        for unit in streaks.UNITS
+    ]
+    return reduce(DataFrame.unionByName, best)
+
+
 # ---- result tables
 
 

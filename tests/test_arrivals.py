@@ -1,0 +1,116 @@
+"""What is new is known by the state of a stream, not by reading the store."""
+
+import json
+
+import pytest
+
+from periodica.operators import partials  # noqa: F401
+from periodica.sources import store as stores
+from periodica.streaming import arrivals
+from periodica.streaming.ingest import document_stream
+from tests.test_documents import doc, entry
+
+
+def put(folder, name, docs):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(d if isinstance(d, str) else json.dumps(d) for d in docs))
+
+
+def many(lo, hi, name):
+    return [doc(f"x/{i}", name=name, entries=[entry(str(j)) for j in range(i % 4)]) for i in range(lo, hi)]
+
+
+def run(spark, inbox, store, per_batch=None, **kw):
+    docs = document_stream(spark, str(inbox), lines=True, files_per_batch=per_batch)
+    arrivals.ingest_arrivals(docs, str(store), str(store / "mark"), **kw)
+    p, e = stores.read_puzzles(spark, str(store)), stores.read_entries(spark, str(store))
+    assert e.count() == sum(int(r.id[2:]) % 4 for r in p.collect())
+    return {r.id: (r.name, r.batch) for r in p.collect()}
+
+
+def test_first_of_an_id_by_delivery_and_reading_order(spark, tmp_path):
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    put(tmp_path / "old", "0.json", many(0, 5, "stored"))
+    stores.import_documents(spark, str(store), [str(tmp_path / "old")], lines=True)
+    put(inbox, "1b.json", many(3, 12, "later"))
+    put(inbox, "1a.json", many(3, 10, "first") + ["{broken"])
+    found = run(spark, inbox, store)
+    want = {f"x/{i}": ("stored", "import-000001") for i in range(5)}
+    want |= {f"x/{i}": ("first", "arrival-000000") for i in range(5, 10)}
+    want |= {f"x/{i}": ("later", "arrival-000000") for i in range(10, 12)}
+    assert found == want
+    # Started again from the checkpoint, with known ids and new ones.
+    put(inbox, "2.json", many(8, 15, "second"))
+    want |= {f"x/{i}": ("second", "arrival-000001") for i in range(12, 15)}
+    assert run(spark, inbox, store) == want
+    put(inbox, "3.json", many(0, 15, "third"))
+    put(inbox, "4.json", many(14, 16, "third"))
+    want["x/15"] = ("third", "arrival-000002")
+    assert run(spark, inbox, store) == want
+    assert run(spark, inbox, store) == want
+    assert spark.read.parquet(str(store / "rejected")).count() == 1
+    # Nothing but the ids of the beginning is left of what has landed.
+    assert [f.name for f in (store / "firsts").glob("arrival=*")] == ["arrival=0-known"]
+    assert not list((store / "arrivals").glob("arrival=*"))
+
+
+def test_many_arrivals_land_together(spark, tmp_path):
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    for k in range(4):
+        put(inbox, f"{k}.json", many(2 * k, 2 * k + 6, f"file {k}"))
+    names = [name for name, _ in run(spark, inbox, store, per_batch=1).values()]
+    assert len(names) == 12
+    # Files arrive in an order of their own; each id comes from one arrival, the first.
+    assert sorted({n: names.count(n) for n in names}.values(), reverse=True)[0] == 6
+
+
+def test_a_run_that_fails_is_taken_up_by_the_next(spark, tmp_path, monkeypatch):
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    put(inbox, "1.json", many(0, 6, "one"))
+    land = arrivals.land_new
+
+    def broken(new, where, batch, with_partials=False):
+        land(new, where, batch, with_partials)
+        raise RuntimeError("lost after the puzzles have landed")
+
+    monkeypatch.setattr(arrivals, "land_new", broken)
+    with pytest.raises(Exception, match="lost after"):
+        run(spark, inbox, store)
+    monkeypatch.setattr(arrivals, "land_new", land)
+    put(inbox, "2.json", many(3, 9, "two"))
+    found = run(spark, inbox, store)
+    assert {i: n for i, (n, _) in found.items()} == {f"x/{i}": "one" if i < 6 else "two" for i in range(9)}
+
+
+def test_the_store_is_not_read_by_later_runs(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    put(inbox, "1.json", many(0, 6, "one"))
+    run(spark, inbox, store, with_partials=True)
+    seen, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        seen.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    put(inbox, "2.json", many(3, 9, "two"))
+    run(spark, inbox, store, with_partials=True)
+    assert {"ids", "places", "new"} <= {path.split("/")[-1] for path, _ in seen}
+    for path, plan in seen:
+        assert "/puzzles" not in plan and "batch=arrival-000000" not in plan, path
+    assert stores.read_partials(spark, str(store))["publications"].agg({"n": "sum"}).first()[0] == 9
+
+
+def test_other_deliveries_are_an_error(spark, tmp_path):
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    put(inbox, "1.json", many(0, 3, "one"))
+    run(spark, inbox, store)
+    stores.compact(spark, str(store))
+    put(inbox, "2.json", many(2, 5, "two"))
+    assert len(run(spark, inbox, store)) == 5
+    put(tmp_path / "other", "1.json", many(7, 9, "other"))
+    stores.import_documents(spark, str(store), [str(tmp_path / "other")], lines=True)
+    with pytest.raises(ValueError, match="import-000001"):
+        run(spark, inbox, store)
