@@ -111,17 +111,21 @@ def grid_entries(t: Tables) -> DataFrame:
 GRID = {"n_rows": 2, "n_cols": 8}
 
 
-def common_grids(fingerprints: DataFrame, least: int) -> DataFrame:
-    """A catalogue of the layouts that at least ``least`` puzzles share.
+def common_grids(fingerprints: DataFrame, among: int) -> DataFrame:
+    """A catalogue of the layouts that at least one of ``among`` puzzles has.
 
     Layouts of at least three times that many puzzles get a second name.
     """
     shape = ["n_rows", "n_cols", "fingerprint"]
-    used = fingerprints.groupBy(*shape).agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= least
+    total = fingerprints.agg(F.count(F.lit(1))).scalar()
+    used = (
+        fingerprints.groupBy(*shape)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("share", F.col("n") * among / total)
+        .where("share >= 1")
     )
     name = F.concat(F.lit("G"), F.substring(F.md5("fingerprint"), 1, 12))
-    names = F.when(F.col("n") >= 3 * least, F.array(name, F.concat(name, F.lit("b")))).otherwise(
+    names = F.when(F.col("share") >= 3, F.array(name, F.concat(name, F.lit("b")))).otherwise(
         F.array(name)
     )
     return used.select(F.explode(names).alias("grid_name"), *shape)

@@ -144,11 +144,11 @@ prints AS (
   FROM cells GROUP BY crossword_id),
 common AS (
   SELECT n_rows, n_cols, fingerprint, COUNT(*) AS n, 'G' || substr(md5(fingerprint), 1, 12) AS base
-  FROM prints GROUP BY n_rows, n_cols, fingerprint HAVING COUNT(*) >= {COMMON}),
+  FROM prints GROUP BY n_rows, n_cols, fingerprint HAVING COUNT(*) * {COMMON} >= (SELECT COUNT(*) FROM prints)),
 catalogue AS (
   SELECT base AS grid_name, n_rows, n_cols, fingerprint FROM common
   UNION ALL
-  SELECT base || 'b', n_rows, n_cols, fingerprint FROM common WHERE n >= 3 * {COMMON}),
+  SELECT base || 'b', n_rows, n_cols, fingerprint FROM common WHERE n * {COMMON} >= 3 * (SELECT COUNT(*) FROM prints)),
 matched AS (
   SELECT p.crossword_id, p.n_rows, p.n_cols, p.fingerprint,
          MIN(c.grid_name) AS grid_name, COUNT(c.grid_name) AS n_names

@@ -25,8 +25,8 @@ QUERIES: dict[str, Query] = {}
 # query takes puzzles for already stored.
 LAST_YEAR = 2025
 STORED_UNTIL = "1999-01-01"
-# Puzzles that must share a layout for it to enter the grid catalogue.
-COMMON = 4
+# A layout enters the grid catalogue if one of so many puzzles has it, at every size.
+COMMON = 500
 
 
 def query(build: Callable[[SparkSession, Tables], DataFrame]) -> Query:
