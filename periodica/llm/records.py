@@ -15,13 +15,15 @@ and are never read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
@@ -34,8 +36,10 @@ END_ID = 2
 HEAD, FRAME_HEAD, FRAME_TAIL = 12, 12, 4
 CHUNK = 1 << 21
 BLOCK = 1 << 22
-# Words of more bytes are not remembered; others up to so many bytes and ids.
-LONG_WORD, KNOWN = 64, 1 << 24
+# A worker forgets its words when it has met so many, or so many bytes of them.
+KNOWN, KNOWN_BYTES = 600_000, 1 << 25
+# Plain Latin letters, numbers and signs: up to the last letter or number, and the signs after it.
+PLAIN = re.compile(r"([!-~À-ÖØ-öø-ÿ]*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]*)")
 
 INDEX = "part int, file string, doc_id long, offset long, n_bytes long, n_tokens long, before long"
 _INDEX = pa.schema(
@@ -49,7 +53,9 @@ class WordCoder:
     """Encodes texts with a tokenizer that drops white space, a distinct word at a time.
 
     Its splits never cross white space and its normal forms never reach over it, so a
-    text's ids are those of its words, one after the other.
+    text's ids are those of its words, one after the other.  A word of plain Latin letters
+    falls in two where signs follow its last letter or number, as no split reaches over
+    that place either, and its letters are made small, as the tokenizer does itself.
     """
 
     def __init__(self, path: str):
@@ -62,40 +68,50 @@ class WordCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, np.ndarray] = {}
+        self.words: dict[bytes, int] = defaultdict(count().__next__)
+        self.parts: dict[str, int] = defaultdict(count().__next__)
+        self.parts_of = np.zeros((0, 2), dtype=np.int64)  # of each word: its two parts
+        self.starts = self.sizes = np.zeros(0, dtype=np.int64)  # of each part: its ids
+        self.ids = np.zeros(0, dtype=np.uint32)
         self.held = 0
 
-    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
-        if self.held > KNOWN:
-            self.clear()
-        found = [self.known.get(w) for w in words]
-        new = [k for k, ids in enumerate(found) if ids is None]
+    def _learn(self, words: list[bytes]) -> None:
+        """Takes in words that have got their numbers, but not their parts."""
+        known = len(self.sizes)
+        pairs = []
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            plain = PLAIN.fullmatch(text)
+            pairs += (plain[1].lower(), plain[2]) if plain else (text, "")
+        found = np.fromiter(map(self.parts.__getitem__, pairs), dtype=np.int64, count=len(pairs))
+        self.parts_of = np.concatenate([self.parts_of, found.reshape(-1, 2)])
+        new = [*islice(self.parts, known, None)]
+        ids: list[list[int]] = []
         for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            texts = [words[k].decode("utf-8", "surrogatepass") for k in some]
-            encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-            for k, e in zip(some, encoded):
-                found[k] = np.array(e.ids, dtype=np.uint32)
-                if len(words[k]) <= LONG_WORD:
-                    self.known[words[k]] = found[k]
-                    self.held += len(words[k]) + len(found[k])
-        return found
+            encoded = self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)
+            ids += [e.ids for e in encoded]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, flat])
+        self.held += sum(map(len, words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if len(self.words) > KNOWN or self.held > KNOWN_BYTES:
+            self.clear()
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        words = [w for s in split for w in s]
-        if not words:
-            return [np.zeros(0, dtype=np.uint32) for _ in texts]
-        which, distinct = pd.factorize(np.array(words, dtype=object))
-        ids = self._ids(distinct.tolist())
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate(ids)
-        starts = np.cumsum(sizes) - sizes
-        used = sizes[which]
-        total = np.cumsum(used)
-        out = flat[np.repeat(starts[which] - (total - used), used) + np.arange(int(total[-1]))]
-        ends = np.append(0, total)[np.cumsum([len(s) for s in split])]
+        n = sum(map(len, split))
+        words = chain.from_iterable(split)
+        which = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=n)
+        if len(self.words) > len(self.parts_of):
+            self._learn([*islice(self.words, len(self.parts_of), None)])
+        parts = self.parts_of[which].ravel()
+        sizes = self.sizes[parts]
+        total = np.append(0, np.cumsum(sizes))
+        out = self.ids[np.repeat(self.starts[parts] - total[:-1], sizes) + np.arange(int(total[-1]))]
+        ends = total[2 * np.cumsum([len(s) for s in split])]
         return np.split(out, ends[:-1])
 
 

@@ -46,7 +46,7 @@ def tokenizer():
     return found
 
 
-ODD = ["<|endoftext|> it's WE'LL 's", "e ́x́    a b", "ΑΣ Σ ΟΔΟΣ", "\x1c a\x85b　c", "İ ﬁ Å",
+ODD = ["dogs' 'tis it's. l'été, ÉTÉ; à.'s ÷5× 3.5, x.́ µ, ß! don't's ''s","<|endoftext|> it's WE'LL 's", "e ́x́    a b", "ΑΣ Σ ΟΔΟΣ", "\x1c a\x85b　c", "İ ﬁ Å",
        "ᄀ ᅡ가", "a" * 3000, "١٢ 12 1 2", "ẋ̣ ẋ̣"]
 
 
@@ -58,7 +58,8 @@ def test_ids_are_those_of_the_library(hard_texts, tokenizer):
     coder = records.WordCoder(WORD_VOCABULARY)
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in coder.encode(texts)] == want
-    coder.held = records.KNOWN + 1
+    assert [x.tolist() for x in coder.encode(texts[::-1])] == want[::-1]
+    coder.held = records.KNOWN_BYTES + 1
     assert [x.tolist() for x in coder.encode(texts)] == want
 
 
