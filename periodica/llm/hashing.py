@@ -1,7 +1,9 @@
 """64-bit hashes of byte strings, computed for many places of an array at once.
 
 A string's hash is a polynomial of its bytes modulo 2^64 with an odd base, taken from prefix
-sums, and then mixed by a bijection.
+sums, and then mixed by a bijection.  It is for strings of up to some hundred bytes: among
+longer ones there are texts of two letters that collide whatever the base is (the Thue-Morse
+word of 1,024 letters and its complement).
 """
 
 from __future__ import annotations

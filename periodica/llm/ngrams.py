@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from periodica.llm.common import put_back, set_aside, staged, text_batches
 from periodica.llm.components import components
-from periodica.llm.hashing import hashes, mixed, prefix_sums
+from periodica.llm.hashing import mixed
 
 WORDS = 5
 # Documents link when 100 x common >= 80 x all.
@@ -51,6 +52,33 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
 
 
+# Longer words are hashed one by one.
+LONG_WORD = 64
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word: eight bytes a step, mixed before the next ones come.
+
+    The mixing is a bijection, so words of up to eight bytes and one length never collide,
+    and no polynomial stands behind the others whose zeros a word could be made of.
+    """
+    size = end - start
+    out = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    eights = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    left = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(left):
+        value = eights[start[left] + done].copy().view("<u8").ravel()
+        spare = np.maximum(8 - (size[left] - done), 0).astype(np.uint64) * np.uint64(8)
+        value &= np.uint64(2**64 - 1) >> spare
+        out[left] = mixed((out[left] ^ value) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(done + 1))
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
 def _salted(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(words + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
 
@@ -64,7 +92,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     if not len(start):
         return none, none.astype(np.uint64)
     owner = np.searchsorted(ends, start, side="right")
-    word = mixed(hashes(prefix_sums(data), start, end) + (end - start).astype(np.uint64))
+    word = _hashed(data, start, end)
     n = len(start)
     whole = np.zeros(n, dtype=np.uint64)
     for k in range(min(words, n)):  # the hash of the words from here on, in one text

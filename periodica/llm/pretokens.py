@@ -2,9 +2,10 @@
 
 The split follows the public pattern of the tokenizer file: contractions; an optional
 space with letters, numbers or other signs; white space, whose last character stays apart
-from what precedes it when something follows.  It is computed on code-point arrays, and
-equal pieces are looked up by a 64-bit polynomial hash, so each distinct piece is encoded
-once per worker, and not once per occurrence.
+from what precedes it when something follows.  It is computed on code-point arrays.  A
+64-bit polynomial hash brings pieces together that may be equal; each is then compared with
+the first of its hash, and where one differs, the pieces themselves are sorted out.  So each
+distinct piece is encoded once per worker, and not once per occurrence.
 """
 
 from __future__ import annotations
@@ -101,22 +102,42 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return begin
 
 
+def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every key the number of its group, and for every group its first member."""
+    inverse, distinct = pd.factorize(keys)
+    first = np.empty(len(distinct), dtype=np.int64)
+    first[inverse[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return inverse, first
+
+
+def _same(points: np.ndarray, at: np.ndarray, stop: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every piece points[at:stop] equals the one whose number is in `other`."""
+    sizes = stop - at
+    if (sizes != sizes[other]).any():
+        return False
+    differ = np.flatnonzero(other != np.arange(len(at)))
+    sizes = sizes[differ]
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    own, first = np.repeat(at[differ], sizes), np.repeat(at[other[differ]], sizes)
+    return bool((points[own + step] == points[first + step]).all())
+
+
 class Pieces:
-    """Encoded pieces of one worker, by hash; forgets all when it holds too many."""
+    """Encoded pieces of one worker; forgets all when it holds too many."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = KNOWN_PIECES):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[str, int] = {}
         self.starts = np.zeros(1 << 16, dtype=np.int64)
         self.sizes = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
-    def _add(self, hashes: list[int], encoded: list[list[int]]) -> None:
-        n, m = len(self.slots), len(hashes)
+    def _add(self, pieces: list[str], encoded: list[list[int]]) -> None:
+        n, m = len(self.slots), len(pieces)
         sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=m)
         flat = np.fromiter((x for e in encoded for x in e), dtype=np.uint32, count=int(sizes.sum()))
         while n + m > len(self.starts):
@@ -127,7 +148,7 @@ class Pieces:
         self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.slots.update(zip(hashes, range(n, n + m)))
+        self.slots.update(zip(pieces, range(n, n + m)))
 
     def encode_chunk(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -144,20 +165,21 @@ class Pieces:
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         stop = np.append(at[1:], len(points))
         hashes = (sums[stop] - sums[at]) * down[at]
-        inverse, distinct = pd.factorize(hashes)
-        place = np.empty(len(distinct), dtype=np.int64)
-        place[inverse[::-1]] = np.arange(len(hashes) - 1, -1, -1)  # the first of each
+        inverse, place = _firsts(hashes)
+        if not _same(points, at, stop, place[inverse]):
+            pieces = np.array([joined[a:b] for a, b in zip(at.tolist(), stop.tolist())], dtype=object)
+            inverse, place = _firsts(pieces)
         if len(self.slots) > self.limit:
             self.clear()
-        keys = distinct.tolist()
+        keys = [joined[a:b] for a, b in zip(at[place].tolist(), stop[place].tolist())]
         get = self.slots.get
-        slots = np.fromiter((get(h, -1) for h in keys), dtype=np.int64, count=len(keys))
+        slots = np.fromiter((get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            spans = zip(at[place[new]].tolist(), stop[place[new]].tolist())
-            encoded = self.encode([joined[a:b] for a, b in spans])
+            unknown = [keys[k] for k in new.tolist()]
+            encoded = self.encode(unknown)
             slots[new] = np.arange(len(self.slots), len(self.slots) + len(new))
-            self._add(distinct[new].tolist(), encoded)
+            self._add(unknown, encoded)
         used = slots[inverse]
         sizes = self.sizes[used]
         total = np.cumsum(sizes)
