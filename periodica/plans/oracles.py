@@ -394,6 +394,15 @@ SELECT * FROM links
 WHERE date_text < '1996-06-30'
    OR date_text = '1996-06-30' AND (creator_name > 'NATION_12' OR creator_name = 'NATION_12' AND link > '')
 ORDER BY date_text DESC, creator_name, link LIMIT 25""",
+    "table_page_deep": f"""WITH {_LINKS}, numbered AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY date_text DESC, creator_name, link) - 1 AS place,
+         COUNT(*) OVER () AS total FROM links)
+SELECT creator_name, link, date_text, 'first' AS page FROM numbered WHERE place < 25
+UNION ALL
+SELECT creator_name, link, date_text, 'middle' FROM numbered
+WHERE place >= total // 2 AND place < total // 2 + 25
+UNION ALL
+SELECT creator_name, link, date_text, 'last' FROM numbered WHERE place >= total - 7""",
     "table_page_full": f"""WITH {_ANSWERS}, {_JOINED_TEXTS}
 SELECT creator_name, solution, clues, types, links, CAST(3 AS INTEGER) AS draw,
        (SELECT COUNT(*) FROM texts) AS records_total,

@@ -14,7 +14,8 @@ from periodica.plans import driver_views as views
 from periodica.plans.driver_views import GRID, Tables
 from periodica.schemas import CORRUPT, REASON
 from periodica.session import work_dir
-from periodica.sources import documents, grids as grid_source, pages, partials as stored_partials, sinks, store
+from periodica.sources import documents, grids as grid_source, page_index, pages, sinks, store
+from periodica.sources import partials as stored_partials
 from periodica.streaming import arrivals, ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +630,16 @@ def table_page_after(spark, t):
     return tables.page_after(links, CURSOR, 2, "desc", length=25)
 
 
+@query
+def table_page_deep(spark, t):
+    """The first, a middle and the last page of a table stored in its order."""
+    links = tables.table_doc_links(None, views.puzzles(t))
+    stored = page_index.write_sorted(links, work_dir(spark, "sorted"), 2, "desc", ranges=16)
+    places = {"first": (0, 25), "middle": (stored.total // 2, 25), "last": (max(stored.total - 7, 0), 25)}
+    found = [stored.page(*place).select("*", F.lit(name).alias("page")) for name, place in places.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _request(spark: SparkSession, t: Tables, name: str, **request: object) -> DataFrame:
     page = tables.table_request(
         name, views.entries(t), views.puzzles(t), work_dir(spark, name), **request
