@@ -335,6 +335,10 @@ GROUP BY solution ORDER BY n DESC, solution LIMIT 50""",
 SELECT creator_name, COUNT(DISTINCT solution) AS unique_solutions,
        COUNT(solution) AS total_solutions,
        ROUND(100.0 * COUNT(DISTINCT solution) / COUNT(solution), 1) AS ratio
+FROM joined WHERE solution IS NOT NULL AND solution <> '' GROUP BY creator_name""",
+    "unique_ratio_approx": f"""WITH {_TWO}
+SELECT creator_name, COUNT(DISTINCT solution) AS unique_solutions,
+       COUNT(solution) AS total_solutions, TRUE AS close
 FROM joined WHERE solution IS NOT NULL AND solution <> '' GROUP BY creator_name""",
     "avg_text_len": f"""WITH {_TWO}
 SELECT creator_name,

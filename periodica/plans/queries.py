@@ -426,6 +426,22 @@ def unique_ratio(spark, t):
     return words.unique_ratio(views.entries(t), views.puzzles(t))
 
 
+@query
+def unique_ratio_approx(spark, t):
+    """Whether estimates from sketches, stored and read back, are within four standard errors."""
+    path = work_dir(spark, "sketches")
+    words.answer_sketches(views.entries(t), views.puzzles(t)).write.partitionBy("year").parquet(path)
+    estimates = words.ratio_of_sketches(spark.read.parquet(path), sort=False).select(
+        "creator_name", F.col("unique_solutions").alias("estimate"), F.col("total_solutions").alias("total")
+    )
+    exact = words.unique_ratio(views.entries(t), views.puzzles(t), sort=False).drop("ratio")
+    error = 4 * 1.04 / 2 ** (words.SKETCH_LOG_SIZE / 2)
+    close = F.abs(F.col("estimate") - F.col("unique_solutions")) <= F.ceil(error * F.col("unique_solutions"))
+    return exact.join(estimates, "creator_name", "left").select(
+        "creator_name", "unique_solutions", F.col("total").alias("total_solutions"), close.alias("close")
+    )
+
+
 @query
 def avg_text_len(spark, t):
     return words.avg_text_len(views.entries(t), views.puzzles(t))
