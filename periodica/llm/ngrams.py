@@ -13,8 +13,9 @@ are not similar before the sets themselves are compared.
 Documents of equal sets are one node.  A node is first compared with the smallest of all
 that it shares a key with, then with the smallest of each key, and the links are drawn
 together into components; then nodes that share a key but are in different components still
-are compared with each other.  So no link between components is missed, and a group of
-copies costs its size and not the square of it.
+are compared with each other, unless the shingles that only their own components have are
+too many already.  So no link between components is missed, and neither a group of copies
+nor a passage in many different texts costs the square of its size.
 """
 
 from __future__ import annotations
@@ -352,22 +353,67 @@ def _labelled(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return pairs.where("component_a <> component_b").select("a", "b")
 
 
-def _open_pairs(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key but no component."""
+def _open_keys(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, node, component) of the keys that nodes of different components share."""
     placed = shared.join(joined, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
+    return _across(placed).select("key", "node", "component")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """The rows whose key is in several components."""
     several = (
-        placed.groupBy("key")
+        rows.groupBy("key")
         .agg(F.min("component").alias("first"), F.max("component").alias("last"))
         .where("first <> last")
         .select("key")
     )
-    rows = staged(placed.join(several, "key"), "open-keys")
-    other = rows.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
+    return rows.join(several, "key")
+
+
+def _excess(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, excess): how far the shingles of its component alone exceed a node's share.
+
+    nodes: node and component of all that are to be compared; sets: theirs, once each.  What
+    only a component has is missing in every node of another one, so of two nodes of
+    different components each has at least these shingles more than the other one.  As at
+    most (a + b)(100 - s) / (100 + s) shingles differ, two nodes whose excesses add up to
+    more than nothing are not similar, whatever else they share.
+    """
+    items = nodes.join(sets, "node").select("node", "component", F.explode("items").alias("item"))
+    own = (
+        items.groupBy("item")
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"))
+        .where("first = last")
+        .select("item")
+    )
+    counted = items.join(own, "item").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    excess = (100 + SIMILAR) * F.coalesce("own", F.lit(0)) - (100 - SIMILAR) * F.size("items")
+    return sets.join(counted, "node", "left").select("node", excess.cast("bigint").alias("excess"))
+
+
+def _open_pairs(rows: DataFrame, excess: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key but no component, and that their excesses allow.
+
+    rows: those of _open_keys.  A node that not even the least excess of its key allows
+    leaves the key before nodes meet, so a passage that many texts share, each with much
+    text of its own beside it, costs its rows and not their square.
+    """
+    rows = rows.join(excess, "node")
+    least = rows.groupBy("key").agg(F.min("excess").alias("least"))
+    rows = rows.join(least, "key").where("excess + least <= 0").drop("least")
+    rows = staged(_across(rows), "open-rows")
+    other = rows.select(
+        "key",
+        F.col("node").alias("b"),
+        F.col("component").alias("component_b"),
+        F.col("excess").alias("excess_b"),
+    )
     return (
         rows.join(other, "key")
         .where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")))
+        .where(F.col("excess") + F.col("excess_b") <= 0)
         .select(F.col("node").alias("a"), "b")
         .distinct()
     )
@@ -441,14 +487,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     joined = components(links)
 
     # What shares a key and is in different components still, and has not been compared.
-    open_pairs = _open_pairs(shared, joined)
+    open_keys = staged(_open_keys(shared, joined), "open-keys")
+    open_nodes = staged(open_keys.select("node", "component").distinct(), "open-nodes")
+    missing = open_nodes.select("node").join(_nodes(stars), "node", "left_anti")
+    more = sets_of(docs, staged(missing, "other-nodes"), words)
+    open_sets = sets.union(more).join(open_nodes, "node", "left_semi").dropDuplicates(["node"])
+    open_sets = staged(open_sets, "open-sets")
+    open_pairs = _open_pairs(open_keys, staged(_excess(open_nodes, open_sets), "excess"))
     for a, b in (("a", "b"), ("b", "a")):
         open_pairs = open_pairs.join(stars.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
     others = staged(_near(meta, open_pairs), "others")
     if not others.isEmpty():
-        missing = _nodes(others).join(_nodes(stars), "node", "left_anti")
-        more = sets_of(docs, staged(missing, "other-nodes"), words)
-        links = links.union(staged(_linked(others, staged(sets.union(more), "other-sets")), "other-links"))
+        links = links.union(staged(_linked(others, open_sets), "other-links"))
         joined = components(links)
 
     placed = base.select("doc_id", "n_shingles", "node").join(joined, "node", "left")
