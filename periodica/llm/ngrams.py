@@ -35,7 +35,7 @@ WORDS = 5
 # Documents link when 100 x common >= 80 x all.
 SIMILAR = 80
 # A sketch has a power of two of bits, at least as many as this, and twice the set's size.
-LEAST_BITS = 256
+LEAST_BITS = 512
 # A band of sizes from 2^j to 2.5 x 2^j has a part for this share of its largest size, and
 # some more for short texts.
 PARTS, MORE_PARTS = 0.3, 4
@@ -393,30 +393,41 @@ def _excess(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(counted, "node", "left").select("node", excess.cast("bigint").alias("excess"))
 
 
-def _open_pairs(rows: DataFrame, excess: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key but no component, and that their excesses allow.
+def _short(meta: DataFrame) -> DataFrame:
+    """node, n_shingles and the sketch folded to LEAST_BITS, a column for each 64 of them."""
+    n = LEAST_BITS // 64
+    fold = lambda j: F.aggregate(
+        F.filter("sketch", lambda _, i: i % n == j), F.lit(0).cast("bigint"), lambda all, x: all.bitwiseXOR(x)
+    )
+    return meta.select("node", "n_shingles", *[fold(j).alias(f"s{j}") for j in range(n)])
+
+
+def _open_pairs(rows: DataFrame, excess: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key but no component, and that may be similar.
 
     rows: those of _open_keys.  A node that not even the least excess of its key allows
     leaves the key before nodes meet, so a passage that many texts share, each with much
-    text of its own beside it, costs its rows and not their square.
+    text of its own beside it, costs its rows and not their square.  What meets is tried by
+    excess, size and short sketch where it meets, and only what these allow becomes a row.
     """
     rows = rows.join(excess, "node")
     least = rows.groupBy("key").agg(F.min("excess").alias("least"))
-    rows = rows.join(least, "key").where("excess + least <= 0").drop("least")
-    rows = staged(_across(rows), "open-rows")
-    other = rows.select(
-        "key",
-        F.col("node").alias("b"),
-        F.col("component").alias("component_b"),
-        F.col("excess").alias("excess_b"),
-    )
-    return (
-        rows.join(other, "key")
-        .where((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")))
-        .where(F.col("excess") + F.col("excess_b") <= 0)
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
+    rows = _across(rows.join(least, "key").where("excess + least <= 0").select("key", "node", "component", "excess"))
+    rows = staged(rows.join(short, "node"), "open-rows")
+    mine, other = rows.alias("x"), rows.alias("y")
+    words = [c for c in short.columns if c.startswith("s")]
+    both = lambda c: F.col(f"x.{c}") + F.col(f"y.{c}")
+    distance = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in words)
+    sizes = [F.col("x.n_shingles"), F.col("y.n_shingles")]
+    may_link = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (both("excess") <= 0)
+        & (SIMILAR * F.greatest(*sizes) <= 100 * F.least(*sizes))
+        & ((100 + SIMILAR) * distance <= (100 - SIMILAR) * both("n_shingles"))
     )
+    return mine.join(other, may_link).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -493,7 +504,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     more = sets_of(docs, staged(missing, "other-nodes"), words)
     open_sets = sets.union(more).join(open_nodes, "node", "left_semi").dropDuplicates(["node"])
     open_sets = staged(open_sets, "open-sets")
-    open_pairs = _open_pairs(open_keys, staged(_excess(open_nodes, open_sets), "excess"))
+    short = staged(_short(meta.join(open_nodes, "node", "left_semi")), "short-sketches")
+    open_pairs = _open_pairs(open_keys, staged(_excess(open_nodes, open_sets), "excess"), short)
     for a, b in (("a", "b"), ("b", "a")):
         open_pairs = open_pairs.join(stars.select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"], "left_anti")
     others = staged(_near(meta, open_pairs), "others")
