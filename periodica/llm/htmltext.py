@@ -54,10 +54,12 @@ CONSTANT_SHARE = 0.5
 CONSTANT_PAGES = 3
 MOST_LABELS = 40
 
+# A tag ends with its bracket, with the next bracket where its quotes are not closed, or with
+# the page; so whatever begins one is read once.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
-    r"|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:>|\Z).*?(?:</\1\s*>|\Z)"
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+|[^>]*+)(?:>|\Z)"""
+    r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -65,13 +67,15 @@ APART = "!"  # marks the label of a container that is not part of the article
 TAIL = "~"  # begins the hash of the labels that a path has no room for
 
 
-def _label(tag: str, attributes: str) -> str:
+def _label(tag: str, attributes: str, inside: bool = False) -> str:
+    """inside: whether it is in an article or main tag; the outermost of these is never apart."""
     words = [
         word
         for _, *value in _NAMES.findall(attributes)
         for word in unescape("".join(value)).lower().split()
     ]
-    apart = tag in APART_TAGS or any(part in APART_WORDS for w in words for part in re.split(r"[-_]", w))
+    named = any(part in APART_WORDS for w in words for part in re.split(r"[-_]", w))
+    apart = tag in APART_TAGS or named and (inside or tag not in MAIN_TAGS)
     shown = re.sub(r"[\d/!]+", "0", ".".join([tag, *words[:2]]))[:60]
     return shown + APART * apart
 
@@ -139,7 +143,7 @@ def blocks(html: str) -> Iterator[tuple[str, str, int]]:
             continue
         if not closing:
             if not attributes.endswith("/"):
-                stack.append((tag, _deeper(path, len(stack), _label(tag, attributes))))
+                stack.append((tag, _deeper(path, len(stack), _label(tag, attributes, bool(tagged(path))))))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
