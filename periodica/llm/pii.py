@@ -68,32 +68,120 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 _SPAN = "struct<start:int,kind:int,end:int,value:string,left:string>"
+# Values of a running total that are reached by appending; larger arrays go by such chunks.
+CHUNK = 128
+# Code points of the pieces that a text is cut into before its spans are replaced.
+PIECE = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _at(values: Column, i: Column, default: int = 0) -> Column:
+    return F.coalesce(F.get(values, i), F.lit(default).cast("bigint"))
+
+
+def _upto(n: Column) -> Column:
+    """0 to n - 1; nothing for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _running(values: Column, merge) -> Column:
+    """The running totals of an array of bigint, as `merge` unites two of them.
+
+    Appending copies an array, so it is done by chunks, and again over what the chunks give.
+    """
+
+    def totals(of: Column, indexes: Column) -> Column:
+        return F.aggregate(
+            indexes,
+            F.array().cast("array<bigint>"),
+            lambda done, i: F.array_append(done, merge(_at(done, F.size(done) - 1), F.get(of, i))),
+        )
+
+    def whole(v: Column) -> Column:
+        last = lambda k: F.least(F.size(v), (k + 1) * CHUNK) - 1
+        chunks = F.transform(
+            _upto(F.ceil(F.size(v) / CHUNK).cast("int")),
+            lambda k: totals(v, F.sequence(k * CHUNK, last(k))),
+        )
+        return _let(
+            chunks,
+            lambda c: _let(
+                _let(
+                    F.transform(c, lambda one: F.get(one, F.size(one) - 1)),
+                    lambda ends: totals(ends, _upto(F.size(ends))),
+                ),
+                lambda before: F.flatten(
+                    F.transform(c, lambda one, k: F.transform(one, lambda x: merge(_at(before, k - 1), x)))
+                ),
+            ),
+        )
+
+    return _let(values, whole)
 
 
 def _placed(hits: Column, parts: Column, kind: int) -> Column:
     """Spans of the hits, from the texts between them."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-
-    def step(state: Column, i: Column) -> Column:
-        hit, part = F.get(hits, i), F.get(parts, i)
-        start = state["at"] + F.length(part)
-        end = start + F.length(hit)
-        left = F.lower(F.regexp_extract(part, CONTEXT, 1))
-        span = F.struct(
-            start.alias("start"),
+    lengths = F.transform(hits, lambda hit, i: (F.length(F.get(parts, i)) + F.length(hit)).cast("bigint"))
+
+    def span(end: Column, i: Column) -> Column:
+        hit = F.get(hits, i)
+        left = F.lower(F.regexp_extract(F.get(parts, i), CONTEXT, 1))
+        return F.struct(
+            (end.cast("int") - F.length(hit)).alias("start"),
             F.lit(kind).alias("kind"),
-            end.alias("end"),
+            end.cast("int").alias("end"),
             hit.alias("value"),
             F.regexp_replace(left, r"\s+", " ").alias("left"),
         )
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
 
     return F.when(
-        F.size(hits) > 0,
-        F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), empty, step, lambda s: s["spans"]),
+        F.size(hits) > 0, F.transform(_running(lengths, lambda a, b: a + b), span)
     ).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def _apart(candidates: Column, base: Column) -> Column:
+    """The candidates, which are in order and do not overlap, that no base span overlaps.
+
+    As many spans overlap one as begin before its end, less those that end by its start.
+    Starts and ends stand in one order with both questions, so running counts answer them.
+    """
+    begins, ends = 1 << 32, 1
+    event = lambda at, turn, weight: F.struct(
+        at.alias("at"), F.lit(turn).alias("turn"), F.lit(weight).cast("bigint").alias("weight")
+    )
+    events = F.array_sort(
+        F.concat(
+            F.transform(candidates, lambda c: event(c["end"], 0, 0)),
+            F.transform(base, lambda s: event(s["end"], 1, ends)),
+            F.transform(base, lambda s: event(s["start"], 2, begins)),
+            F.transform(candidates, lambda c: event(c["start"], 3, 0)),
+        )
+    )
+
+    def answers(e: Column, counts: Column, turn: int) -> Column:
+        asked = F.filter(counts, lambda _, i: F.get(e, i)["turn"] == turn)
+        return F.transform(asked, lambda n: F.shiftright(n, 32) if turn == 0 else n.bitwiseAND(F.lit(begins - 1)))
+
+    def kept(begun: Column, ended: Column) -> Column:
+        return F.filter(candidates, lambda _, i: F.get(begun, i) <= F.get(ended, i))
+
+    found = _let(
+        events,
+        lambda e: _let(
+            _running(F.transform(e, lambda x: x["weight"]), lambda a, b: a + b),
+            lambda counts: _let(
+                answers(e, counts, 0),
+                lambda begun: _let(answers(e, counts, 3), lambda ended: kept(begun, ended)),
+            ),
+        ),
+    )
+    return F.when((F.size(candidates) > 0) & (F.size(base) > 0), found).otherwise(candidates)
+
+
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `base`, the valid spans of the fixed patterns, and `candidates` beside them."""
     none = F.array().cast("array<string>")
@@ -129,10 +217,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.filter(f"_spans_{kind}", lambda s: _valid(kind, s["value"]))
 
     found = found.withColumn("base", F.array_sort(F.concat(*map(valid, KINDS))))
-    apart = F.filter(
-        "_spans__",
-        lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    apart = _apart(F.col("_spans__"), F.col("base"))
     return found.withColumn("candidates", apart).drop(
         "_text", *[f"_{part}_{k}" for k in patterns for part in ("hits", "parts", "spans")]
     )
@@ -232,24 +317,43 @@ def spans_text(spans: str) -> Column:
 def redacted(text: str, spans: str) -> Column:
     """The text with every span replaced by its kind in angle brackets; of overlapping ones
     the first names them all."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = F.col(spans)
 
-    def step(state: Column, s: Column) -> Column:
-        mark = reduce(
-            lambda rest, i: F.when(s["kind"] == i, F.lit(f"<{KINDS[i].upper()}>")).otherwise(rest),
+    def mark(kind: Column) -> Column:
+        return reduce(
+            lambda rest, i: F.when(kind == i, F.lit(f"<{KINDS[i].upper()}>")).otherwise(rest),
             range(len(KINDS)),
             F.lit(""),
         )
-        more = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), mark)
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], F.concat(state["out"], more))
-            .otherwise(state["out"])
-            .alias("out"),
-        )
 
-    whole = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, whole)).otherwise(F.col(text))
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        """The text from start to end, of which only what it takes is walked over."""
+        a, b = ((x / PIECE).cast("int") for x in (start, end))
+        from_a = F.coalesce(F.get(pieces, a), F.lit(""))
+        to_b = F.substring(F.coalesce(F.get(pieces, b), F.lit("")), F.lit(1), (end % PIECE).cast("int"))
+        inner = F.when(
+            b - a > 1, F.array_join(F.transform(F.sequence(a + 1, b - 1), lambda k: F.get(pieces, k)), "")
+        ).otherwise("")
+        first = (start % PIECE).cast("int") + 1
+        return F.when(end <= start, "").when(
+            a == b, F.substring(from_a, first, (end - start).cast("int"))
+        ).otherwise(F.concat(F.substring(from_a, first, F.lit(PIECE)), inner, to_b))
+
+    def whole(pieces: Column, reached: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            before = _at(reached, i - 1)
+            return F.when(
+                s["start"] >= before, F.concat(cut(pieces, before, s["start"]), mark(s["kind"]))
+            ).otherwise("")
+
+        n = ((F.size(pieces) - 1) * PIECE + F.length(F.get(pieces, F.size(pieces) - 1))).cast("bigint")
+        rest = cut(pieces, _at(reached, F.size(reached) - 1), n)
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
+
+    ends = _running(F.transform(spans, lambda s: s["end"].cast("bigint")), F.greatest)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+    done = _let(pieces, lambda p: _let(ends, lambda reached: whole(p, reached)))
+    return F.when(F.size(spans) > 0, done).otherwise(F.col(text))
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
