@@ -81,8 +81,8 @@ def named_table(name: str) -> NamedTable:
         raise ValueError(f"unknown table: {name!r}") from None
 
 
-def _contains(column: str, search: str, literal: bool) -> Column:
-    """Case-insensitive substring test.
+def search_pattern(search: str, literal: bool = False) -> tuple[str, str]:
+    """The pattern that a text containing the search is like, and its escape character.
 
     ``%`` and ``_`` in the search act as wildcards unless ``literal``; the escape
     character is one the search does not contain, so a backslash is just itself.
@@ -91,7 +91,13 @@ def _contains(column: str, search: str, literal: bool) -> Column:
     if literal:
         for wildcard in "%_":
             search = search.replace(wildcard, escape + wildcard)
-    return F.ilike(F.col(column).cast("string"), F.lit(f"%{search}%"), F.lit(escape))
+    return f"%{search}%", escape
+
+
+def _contains(column: str, search: str, literal: bool) -> Column:
+    """Case-insensitive substring test, see :func:`search_pattern`."""
+    pattern, escape = search_pattern(search, literal)
+    return F.ilike(F.col(column).cast("string"), F.lit(pattern), F.lit(escape))
 
 
 def search_condition(search: str, columns: Sequence[str], literal: bool = False) -> Column:

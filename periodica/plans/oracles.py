@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from periodica.plans.queries import COMMON, LAST_YEAR, SECTION_COLUMNS, STORED_UNTIL
+from periodica.plans.queries import COMMON, LAST_YEAR, SEARCHES, SECTION_COLUMNS, STORED_UNTIL
 
 _FX_PUZZLE = """
 fx_puzzle AS (
@@ -422,6 +422,15 @@ FROM hits h ORDER BY date_text, creator_name, link LIMIT 10 OFFSET 30""",
 SELECT * FROM answers
 WHERE creator_name ILIKE '%nation_1%' AND (creator_name, solution) IN (
   SELECT (creator_name, solution) FROM uses WHERE clue ILIKE '%blue%NATION_1%')""",
+    "table_search_indexed": f"WITH {_ANSWERS}\n" + "\nUNION ALL\n".join(
+        f"""SELECT *, '{name}' AS search FROM answers WHERE (creator_name, solution) IN (
+  SELECT (creator_name, solution) FROM uses
+  WHERE creator_name ILIKE '%{text}%' OR solution ILIKE '%{text}%' OR clue ILIKE '%{text}%')"""
+        for name, text in SEARCHES.items()
+    ),
+    "column_search_indexed": f"""WITH {_CLUES}
+SELECT * FROM repeated
+WHERE contains(lower(creator_name), 'nation_1') AND contains(lower(clue), 'blue')""",
     "column_search_links": f"""WITH {_LINKS}
 SELECT * FROM links WHERE creator_name ILIKE '%nation_1%' AND contains(date_text, '-07-')""",
     "grid_fingerprint": f"WITH {_GRIDS} SELECT * FROM prints",

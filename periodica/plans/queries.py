@@ -14,7 +14,7 @@ from periodica.plans import driver_views as views
 from periodica.plans.driver_views import GRID, Tables
 from periodica.schemas import CORRUPT, REASON
 from periodica.session import work_dir
-from periodica.sources import documents, grids as grid_source, page_index, pages, sinks, store
+from periodica.sources import documents, grids as grid_source, page_index, pages, search_index, sinks, store
 from periodica.sources import partials as stored_partials
 from periodica.streaming import arrivals, ingest as stream
 
@@ -692,6 +692,29 @@ def column_search_links(spark, t):
     return tables.column_search(links, {"creator_name": "nation_1", "date_text": "-07-", "link": ""})
 
 
+# What is searched for: wildcards, capitals, too short for the index, in no text.
+SEARCHES = {"wildcards": "blue%NATION_", "capitals": "RING n", "short": "9", "absent": "zqzq", "wild": "l_e%sh"}
+
+
+def _index(spark: SparkSession, spec: tables.NamedTable, t: Tables) -> search_index.SearchIndex:
+    return search_index.write_search_index(spec, _uses(spec, t), work_dir(spark, "search"), parts=64)
+
+
+@query
+def table_search_indexed(spark, t):
+    """Searches of one stored table through its index of trigrams."""
+    index = _index(spark, ANSWERS, t)
+    found = [index.search(text).select("*", F.lit(name).alias("search")) for name, text in SEARCHES.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def column_search_indexed(spark, t):
+    """Setter and clue by themselves; `_` is what it is, no wildcard."""
+    index = _index(spark, CLUES, t)
+    return index.column_search({"creator_name": "nation_1", "clue": "Blue"}, literal=True)
+
+
 # ---- grids
 
 
