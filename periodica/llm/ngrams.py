@@ -527,7 +527,14 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents, all columns as they were, one row for each component.
 
     The row with the smallest doc_id stays (a null one last), the first of repeated rows.
+    Where every row has an id of its own, that tells rows apart; otherwise they are numbered,
+    which takes a copy of them.
     """
+    unclear = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if unclear.isEmpty():
+        found = near_duplicates(docs, words).where("doc_id <> component_id")
+        gone = staged(found.select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     rows = set_aside(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     rows = staged(rows, "numbered")
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words).select(

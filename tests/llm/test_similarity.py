@@ -139,3 +139,17 @@ def test_repeated_vectors_and_null_ids(spark):
     assert got == sorted(
         [(4, 3, 2, False), (4, 3, 2, False), (None, 3, 2, False), (None, 0, None, False), (2, 3, 2, True)], key=repr
     )
+
+
+def test_one_of_each_group_stays_whatever_tells_rows_apart(docs_of, hard_texts):
+    plain = [(1000 - i, t) for i, t in enumerate(hard_texts)]
+    components = brute.documents_by_shingles(plain)
+    want = sorted(i for i, _ in plain if components[i][1] == i)
+    docs = docs_of(plain).withColumn("_gone", F.lit(1))
+    kept = ngrams.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == want
+    # A repeated row and one without an id: rows are numbered then.
+    again = docs_of([*plain, plain[8], (None, plain[8][1]), (None, "only here, five words and more")])
+    left = [r["doc_id"] for r in ngrams.one_of_each(again).select("doc_id").collect()]
+    assert sorted(i for i in left if i is not None) == want and left.count(None) == 1
