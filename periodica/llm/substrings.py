@@ -316,11 +316,12 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, trigger: int = TRIG
             }
         )
         .where("total > 1")
-        .drop("total")
+        .withColumn("one", F.col("low") == F.col("high"))
+        .drop("total", "low", "high")
     )
     known = staged(known, "repeated-triggers")
-    alike = known.where("low = high").select("text_id", "start", "n")
-    mixed_rows = known.where("low <> high")
+    alike = known.where("one").select("text_id", "start", "n")
+    mixed_rows = known.where("not one").drop("one")
     book = staged(
         mixed_rows.groupBy("trigger", "phrase").agg(
             F.sum("copies").alias("total"), F.min(F.struct("text_id", "start")).alias("first")
