@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from periodica.plans.queries import COMMON, LAST_YEAR, SEARCHES, SECTION_COLUMNS, STORED_UNTIL
+from periodica.plans.queries import COMMON, LAST_YEAR, LEAST, SEARCHES, SECTION_COLUMNS, STORED_UNTIL
 
 _FX_PUZZLE = """
 fx_puzzle AS (
@@ -243,8 +243,12 @@ SELECT 'orphan', crossword_id, COUNT(*) FROM fx_entry
 WHERE crossword_id NOT IN (SELECT id FROM known) GROUP BY crossword_id""",
     "stream_ingest": f"""WITH {_DOCS}
 SELECT id, number, creator_name, date, crossword_type, n_entries FROM normal""",
-    "grid_scan": f"""WITH {_GRIDS}
-SELECT grid_name, n_rows, n_cols, fingerprint, NULL::VARCHAR AS reason FROM catalogue
+    "grid_scan": f"""WITH {_GRIDS}, shared AS (
+  SELECT n_rows, n_cols, fingerprint, COUNT(*) AS n, 'G' || substr(md5(fingerprint), 1, 12) AS base
+  FROM prints GROUP BY n_rows, n_cols, fingerprint HAVING COUNT(*) >= {LEAST})
+SELECT base AS grid_name, n_rows, n_cols, fingerprint, NULL::VARCHAR AS reason FROM shared
+UNION ALL
+SELECT base || 'b', n_rows, n_cols, fingerprint, NULL FROM shared WHERE n >= 3 * {LEAST}
 UNION ALL
 SELECT unnest(['ragged', 'words']), NULL, NULL, NULL,
        unnest(['lines of different lengths', 'not a number'])""",

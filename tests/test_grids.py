@@ -136,3 +136,23 @@ def test_blank_letters_of_an_accessible_page(spark, layouts):
     df = spark.createDataFrame(pages, "name string, html string, want string")
     got = df.select("name", "want", accessible_fingerprint(F.col("html"), "row-data").alias("got"))
     assert [r.name for r in got.collect() if r.got != r.want] == []
+
+
+def test_grid_scan_reads_every_shared_layout(spark, tmp_path):
+    """Four puzzles share a layout that far less than one puzzle in 500 has."""
+    from periodica.plans.queries import QUERIES
+
+    lines = [(k, n) for k in range(3000) for n in ((1, 2) if k < 4 else (1,) if k < 7 else (3,))]
+    tables = {
+        "lineitem": spark.createDataFrame(
+            [(k, n, "F", 1) for k, n in lines],
+            "l_orderkey long, l_linenumber int, l_linestatus string, l_partkey long",
+        ),
+        "part": spark.createDataFrame([(1, "blue ring", 5)], "p_partkey long, p_name string, p_size int"),
+        "nation": spark.createDataFrame([(1, "NATION_1")], "n_nationkey int, n_name string"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = QUERIES["grid_scan"](spark, str(tmp_path)).where("reason is null").collect()
+    # The one of three puzzles has no file; that of most puzzles has two.
+    assert sorted(r.fingerprint for r in found) == ["0,1,2", "2,3", "2,3"]
