@@ -243,3 +243,30 @@ def test_row_file_keeps_html_and_missing_values(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(
         map(str, df.select("a", F.col("b").cast("string").alias("b")).collect())
     )
+
+
+def test_plain_texts_are_read_in_one_step(spark):
+    """Texts that the short way takes, and texts that must go the long way, with their outcome."""
+    from periodica.functions.json import plain_keys
+    from periodica.schemas import OTHER_NAMES, TEXT_NAMES
+
+    plain = ['{"id":"1","name":null,"number":5}', ' {"id" : "1", "other":{"a":[1]}}\n', '{"entries":[{"id":"a","number":1}]}']
+    odd = {
+        '{"Id":"1"}': None, '{"id":5}': "wrong type", '{"i\\u0064":5}': "wrong type", "{'id':5}": "wrong type",
+        '{"entries":[null]}': None, '{"entries":[{"id" : 7}]}': "wrong type",
+    }
+    closing = ['{}{}', '{},{}', '{}],"x":[{}', '{}],"_periodica_mark":[{}', '{},{"_periodica_mark":"1"}],"x":[{}', '[{}]', '{}]']
+    texts = spark.createDataFrame([(t,) for t in [*plain, *odd, *closing]], "value string").withColumn("key", F.col("value"))
+    taken = texts.where(plain_keys(F.col("value"), TEXT_NAMES, OTHER_NAMES))
+    taken = {r.key for r in taken.collect()}
+    assert set(plain) <= taken and not taken & set(odd)
+    reasons = {r.key: r._reject_reason for r in documents.parse_json(texts, "value").collect()}
+    assert reasons == {**dict.fromkeys(plain), **odd, **dict.fromkeys(closing, "not one JSON object")}
+
+
+def test_first_documents_move_asked_columns_only(spark, tmp_path):
+    put(tmp_path / "in/a.json", {"id": "1", "name": "one", "entries": [{"id": "x"}]})
+    stored = documents.stage(documents.scan_json(spark, [str(tmp_path / "in")]), str(tmp_path / "wide"))
+    first = documents.first_documents(stored).select("id", "name")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "entries" not in plan and [tuple(r) for r in first.collect()] == [("1", "one")]
