@@ -121,3 +121,11 @@ def test_nothing_stored_yet(spark, tmp_path):
         spark.createDataFrame([("1",)], "id string"),
         stream.read_puzzles(spark, str(tmp_path / "none")),
     ).count() == 1
+
+
+def test_first_rows_name_the_first_document_of_an_id(spark):
+    from periodica.sources.store import first_rows
+
+    rows = [("a", 1, ["f"], 0, 7), ("a", 0, ["g"], 0, 9), ("a", 0, ["g"], 0, 8), (None, 0, ["f"], 0, 3), ("", 0, ["f"], 0, 2)]
+    docs = spark.createDataFrame(rows, "id string, source_rank int, source_path array<string>, source_at long, row long")
+    assert sorted(tuple(r) for r in first_rows(docs).collect()) == [("", 2), ("a", 8)]
