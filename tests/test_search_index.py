@@ -76,3 +76,10 @@ def test_groups_are_whole_and_may_be_a_single_use(uses, index, spark, tmp_path):
     links = spark.createDataFrame([("Ann", "http://x/1.pdf", "2001-01-02"), ("Bob", None, None)], "creator_name string, link string, date_text string")
     other = search_index.write_search_index(TABLES["doc_links"], links, str(tmp_path / "l"), parts=3)
     assert [r["creator_name"] for r in other.search("1.PDF").collect()] == ["Ann"]
+
+
+def test_groups_are_stored_once_for_all_searches(uses, index):
+    assert found(index.groups()) == found(table_groups(ANSWERS, uses))
+    # A search sorts no uses: what a group has is read from the stored groups.
+    plan = index.search("word7")._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "SortAggregate" not in plan

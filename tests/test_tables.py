@@ -85,3 +85,10 @@ def test_result_page(table):
 def test_unknown_table(puzzles_of):
     with pytest.raises(ValueError, match="unknown table"):
         tables.table_request("nothing", None, puzzles_of([("1", "a", "2020-01-01", "x")]), "unused")
+
+
+def test_table_total_derives_its_views_once(spark):
+    from periodica.plans.queries import QUERIES
+
+    read = QUERIES["table_total"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not any("lineitem" in f or "orders" in f for f in read)
