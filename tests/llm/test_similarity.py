@@ -44,6 +44,30 @@ def test_shingle_links_are_those_of_brute_force(docs_of, hard_texts):
     assert got == brute.documents_by_shingles(rows)
 
 
+def test_near_copies_meet_at_a_centre_not_each_other(docs_of, monkeypatch):
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(140)]
+    rows = []
+    for i in range(300):  # near copies, of which some are too far from the smallest one to link
+        copy = list(base)
+        for at in rng.sample(range(140), rng.randrange(0, 5)):
+            copy[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    counts = {}
+    write = ngrams.staged
+
+    def counted(df, label):
+        out = write(df, label)
+        counts.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngrams, "staged", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngrams.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute.documents_by_shingles(rows)
+    assert sum(counts["centre-links"]) > 0
+    assert sum(counts["others"]) <= len(rows)
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark, docs_of):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "")]
     got = sorted(map(tuple, ngrams.near_duplicates(docs_of(rows)).collect()), key=repr)
