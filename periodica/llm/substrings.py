@@ -11,8 +11,10 @@ dictionary are cut there, and equality of hashes stands for neighbourhood in the
 First the parse: phrases with a trigger of their own hold nothing twice; of equal phrases
 every window occurs twice.  Then the dictionary, for triggers that stand in different
 phrases: one copy of each such phrase is opened, and compared with the others by the bytes
-on both sides of the trigger.  Long repeats are settled as phrases, and bytes are looked at
-only near their ends.
+on both sides of the trigger.  Of a trigger with many phrases each is compared with the most
+frequent one alone; the windows it has otherwise hold the nearest byte that differs, so the
+string from the trigger to that byte brings them to those they can be equal to, turn by turn.
+Long repeats are settled as phrases, and bytes are looked at only near their ends.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ FIGURES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 # Phrases of one trigger that are compared two by two.
 NEIGHBOURS = 32
+# Phrases of a crowded trigger that are compared with its centre at once.
+STEP = 10_000
+# Turns in which phrases of crowded triggers are told apart; what is crowded then goes by windows.
+TURNS = 6
 PHRASES = "text_id long, start int, n int, place int, trigger long, phrase long, copies int"
 
 
@@ -133,6 +139,7 @@ def parsed(texts: DataFrame, length: int, trigger: int) -> DataFrame:
 
 
 EDGES = "trigger long, text_id long, start int, n int, place int, wanted boolean, bytes binary"
+_EDGES = [c.split()[0] for c in EDGES.split(", ")]
 
 
 def _opened(edges: DataFrame, length: int) -> DataFrame:
@@ -166,7 +173,7 @@ def _opened(edges: DataFrame, length: int) -> DataFrame:
                         own.field("wanted"),
                         pa.array(raw, pa.binary()),
                     ],
-                    [c.split()[0] for c in EDGES.split(", ")],
+                    _EDGES,
                 )
 
     columns = ["text_id", "text", "doc_id", "runs"]
@@ -204,13 +211,77 @@ def _extents(rows: pa.Table, p: np.ndarray, q: np.ndarray, length: int, trigger:
 FOUND = "hash long, text_id long, start int, n int"
 
 
+def _runs(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Runs of repeated windows, as rows of edges without a trigger."""
+    none = [pa.nulls(len(ids), k) for k in (pa.int64(), pa.int32(), pa.bool_(), pa.binary())]
+    columns = [none[0], pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *none[1:]]
+    return pa.RecordBatch.from_arrays(columns, _EDGES)
+
+
+def _parted(table: pa.Table, length: int, trigger: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of one trigger against the first of them, the centre.
+
+    Windows that are equal to the centre's are repeated.  Of the others those that reach over
+    the first byte on the left that differs (or that one of the two has not) can be equal
+    only to windows of phrases that differ from the centre at the same place, and that have
+    the same bytes from there to the end of the trigger.  They make an edge whose trigger is
+    the hash of these bytes; windows that reach over the first such byte on the right alone
+    make another one.
+    """
+    side = length - trigger
+    ids, start, n, place = (table.column(c).to_numpy() for c in ("text_id", "start", "n", "place"))
+    wanted = table.column("wanted").to_numpy(zero_copy_only=False)
+    rows = np.arange(1, len(n))
+    left, right = _extents(table, np.zeros(len(rows), dtype=np.int64), rows, length, trigger)
+    # Windows before `low` reach over the left byte; those from `high` on over the right one alone.
+    low = np.clip(place[rows] - left, 0, n[rows])
+    high = np.clip(place[rows] + right - side + 1, low, n[rows])
+    some = (high > low) & wanted[rows]
+    if some.any():
+        yield _runs(ids[rows][some], (start[rows] + low)[some], (high - low)[some])
+    if wanted[0] and (high > low).any():  # the same windows, at the centre's place for them
+        to_centre = place[0] - place[rows]
+        edges = np.zeros(n[0] + 1, dtype=np.int64)
+        np.add.at(edges, (low + to_centre)[high > low], 1)
+        np.add.at(edges, (high + to_centre)[high > low], -1)
+        turns = np.diff(np.pad(np.cumsum(edges) > 0, (1, 0)).astype(np.int8))
+        first, last = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+        yield _runs(np.full(len(first), ids[0]), start[0] + first, last - first)
+    data, offsets = _binary(table.column("bytes"))
+    raw, sums = data.tobytes(), prefix_sums(data)
+    middle = offsets[:-1][rows] + place[rows]
+    parts = (
+        (low > 0, middle - left - 1, middle + trigger, np.zeros(len(rows), dtype=np.int64), low, left),
+        (n[rows] > high, middle, middle + trigger + right + 1, high, n[rows], side + 1 + right),
+    )
+    for there, a, b, first, last, what in parts:
+        x = np.flatnonzero(there)
+        if not len(x):
+            continue
+        key = mixed(hashes(sums, a[x], b[x]) ^ mixed(what[x].astype(np.uint64)))
+        begin = offsets[:-1][rows[x]]
+        own = [raw[p:q] for p, q in zip(begin + first[x], begin + last[x] + length - 1)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(key.view(np.int64)),
+                pa.array(ids[rows[x]]),
+                pa.array((start[rows[x]] + first[x]).astype(np.int32)),
+                pa.array((last - first)[x].astype(np.int32)),
+                pa.array((place[rows[x]] - first[x]).astype(np.int32)),
+                pa.array(wanted[rows[x]]),
+                pa.array(own, pa.binary()),
+            ],
+            _EDGES,
+        )
+
+
 def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
-    """The repeated windows of opened phrases.
+    """The repeated windows of opened phrases, as runs without a trigger, and smaller edges.
 
     Phrases of one trigger stand beside each other.  Up to `NEIGHBOURS` of them are compared
-    two by two by the bytes around the trigger, and give runs (without a hash) of windows that
-    both have.  The phrases of a trigger with more are not held: each gives its windows one by
-    one, by hash, for the shuffle to bring equal ones together.
+    two by two by the bytes around the trigger, and give the runs of windows that both have.
+    The phrases of a trigger with more are not held, but for the first one: the others are
+    compared with that, and what they have otherwise comes out as edges to be compared again.
     """
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -239,38 +310,18 @@ def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
         row, first = np.nonzero(turns == 1)
         last = np.nonzero(turns == -1)[1]
         if len(row):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(row), pa.int64()),
-                    pa.array(ids[row]),
-                    pa.array((start[row] + first).astype(np.int32)),
-                    pa.array((last - first).astype(np.int32)),
-                ],
-                ["hash", "text_id", "start", "n"],
-            )
+            yield _runs(ids[row], start[row] + first, last - first)
 
-    def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        ids, start, n = (table.column(c).to_numpy() for c in ("text_id", "start", "n"))
-        data, offsets = _binary(table.column("bytes"))
-        own = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        sums = prefix_sums(data)
-        found = mixed(hashes(sums, offsets[own] + at, offsets[own] + at + length))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(found.view(np.int64)),
-                pa.array(ids[own]),
-                pa.array((start[own] + at).astype(np.int32)),
-                pa.array(np.ones(len(own), dtype=np.int32)),
-            ],
-            ["hash", "text_id", "start", "n"],
-        )
+    def crowd(table: pa.Table, centre: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        """Phrases of one trigger; its centre if that is not their first one."""
+        table = (pa.concat_tables([centre, table]) if centre is not None else table).combine_chunks()
+        for at in range(1, table.num_rows, STEP):
+            part = pa.concat_tables([table.slice(0, 1), table.slice(at, STEP)])
+            yield from _parted(part.combine_chunks(), length, trigger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the rows of the last trigger, at most NEIGHBOURS
-        crowded = None  # the trigger whose phrases are passed on one by one
+        crowded = centre = None  # a trigger with more, and its first row
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -278,7 +329,8 @@ def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
             key = table.column("trigger").to_numpy()
             if crowded is not None:
                 same = int(np.searchsorted(key != crowded, True)) if (key != crowded).any() else len(key)
-                yield from windows(table.slice(0, same))
+                if same:
+                    yield from crowd(table.slice(0, same), centre)
                 table = table.slice(same)
                 if not table.num_rows:
                     continue
@@ -292,14 +344,68 @@ def _compared(edges: DataFrame, length: int, trigger: int) -> DataFrame:
             large = np.repeat(size > NEIGHBOURS, size)
             last = np.arange(len(key)) >= edge[-1]
             if large[-1]:
-                crowded = key[-1]
+                crowded, centre = key[-1], table.slice(edge[-1], 1)
             held = table.filter(pa.array(last & ~large)) if not large[-1] else None
             yield from pairs(table.filter(pa.array(~large & ~last)))
-            yield from windows(table.filter(pa.array(large)))
+            for k in np.flatnonzero(size > NEIGHBOURS).tolist():
+                yield from crowd(table.slice(edge[k], size[k]), None)
         if held is not None:
             yield from pairs(held)
 
-    return edges.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, FOUND)
+    # Phrases that occur several times come first; among these and the others any may.
+    dealt = edges.repartition("trigger").sortWithinPartitions("trigger", "wanted")
+    return dealt.mapInArrow(run, EDGES)
+
+
+def _by_window(edges: DataFrame, length: int) -> DataFrame:
+    """The windows of phrases one by one, by hash, for the shuffle to bring equal ones together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from windows(pa.Table.from_batches([batch]))
+
+    def windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, start, n = (table.column(c).to_numpy() for c in ("text_id", "start", "n"))
+        data, offsets = _binary(table.column("bytes"))
+        own = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        sums = prefix_sums(data)
+        found = mixed(hashes(sums, offsets[own] + at, offsets[own] + at + length))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(found.view(np.int64)),
+                pa.array(ids[own]),
+                pa.array((start[own] + at).astype(np.int32)),
+                pa.array(np.ones(len(own), dtype=np.int32)),
+            ],
+            ["hash", "text_id", "start", "n"],
+        )
+
+    found = edges.mapInArrow(run, FOUND)
+    same = Window.partitionBy("hash")
+    return found.withColumn("total", F.count(F.lit(1)).over(same)).where("total > 1")
+
+
+def _repeated(edges: DataFrame, length: int, trigger: int) -> DataFrame:
+    """(text_id, start, n): the runs of repeated windows of opened phrases."""
+    runs = None
+    for _ in range(TURNS):
+        found = staged(_compared(edges, length, trigger), "found")
+        now = found.where("trigger is null").select("text_id", "start", "n")
+        runs = now if runs is None else runs.union(now)
+        same = Window.partitionBy("trigger")
+        rest = (
+            found.where("trigger is not null")
+            .withColumn("total", F.count(F.lit(1)).over(same))
+            .withColumn("any", F.max("wanted").over(same))
+            .where("total > 1 and any")
+            .drop("total", "any")
+        )
+        edges = staged(rest, "crowded")
+        if edges.isEmpty():
+            return runs
+    return runs.union(_by_window(edges, length).select("text_id", "start", "n"))
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -336,16 +442,10 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, trigger: int = TRIG
         .groupBy("text_id")
         .agg(F.collect_list(F.struct("start", "n", "trigger", "place", wanted)).alias("runs"))
     )
-    found = staged(_compared(_opened(texts.join(opened, "text_id"), length), length, trigger), "found")
-    crowded = (
-        found.where("hash is not null")
-        .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("hash")))
-        .where("total > 1")
-    )
+    found = _repeated(_opened(texts.join(opened, "text_id"), length), length, trigger)
     return (
         alike.union(equal)
-        .union(found.where("hash is null").select("text_id", "start", "n"))
-        .union(crowded.select("text_id", "start", "n"))
+        .union(found)
         .groupBy("text_id")
         .agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     )

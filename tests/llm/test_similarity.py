@@ -68,6 +68,32 @@ def test_near_copies_meet_at_a_centre_not_each_other(docs_of, monkeypatch):
     assert sum(counts["others"]) <= len(rows)
 
 
+def test_crowded_triggers_are_told_apart_by_their_nearest_changes(docs_of, monkeypatch):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    texts = [base, base]
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(500), rng.randrange(1, 4)):
+            copy[at] = rng.choice("uvwxyz")
+        texts.append("".join(copy)[rng.randrange(40) :])
+    counts = []
+    write = substrings.staged
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "found":
+            counts.append((out.count(), len(substrings.EDGES.split(", "))))
+        return out
+
+    monkeypatch.setattr(substrings, "staged", counted)
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in substrings.removed(docs_of(list(enumerate(texts)))).collect()}
+    expected = [(r[1], r[3]) for r in brute.without_repeats(texts)]
+    assert [got[i] for i in range(len(texts))] == expected
+    # The first 300 windows of each text: far fewer rows than one for each.
+    assert sum(n for n, _ in counts) < 10 * len(texts)
+
+
 def test_null_and_repeated_ids_and_empty_tables(spark, docs_of):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "")]
     got = sorted(map(tuple, ngrams.near_duplicates(docs_of(rows)).collect()), key=repr)
