@@ -40,6 +40,12 @@ BLOCK = 1 << 22
 KNOWN, KNOWN_BYTES = 600_000, 1 << 25
 # Plain Latin letters, numbers and signs: up to the last letter or number, and the signs after it.
 PLAIN = re.compile(r"([!-~À-ÖØ-öø-ÿ]*[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]*)")
+# Texts of such letters and white space alone; in small ones, signs between a letter or number and white space.
+PLAIN_TEXT = re.compile(r"[\x20\x09-\x0D!-~À-ÖØ-öø-ÿ]*")
+LAST_SIGNS = re.compile(r"[!-/:-@\[-`{-~](?<=[a-z0-9ß-öø-ÿ].)[!-/:-@\[-`{-~]*(?!\S)")
+# One piece for the tokenizer, which ends with the only token that closes it.
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+JOINED = 1000
 
 INDEX = "part int, file string, doc_id long, offset long, n_bytes long, n_tokens long, before long"
 _INDEX = pa.schema(
@@ -55,7 +61,8 @@ class WordCoder:
     Its splits never cross white space and its normal forms never reach over it, so a
     text's ids are those of its words, one after the other.  A word of plain Latin letters
     falls in two where signs follow its last letter or number, as no split reaches over
-    that place either, and its letters are made small, as the tokenizer does itself.
+    that place either, and its letters are made small, as the tokenizer does itself.  A text
+    of such letters alone is made small and split at these places as a whole.
     """
 
     def __init__(self, path: str):
@@ -64,6 +71,9 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.clear()
 
@@ -75,9 +85,8 @@ class WordCoder:
         self.ids = np.zeros(0, dtype=np.uint32)
         self.held = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Takes in words that have got their numbers, but not their parts."""
-        known = len(self.sizes)
+    def _split(self, words: list[bytes]) -> None:
+        """Takes in the parts of words that have got their numbers only."""
         pairs = []
         for word in words:
             text = word.decode("utf-8", "surrogatepass")
@@ -85,33 +94,73 @@ class WordCoder:
             pairs += (plain[1].lower(), plain[2]) if plain else (text, "")
         found = np.fromiter(map(self.parts.__getitem__, pairs), dtype=np.int64, count=len(pairs))
         self.parts_of = np.concatenate([self.parts_of, found.reshape(-1, 2)])
-        new = [*islice(self.parts, known, None)]
-        ids: list[list[int]] = []
-        for at in range(0, len(new), 10_000):
-            encoded = self.tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False)
-            ids += [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+        self.held += sum(map(len, words))
+
+    def _learn(self) -> None:
+        """Takes in the ids of parts that have got their numbers only."""
+        new = [*islice(self.parts, len(self.sizes), None)]
+        flat, sizes = self._encoded(new)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
-        self.held += sum(map(len, words))
+        self.held += sum(map(len, new))
+
+    def _each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, one after the other, and how many each has."""
+        ids: list[list[int]] = []
+        for at in range(0, len(parts), 10_000):
+            encoded = self.tokenizer.encode_batch_fast(parts[at : at + 10_000], add_special_tokens=False)
+            ids += [e.ids for e in encoded]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _each; those of letters alone go joined by spaces, and are told apart by the
+        tokens that close them."""
+        one = np.fromiter((LETTERS.fullmatch(p) is not None for p in parts), dtype=bool, count=len(parts))
+        plain = [p for p, x in zip(parts, one.tolist()) if x]
+        joined = [" ".join(plain[at : at + JOINED]) for at in range(0, len(plain), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = [np.array(e.ids, dtype=np.uint32) for e in encoded]
+        ids = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(plain):  # a vocabulary whose tokens do not tell where pieces end
+            return self._each(parts)
+        others, of_others = self._each([p for p, x in zip(parts, one.tolist()) if not x])
+        sizes = np.zeros(len(parts), dtype=np.int64)
+        sizes[one], sizes[~one] = np.diff(ends, prepend=0), of_others
+        flat = np.zeros(int(sizes.sum()), dtype=np.uint32)
+        mine = np.repeat(one, sizes)
+        flat[mine], flat[~mine] = ids, others
+        return flat, sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.words) > KNOWN or self.held > KNOWN_BYTES:
+        if len(self.words) > KNOWN or len(self.parts) > KNOWN or self.held > KNOWN_BYTES:
             self.clear()
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        n = sum(map(len, split))
-        words = chain.from_iterable(split)
-        which = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=n)
-        if len(self.words) > len(self.parts_of):
-            self._learn([*islice(self.words, len(self.parts_of), None)])
-        parts = self.parts_of[which].ravel()
+        plain = np.fromiter((PLAIN_TEXT.fullmatch(t) is not None for t in texts), dtype=bool, count=len(texts))
+        split = [
+            LAST_SIGNS.sub(r" \g<0>", t.lower()).split() if p else t.encode("utf-8", "surrogatepass").split()
+            for t, p in zip(texts, plain.tolist())
+        ]
+        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        n_parts = np.where(plain, n, 2 * n)  # of each text
+        parts = np.empty(int(n_parts.sum()), dtype=np.int64)
+        mine = np.repeat(plain, n_parts)
+        if not plain.all():
+            words = chain.from_iterable(s for s, p in zip(split, plain.tolist()) if not p)
+            which = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=int(n[~plain].sum()))
+            if len(self.words) > len(self.parts_of):
+                self._split([*islice(self.words, len(self.parts_of), None)])
+            parts[~mine] = self.parts_of[which].ravel()
+        own = chain.from_iterable(s for s, p in zip(split, plain.tolist()) if p)
+        parts[mine] = np.fromiter(map(self.parts.__getitem__, own), dtype=np.int64, count=int(n[plain].sum()))
+        if len(self.parts) > len(self.sizes):
+            self._learn()
         sizes = self.sizes[parts]
         total = np.append(0, np.cumsum(sizes))
         out = self.ids[np.repeat(self.starts[parts] - total[:-1], sizes) + np.arange(int(total[-1]))]
-        ends = total[2 * np.cumsum([len(s) for s in split])]
+        ends = total[np.cumsum(n_parts)]
         return np.split(out, ends[:-1])
 
 

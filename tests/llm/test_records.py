@@ -25,6 +25,22 @@ def plain_crc32c(data):
     return crc ^ 0xFFFFFFFF
 
 
+def test_plain_texts_are_split_whole_and_their_letters_encoded_together():
+    rng = random.Random(2)
+    letters = "abAB'stSTdD.,!-<|>_09ÀßéÞ" + " \n\t\r\x0b\x0c"
+    others = letters + "\x1c\x85\xa0×÷Σς日🙂\u0301"
+    texts = ["", " ", "a,", "don't'S 'll x'VE.", "<|endoftext|> A<|startoftext|>!", "ß ẞ SS ß,", "--a-- -- b--"]
+    texts += ["".join(rng.choice(s) for _ in range(rng.randrange(120))) for s in (letters, others) for _ in range(500)]
+    coder = records.WordCoder(WORD_VOCABULARY)
+    whole = Tokenizer.from_file(WORD_VOCABULARY)
+    whole.encode_special_tokens = True
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for at in range(0, len(texts), 100) for ids in coder.encode(texts[at : at + 100])] == expected
+    coder = records.WordCoder(WORD_VOCABULARY)
+    coder.encode(["Plain words, and some more of them: plain."])
+    assert len(coder.words) == 0 and len(coder.parts) == 10
+
+
 def test_checksums():
     assert plain_crc32c(b"123456789") == 0xE3069283
     rng = random.Random(3)
