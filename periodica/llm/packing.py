@@ -33,6 +33,11 @@ CAPACITY = 2048
 SALTS = 32
 # A round takes the pieces longer than this part of the longest that is left.
 BAND = 0.97
+# A worker keeps what it has encoded when its task ends, and an executor has several workers
+# beside its heap: the texts, the pieces known and those encoded at once are bounded for that.
+CHUNK_CHARS = 1 << 19
+KNOWN_PIECES = 300_000
+ENCODED_AT_ONCE = 10_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ARROW = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -67,9 +72,13 @@ def coder(path: str):
         tokenizer.encode_special_tokens = True
 
         def encode(pieces: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+            ids: list[list[int]] = []
+            for k in range(0, len(pieces), ENCODED_AT_ONCE):
+                some = tokenizer.encode_batch(pieces[k : k + ENCODED_AT_ONCE], add_special_tokens=False)
+                ids.extend(e.ids for e in some)
+            return ids
 
-        _coders[path] = tokenizer, Pieces(encode)
+        _coders[path] = tokenizer, Pieces(encode, KNOWN_PIECES)
     return _coders[path]
 
 
@@ -80,7 +89,7 @@ def _encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
     for t in texts:
         points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         plain.append(t.isascii() or bool(ok[points].all()))
-    own = encoded_texts([t for t, p in zip(texts, plain) if p], pieces)
+    own = encoded_texts([t for t, p in zip(texts, plain) if p], pieces, CHUNK_CHARS)
     for text, p in zip(texts, plain):
         if not p:
             yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)

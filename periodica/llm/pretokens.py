@@ -190,8 +190,11 @@ class Pieces:
         return np.split(ids, ends_in_ids[:-1])
 
 
-def encoded_texts(texts: Iterable[str], pieces: Pieces) -> Iterator[tuple[int, np.ndarray, bool]]:
+def encoded_texts(
+    texts: Iterable[str], pieces: Pieces, chunk: int | None = None
+) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(index of the text, ids, whether the text ends here), in order, in bounded chunks."""
+    chunk = chunk or CHUNK_CHARS
     parts: list[str] = []
     owners: list[tuple[int, bool]] = []
     held = 0
@@ -201,9 +204,9 @@ def encoded_texts(texts: Iterable[str], pieces: Pieces) -> Iterator[tuple[int, n
             yield i, ids, last
 
     for i, text in enumerate(texts):
-        split = list(cuts(text, CHUNK_CHARS)) if len(text) > CHUNK_CHARS else [text]
+        split = list(cuts(text, chunk)) if len(text) > chunk else [text]
         for k, part in enumerate(split):
-            if parts and held + len(part) > CHUNK_CHARS:
+            if parts and held + len(part) > chunk:
                 yield from flush()
                 parts, owners, held = [], [], 0
             parts.append(part)

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -62,6 +63,22 @@ def test_replay_equals_one_merge_at_a_time():
     assert replay.encode(words) == [replay.encode_one(w.encode()) for w in words]
 
 
+def test_a_packing_worker_stays_small():
+    """Four million characters with many different words take a bounded part of a worker."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6):x}" for _ in range(700)) for _ in range(800)]
+    texts.append(" ".join(texts[:200]))  # longer than a chunk
+    tokenizer, _ = packing.coder(VOCABULARY)
+    list(packing._encoded(["one"], VOCABULARY))  # tables that do not grow are there
+    tracemalloc.start()
+    for text, ids in zip(texts, packing._encoded(texts, VOCABULARY)):
+        if len(text) > packing.CHUNK_CHARS or text is texts[0]:
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+
+
 def test_pieces_of_documents_are_those_of_the_library(docs_of, hard_texts):
     from tokenizers import Tokenizer
 
