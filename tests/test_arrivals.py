@@ -114,3 +114,42 @@ def test_other_deliveries_are_an_error(spark, tmp_path):
     stores.import_documents(spark, str(store), [str(tmp_path / "other")], lines=True)
     with pytest.raises(ValueError, match="import-000001"):
         run(spark, inbox, store)
+
+
+@pytest.mark.parametrize("sent", [16_384, 0])
+def test_numbered_rows_are_found_by_their_bits(spark, tmp_path, monkeypatch, sent):
+    """Numbers at the edges of bytes, bitmaps and partitions, sent to the documents and held by hash."""
+    monkeypatch.setattr(stores, "MAX_SENT", sent)
+    edges = [0, 1, 7, 8, 9, 32_766, 32_767, 32_768, 32_769, 65_536, 2**33 - 1, 2**33, 2**33 + 1, 5 * 2**33 + 40_000]
+    rows = [(a, n, f"{a}{n}") for a in "xy" for n in edges]
+    docs = spark.createDataFrame(rows, "arrival string, row long, name string").repartition(5)
+    places = spark.createDataFrame([(a, n) for a, n, _ in rows if (n + (a == "y")) % 2 == 0], "arrival string, row long")
+    found = stores.numbered_rows(docs, places, str(tmp_path / "both"), ["arrival"])
+    assert found.columns == docs.columns
+    want = [r for r in rows if (r[1] + (r[0] == "y")) % 2 == 0]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    of_x = stores.numbered_rows(docs, places.where("arrival = 'x'").select("row"), str(tmp_path / "x"))
+    assert sorted(map(tuple, of_x.collect())) == sorted(r for r in rows if r[1] % 2 == 0)
+    none = stores.numbered_rows(docs, places.where("row < 0").select("row"), str(tmp_path / "none"))
+    assert none.count() == 0
+
+
+def test_new_documents_are_fetched_unmoved(spark, tmp_path, monkeypatch):
+    """No exchange but that of a few bitmaps below the documents that a delivery stages."""
+    plans = []
+
+    def noted(docs, path, _stage=stores.stage):
+        plans.append((path, docs._jdf.queryExecution().executedPlan().toString()))
+        return _stage(docs, path)
+
+    for module in (stores, arrivals):
+        monkeypatch.setattr(module, "stage", noted)
+    inbox, store = tmp_path / "in", tmp_path / "store"
+    put(tmp_path / "old", "0.json", many(0, 5, "stored"))
+    stores.import_documents(spark, str(store), [str(tmp_path / "old")], lines=True)
+    put(inbox, "1.json", many(3, 12, "first"))
+    assert len(run(spark, inbox, store)) == 12
+    new = [plan for path, plan in plans if path.endswith("/new")]
+    assert len(new) == 2
+    for plan in new:
+        assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +271,20 @@ def test_first_documents_move_asked_columns_only(spark, tmp_path):
     first = documents.first_documents(stored).select("id", "name")
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert "entries" not in plan and [tuple(r) for r in first.collect()] == [("1", "one")]
+
+
+def test_staging_leaves_no_shuffle_files(spark, tmp_path):
+    from periodica.session import SHUFFLES_GO
+
+    jvm = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [Path(f) for f in jvm.localDirsString()]
+
+    def files():
+        return {f for folder in folders for f in folder.glob("*/shuffle_*")}
+
+    before, setting = files(), spark.conf.get(SHUFFLES_GO, None)
+    counted = spark.range(5000).repartition(3).groupBy((F.col("id") % 700).alias("k")).count()
+    kept = documents.stage(counted, str(tmp_path / "counted"))
+    assert not files() - before
+    assert kept.count() == counted.count() == 700
+    assert spark.conf.get(SHUFFLES_GO, None) == setting
