@@ -288,3 +288,17 @@ def test_staging_leaves_no_shuffle_files(spark, tmp_path):
     assert not files() - before
     assert kept.count() == counted.count() == 700
     assert spark.conf.get(SHUFFLES_GO, None) == setting
+
+
+def test_texts_of_two_folders_are_packed(spark):
+    """The folders hold every text, in a third of its characters at most."""
+    from periodica.plans import driver_views, queries
+
+    tables = driver_views.Tables(spark, "/root/testdata/sf0.001")
+    one, two = queries._two_roots(spark, tables)
+    whole = driver_views.document_texts(tables).where(F.col("text").endswith("}"))
+    n, chars = whole.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    assert spark.read.text(two, recursiveFileLookup=True).count() == n
+    even = whole.where(F.col("id").cast("bigint") % 2 == 0).count()
+    assert spark.read.text(one, recursiveFileLookup=True).count() == 2 * even
+    assert 3 * sum(f.stat().st_size for f in Path(two).rglob("part-*")) < chars
