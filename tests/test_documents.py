@@ -291,11 +291,15 @@ def test_staging_leaves_no_shuffle_files(spark, tmp_path):
 
 
 def test_texts_of_two_folders_are_packed(spark):
-    """The folders hold every text, in a third of its characters at most."""
+    """The folders hold every text, in a third of its characters at most, and not the staged copy."""
     from periodica.plans import driver_views, queries
+    from periodica.session import work_dir
 
     tables = driver_views.Tables(spark, "/root/testdata/sf0.001")
+    base = Path(work_dir(spark, "x")).parent
+    before = set(base.glob("texts-*"))
     one, two = queries._two_roots(spark, tables)
+    assert set(base.glob("texts-*")) == before
     whole = driver_views.document_texts(tables).where(F.col("text").endswith("}"))
     n, chars = whole.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     assert spark.read.text(two, recursiveFileLookup=True).count() == n
